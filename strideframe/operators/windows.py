@@ -59,7 +59,11 @@ def gather(members: DataFrame, keys: Sequence[str], columns: Sequence[str], pos:
     """Samples of every window as arrays in time order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(pos), *[F.col(c) for c in columns])))
     packed = members.groupBy(*keys).agg(rows.alias("__rows"))
-    return packed.select(*keys, *[F.transform("__rows", lambda r, c=c: r[c]).alias(c) for c in columns])
+
+    def field(name: str) -> Column:
+        return F.transform("__rows", lambda r: r[name]).alias(name)
+
+    return packed.select(*keys, *[field(c) for c in columns])
 
 
 def covered_frames(members: DataFrame, kept: DataFrame, keys: Sequence[str], pos: str = "pos", name: str = "win") -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from strideframe.plans import cleaning_queries  # noqa: F401
+from strideframe.plans import cleaning_queries, feature_queries  # noqa: F401
 from strideframe.plans.registry import ORACLES, QUERIES  # noqa: F401

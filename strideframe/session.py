@@ -36,3 +36,14 @@ def settle(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strideframe-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared folder (a temporary one in a local session)."""
+    from uuid import uuid4
+
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strideframe-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid4().hex}"
