@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.operators.ordered import chunk_by_position, sweep
+from strideframe.operators.ordered import add_chunk, chunk_by_position, sweep
 
 
 def join_centres(windows: DataFrame, runs: DataFrame, keys: Sequence[str], centre: Column) -> DataFrame:
@@ -105,19 +105,24 @@ def purge_overlaps(windows: DataFrame, spans: DataFrame, keys: Sequence[str], si
 
 def curve_claims(df: DataFrame, keys: Sequence[str], x: str, precision: str, recall: str) -> DataFrame:
     """Where a curve peaks, its lead over the runner-up, and whether recall never rises."""
-    points = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(precision).alias("p"), F.col(recall).alias("r"))))
-    c = df.groupBy(*keys).agg(points.alias("c"))
-    ranked = F.array_sort(F.transform("c", lambda s: F.struct((-s["p"]).alias("q"), s["x"].alias("x"))))
-    recalls = F.array_sort(F.transform("c", lambda s: F.struct((-s["r"]).alias("q"), s["x"].alias("x"))))
-    c = c.withColumn("o", ranked).withColumn("s", recalls)
-    pairs = F.zip_with(F.slice("c", F.lit(2), F.size("c") - 1), F.slice("c", F.lit(1), F.size("c") - 1), lambda now, was: now["r"] <= was["r"])
-    return c.select(
+
+    def tallest(rows: DataFrame, metric: str, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min(F.struct((-F.col(metric)).alias("q"), F.col(x).alias("x"))).alias(name))
+
+    first = tallest(df, precision, "__1")
+    rest = df.join(first, list(keys)).filter(F.col(x) != F.col("__1")["x"])
+    second = tallest(rest, precision, "__2")
+    recalls = tallest(df, recall, "__r")
+    seen = sweep(add_chunk(df, keys, x, "__c"), keys, [x], chunk="__c", prev={"__was": F.col(recall)})
+    falls = seen.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col(recall) <= F.col("__was"), F.lit(True))).alias("recall_never_rises"))
+    table = first.join(second, list(keys), "left").join(recalls, list(keys)).join(falls, list(keys))
+    return table.select(
         *keys,
-        F.col("o")[0]["x"].alias("peak"),
-        F.col("o")[1]["x"].alias("runner_up"),
-        (100 * (F.col("o")[1]["q"] - F.col("o")[0]["q"])).alias("lead_points"),
-        F.col("s")[0]["x"].alias("recall_peak"),
-        F.forall(pairs, lambda f: f).alias("recall_never_rises"),
+        F.col("__1")["x"].alias("peak"),
+        F.col("__2")["x"].alias("runner_up"),
+        (100 * (F.col("__2")["q"] - F.col("__1")["q"])).alias("lead_points"),
+        F.col("__r")["x"].alias("recall_peak"),
+        "recall_never_rises",
     )
 
 
