@@ -46,8 +46,8 @@ def match_single(reference: DataFrame, rows: DataFrame, keys: Sequence[str], ref
 
 def name_repeats(df: DataFrame, keys: Sequence[str], order: str, identifier: str, name: str = "duplicate_of") -> DataFrame:
     """Identifier of the earliest row with the same key, null on that row itself."""
-    firsts = df.groupBy(*keys).agg(F.min(F.struct(order, identifier)).alias("__f"))
-    joined = df.join(firsts, [F.col(k).eqNullSafe(firsts[k]) for k in keys]).select(*[df[c] for c in df.columns], "__f")
+    firsts = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.struct(order, identifier)).alias("__f"))
+    joined = df.join(firsts, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
     return joined.withColumn(name, F.when(F.col("__f")[order] < F.col(order), F.col("__f")[identifier])).drop("__f")
 
 
