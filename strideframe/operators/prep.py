@@ -304,7 +304,7 @@ def joined_blocks(train: DataFrame, test: DataFrame, label: str, k: int, feature
 
     def with_inputs(df: DataFrame) -> DataFrame:
         best = array_to_vector(F.array(*[F.col(features)[c] for c in columns]))
-        return df.withColumn("v_all", array_to_vector(F.col(features))).withColumn("v_best", best)
+        return df.drop("vector").withColumn("v_all", array_to_vector(F.col(features))).withColumn("v_best", best)
 
     model = Pipeline(stages=stages).fit(with_inputs(train))
     return tuple(model.transform(with_inputs(df)).drop("v_all", "v_best", "v_pca") for df in (train, test))
