@@ -20,7 +20,7 @@ def _(spark, d):
 
 # Reference values per fold: printed points with two decimals, two folds of which we never ran.
 table("refv", "SELECT fold, round(100 * avg(v), 2) AS accuracy, round(avg(v) * 60, 2) AS macro_f1 FROM (SELECT recording % 7 AS fold, v FROM raw) GROUP BY 1", "raw")
-table("fs", mq.FOLD_SQL, "cs")
+table("fs", """SELECT fold, sum(hits) / sum(actual) AS accuracy, avg(p) AS macro_precision, avg(r) AS macro_recall, avg(f1) AS macro_f1 FROM cs GROUP BY fold""", "cs")
 
 
 def reference_values(spark, d):
@@ -171,7 +171,7 @@ def vector_files(spark, d):
     return matrix, subject, label, names
 
 
-@query("s1_read_matrix", "lv", "SELECT (row_number() OVER (ORDER BY vec_id, feature) - 1) // 64 AS row, feature, round(x, 4) AS x FROM lv")
+@query("s1_read_matrix", "lv", "SELECT (row_number() OVER (ORDER BY vec_id, feature) - 1) // 64 AS row, feature, round(x, 4) + 0.0::DOUBLE AS x FROM lv")
 def _(spark, d):
     matrix, *_ = vector_files(spark, d)
     return rec.read_matrix(spark, matrix, 64).select("row", F.posexplode("values").alias("feature", "x")).withColumn("x", F.round("x", 4))

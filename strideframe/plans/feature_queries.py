@@ -94,7 +94,7 @@ def _(spark, d):
     return rows.select("recording", "pos", r6(F.col("a") - F.col("s") / F.col("n"), "vertical"))
 
 
-@query("p12_angular_rate", "fr", """SELECT recording, pos, round(x * sg * sc, 6) AS gyro_x, round(y * sg * sc, 6) AS gyro_y, round(z * sg * sc, 6) AS gyro_z FROM (
+@query("p12_angular_rate", "fr", """SELECT recording, pos, round(x * sg * sc, 6) + 0.0::DOUBLE AS gyro_x, round(y * sg * sc, 6) + 0.0::DOUBLE AS gyro_y, round(z * sg * sc, 6) + 0.0::DOUBLE AS gyro_z FROM (
   SELECT *, 2 * atan2(nrm, w * sg) / CASE WHEN nrm > 0 THEN nrm ELSE 1 END / 0.25 AS sc FROM (SELECT *, y - 0.8 AS w, CASE WHEN y - 0.8 < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sg, sqrt(x*x + y*y + z*z) AS nrm FROM fr))""")
 def _(spark, d):
     rates = S.angular_rate(F.col("y") - 0.8, [F.col("x"), F.col("y"), F.col("z")], F.lit(0.25))
@@ -262,30 +262,79 @@ def _(spark, d):
     return out.select(*WIN, F.posexplode("features").alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
+def continuous_windows(spark, d):
+    """Frame windows whose first channel has no repeated values, so no sample ties with its window mean."""
+    return frame_windows(spark, d).withColumn("x", F.col("x") + F.col("y"))
+
+
 def typed(spark, d, kind):
-    rows = gather(frame_windows(spark, d), WIN, ["x", "y", "z"])
+    rows = gather(continuous_windows(spark, d), WIN, ["x", "y", "z"])
     centres = {"x": F.lit(0.45), "y": F.lit(0.9), "z": F.lit(0.09)}
     out, names = feat.typed_features(rows, WIN, ["x", "y", "z"], kind, centres, 8, cepstral=3)
     labels = F.array(*[F.lit(n) for n in names])
-    return out.select(*WIN, F.posexplode("features").alias("i", "value")).select(*WIN, F.element_at(labels, F.col("i") + 1).alias("feature"), r6(F.col("value"), "value"))
-
+    return out.select(*WIN, F.posexplode("features").alias("i", "value")).select(*WIN, F.element_at(labels, F.col("i") + 1).alias("feature"), F.round("value", 4).alias("value"))
+
+
+# Three channels of the frame windows, one row per (window, channel, sample), and what the vectors hold of them.
+table("fwx", "SELECT * REPLACE (x + y AS x) FROM fwin", "fwin")
+table("ch", """SELECT recording, win, pos - 4 * win AS i, c AS channel, CASE c WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS v, CASE c WHEN 'x' THEN 0.45 WHEN 'y' THEN 0.9 ELSE 0.09 END::DOUBLE AS centre
+  FROM (SELECT *, unnest(['x', 'y', 'z']) AS c FROM fwx)""", "fwx")
+table("chc", "SELECT *, avg(v) OVER w AS m, v - avg(v) OVER w AS c FROM ch WINDOW w AS (PARTITION BY recording, win, channel)", "ch")
+table("chs", """SELECT recording, win, channel, k, pow(sum(c * cos(2 * pi() * k * i / 8)), 2) + pow(sum(c * sin(2 * pi() * k * i / 8)), 2) AS p FROM (SELECT *, unnest(range(0, 5)) AS k FROM chc) GROUP BY recording, win, channel, k""", "chc")
+CROSSING_SQL = """(SELECT *, lag(a) OVER o AS pa, lag(b) OVER o AS pb FROM (SELECT *, v >= centre AS a, v >= m AS b FROM chc) WINDOW o AS (PARTITION BY recording, win, channel ORDER BY i))"""
+BLOCKS = {
+    "Raw": ["SELECT recording, win, 'raw' || i || '_' || channel AS feature, v AS value FROM ch"],
+    "VerySimple": ["SELECT recording, win, 'mean_' || channel AS feature, avg(v) AS value FROM ch GROUP BY recording, win, channel", "SELECT recording, win, 'variance_' || channel, var_pop(v) FROM ch GROUP BY recording, win, channel"],
+    "Rates": [
+        f"SELECT recording, win, 'zeroCrossingRate_' || channel AS feature, sum(CASE WHEN a <> pa THEN 1 ELSE 0 END) / 7.0::DOUBLE AS value FROM {CROSSING_SQL} GROUP BY recording, win, channel",
+        f"SELECT recording, win, 'meanCrossingRate_' || channel, sum(CASE WHEN b <> pb THEN 1 ELSE 0 END) / 7.0::DOUBLE FROM {CROSSING_SQL} GROUP BY recording, win, channel",
+    ],
+    "FFT": [
+        "SELECT recording, win, 'fftBand1_' || channel AS feature, 0.0::DOUBLE AS value FROM ch GROUP BY recording, win, channel",
+        *[f"SELECT recording, win, 'fftBand{b}_' || channel, sum(p) FROM chs WHERE k IN ({ks}) GROUP BY recording, win, channel" for b, ks in ((2, "1"), (3, "2"), (4, "3, 4"))],
+        "SELECT recording, win, 'cepstrum' || j || '_' || channel, sqrt(0.5) * sum(ln(p + 1e-10) * cos(pi() * (2 * (k - 1) + 1) * j / 8)) FROM (SELECT *, unnest([1, 2, 3]) AS j FROM chs WHERE k >= 1) GROUP BY recording, win, channel, j",
+        "SELECT recording, win, 'spectralEntropy_' || channel, -sum(CASE WHEN p > 0 THEN p / t * log2(p / t) ELSE 0 END) FROM (SELECT *, sum(p) OVER (PARTITION BY recording, win, channel) AS t FROM chs WHERE k >= 1) GROUP BY recording, win, channel",
+        "SELECT recording, win, 'energy_' || channel, sum(p) / 8 FROM chs WHERE k >= 1 GROUP BY recording, win, channel",
+    ],
+}
+BLOCKS["Simple"] = BLOCKS["VerySimple"] + BLOCKS["Rates"]
+BLOCKS["All"] = BLOCKS["Simple"] + BLOCKS["FFT"]
 
 for _kind in feat.FEATURE_TYPES:
-    query(f"f19_features_{_kind.lower()}")(lambda spark, d, kind=_kind: typed(spark, d, kind))
+    query(f"f19_features_{_kind.lower()}", "chs chc", "SELECT recording, win, feature, round(value, 4) + 0.0::DOUBLE AS value FROM (" + " UNION ALL ".join(BLOCKS[_kind]) + ")")(
+        lambda spark, d, kind=_kind: typed(spark, d, kind)
+    )
 
 
-@query("f20_recognizer_vector")
+@query("f20_recognizer_vector", "chs chc", """SELECT recording, win, (CASE channel WHEN 'x' THEN 0 WHEN 'y' THEN 6 ELSE 12 END + o)::INTEGER AS feature, round(value::FLOAT::DOUBLE, 3) + 0.0::DOUBLE AS value FROM (
+  SELECT recording, win, channel, 0 AS o, avg(v) AS value FROM ch GROUP BY recording, win, channel UNION ALL SELECT recording, win, channel, 1, var_pop(v) FROM ch GROUP BY recording, win, channel
+  UNION ALL SELECT recording, win, channel, CASE k WHEN 1 THEN 2 WHEN 4 THEN 4 ELSE 3 END, sum(p) / 8 FROM chs WHERE k >= 1 GROUP BY ALL UNION ALL SELECT recording, win, channel, 5, arg_max(k, p) * 0.5 FROM chs WHERE k >= 1 GROUP BY recording, win, channel)""".replace("sum(p) / 8 FROM chs WHERE k >= 1 GROUP BY ALL", "sum(p) / 8 FROM chs WHERE k >= 1 GROUP BY recording, win, channel, CASE k WHEN 1 THEN 2 WHEN 4 THEN 4 ELSE 3 END"))
 def _(spark, d):
-    rows = gather(frame_windows(spark, d), WIN, ["x", "y", "z"])
+    rows = gather(continuous_windows(spark, d), WIN, ["x", "y", "z"])
     out, names = feat.recognizer_features(rows, WIN, ["x", "y", "z"], 8, RATE, (0.5, 1.0, 2.0))
-    return out.select(*WIN, F.posexplode("features").alias("feature", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4))
+    return out.select(*WIN, F.posexplode("features").alias("feature", "value")).withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+_STATS = ["avg(v)", "var_pop(v)", "quantile_cont(v, 0.5)", "quantile_cont(v, 0.75) - quantile_cont(v, 0.25)", "CASE WHEN avg(c*c) > 1e-12 THEN avg(c*c*c) / pow(avg(c*c), 1.5) ELSE 0 END", "CASE WHEN avg(c*c) > 1e-12 THEN avg(c*c*c*c) / pow(avg(c*c), 2) - 3 ELSE 0 END", "sqrt(avg(v*v))"]
+_CHANNEL = "CASE channel WHEN 'x' THEN 0 WHEN 'y' THEN 17 ELSE 34 END"
+_BY = "GROUP BY recording, win, channel"
+_SIGNAL_SQL = [f"SELECT recording, win, {_CHANNEL} + {i} AS feature, {e} AS value FROM chc {_BY}" for i, e in enumerate(_STATS)]
+_SIGNAL_SQL += [f"SELECT recording, win, {_CHANNEL} + 7, sum(CASE WHEN s <> ps THEN 1 ELSE 0 END)::DOUBLE FROM (SELECT *, c < 0 AS s, lag(c < 0) OVER (PARTITION BY recording, win, channel ORDER BY i) AS ps FROM chc) {_BY}"]
+_SIGNAL_SQL += [f"SELECT recording, win, {_CHANNEL} + {i}, {e} FROM chc {_BY}" for i, e in ((8, "max(v) - min(v)"), (9, "CASE WHEN avg(v*v) > 0 THEN max(abs(v)) / sqrt(avg(v*v)) ELSE 0 END"), (10, "max(v) - min(v)"), (11, "abs(avg(v))"))]
+_SIGNAL_SQL += [f"SELECT recording, win, {_CHANNEL} + 12, sum(p) / 8 FROM chs WHERE k >= 1 {_BY}", f"SELECT recording, win, {_CHANNEL} + 13, -sum(CASE WHEN p > 0 THEN p / t * log2(p / t) ELSE 0 END) FROM (SELECT *, sum(p) OVER (PARTITION BY recording, win, channel) AS t FROM chs WHERE k >= 1) {_BY}"]
+table("haar", """SELECT recording, win, channel, list_concat(list_concat(d1, d2), [(c[1] - c[2]) / sqrt(2)]) AS dd FROM (SELECT *, [(b[2*i+1] + b[2*i+2]) / sqrt(2) for i in range(0, 2)] AS c, [(b[2*i+1] - b[2*i+2]) / sqrt(2) for i in range(0, 2)] AS d2 FROM (
+  SELECT *, [(a[2*i+1] + a[2*i+2]) / sqrt(2) for i in range(0, 4)] AS b, [(a[2*i+1] - a[2*i+2]) / sqrt(2) for i in range(0, 4)] AS d1 FROM (SELECT recording, win, channel, list(v ORDER BY i) AS a FROM ch GROUP BY recording, win, channel)))""", "ch")
+_SIGNAL_SQL += [f"SELECT recording, win, {_CHANNEL} + {i}, {e} FROM haar" for i, e in ((14, "list_sum(dd)"), (15, "list_sum(dd) * list_sum(dd)"), (16, "list_sum([x * x for x in dd])"))]
+_SIGNAL_SQL += [f"SELECT recording, win, {51 + i}, {e} FROM (SELECT *, sqrt(x*x + y*y + z*z) AS g FROM fwx) GROUP BY recording, win" for i, e in enumerate(
+    [*[f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 1e-12 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) ELSE 0 END" for a, b in (("x", "y"), ("x", "z"), ("y", "z"))], "avg(g)", "var_pop(g)"]
+)]
 
 
-@query("f21_signal_vector")
+@query("f21_signal_vector", "chs chc haar fwx", "SELECT recording, win, feature::INTEGER AS feature, round(value, 5) + 0.0::DOUBLE AS value FROM (" + " UNION ALL ".join(_SIGNAL_SQL) + ")")
 def _(spark, d):
-    rows = gather(frame_windows(spark, d), WIN, ["x", "y", "z"])
+    rows = gather(continuous_windows(spark, d), WIN, ["x", "y", "z"])
     out, names = feat.attal_features(rows, WIN, {"wrist": ["x", "y", "z"]}, 8)
-    return out.select(*WIN, F.posexplode("features").alias("feature", "value")).withColumn("value", F.round("value", 6))
+    return out.select(*WIN, F.posexplode("features").alias("feature", "value")).withColumn("value", F.round("value", 5))
 
 
 table("fscore", """SELECT a.recording, a.win, variance, entropy, sqrt(pow(mx - lag(mx) OVER w, 2) + pow(my - lag(my) OVER w, 2) + pow(mz - lag(mz) OVER w, 2))
