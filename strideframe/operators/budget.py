@@ -45,22 +45,30 @@ def stride_kept(pos: Column, n: Column, k: Column) -> Column:
     return (i < k) & (F.floor(i * n / k) == pos)
 
 
-def later_places(df: DataFrame, stream: str = "stream", pos: str = "pos", scores: Sequence[str] = SCORES) -> DataFrame:
-    """Places of the later windows of every stream by each score and by the mean of their ranks.
+def later_places(df: DataFrame, wanted: Sequence[str], stream: str = "stream", pos: str = "pos") -> DataFrame:
+    """Places of the later windows of every stream by each wanted score and, for meanRank, by the mean of all ranks.
 
     All scores are ranked in one pass over a long table keyed by (stream, score name).
     """
+    mean_rank = "meanRank" in wanted
+    scores = SCORES if mean_rank else [s for s in SCORES if s in wanted]
     later = df.filter(F.col(pos) > 0)
     long = later.select(stream, pos, F.inline(F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("value")) for s in scores])))
     ranked = settle(rank_rows(long, [stream, "name"], F.col("value"), pos, "place", "rank"))
-    sums = ranked.groupBy(stream, pos).agg((-F.sum("rank")).alias("__mean"))
-    mean = rank_rows(sums, [stream], F.col("__mean"), pos, "place").select(stream, pos, F.lit("meanRank").alias("name"), "place")
-    every = ranked.select(stream, pos, "name", "place").unionByName(mean)
+    every = ranked.select(stream, pos, "name", "place")
+    if mean_rank:
+        every = every.unionByName(mean_places(ranked, stream, pos))
     return every.groupBy(stream, pos).agg(
-        *[F.max(F.when(F.col("name") == s, F.col("place"))).alias(f"place_{s}") for s in (*scores, "meanRank")]
+        *[F.max(F.when(F.col("name") == s, F.col("place"))).alias(f"place_{s}") for s in (*scores, *(["meanRank"] if mean_rank else []))]
     )
 
 
+def mean_places(ranked: DataFrame, stream: str, pos: str) -> DataFrame:
+    """Places by the mean of the average ranks of all scores."""
+    sums = ranked.groupBy(stream, pos).agg((-F.sum("rank")).alias("__mean"))
+    return rank_rows(sums, [stream], F.col("__mean"), pos, "place").select(stream, pos, F.lit("meanRank").alias("name"), "place")
+
+
 def random_places(df: DataFrame, budgets: Sequence[int], seeds: Sequence[int], stream: str = "stream", pos: str = "pos") -> DataFrame:
     """Places of the later windows in a seeded draw without replacement, one draw per seed and budget."""
     draws = F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(s).alias("seed")) for b in budgets for s in seeds])
@@ -87,7 +95,7 @@ def select_windows(
     base = add_lengths(df)
     ranks = {*methods} & {*SCORES, "meanRank"}
     if ranks:
-        base = base.join(later_places(df), ["stream", "pos"], "left")
+        base = base.join(later_places(df, sorted(ranks)), ["stream", "pos"], "left")
     runs = [(m, b, s) for m in methods for b in budgets for s in (seeds if m == "random" else (None,))]
     params = F.array(
         *[F.struct(F.lit(m).alias("method"), F.lit(b).alias("budget"), F.lit(s).cast("int").alias("seed")) for m, b, s in runs]

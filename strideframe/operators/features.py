@@ -11,6 +11,7 @@ from strideframe.functions import arrays as A
 from strideframe.functions.scalars import magnitude
 from strideframe.operators.ordered import chunk_by_position, sweep
 from strideframe.operators.windows import gather
+from strideframe.session import settle
 
 BAND_EDGES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 FEATURE_TYPES = ("Raw", "VerySimple", "Simple", "FFT", "All")
@@ -222,7 +223,8 @@ def window_scores(
         stats = stats.withColumn(f"__p{m}", A.power_spectrum(F.transform(f"__l{m}", lambda r: r["v"])))
     entropy = average([A.flat_entropy(A.without_dc(F.col(f"__p{m}"))) for m in mags])
     variance = average([F.col(f"__v{m}") for m in mags])
-    kept = stats.select(*keys, variance.alias("variance"), entropy.alias("entropy"), *[f"__a{a}" for a in axes_all], *[f"__s{a}" for a in axes_all])
+    # Settled because the sweep reads its input twice.
+    kept = settle(stats.select(*keys, variance.alias("variance"), entropy.alias("entropy"), *[f"__a{a}" for a in axes_all], *[f"__s{a}" for a in axes_all]))
     state = F.struct(*[F.col(f"__a{a}") for a in axes_all], *[F.col(f"__s{a}") for a in axes_all])
     seen = sweep(chunk_by_position(kept, win, "__chunk"), stream, [win], chunk="__chunk", prev={"__was": state})
     distances = []

@@ -75,10 +75,12 @@ def sweep(
     stamp = F.struct(*order)
     inner = Window.partitionBy(*keys, chunk).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inner.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is looking back in reversed order: a frame that ends at the
+    # last row would be evaluated anew for every row.
+    onward = Window.partitionBy(*keys, chunk).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy(*keys).orderBy(chunk)
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
-    after = outer.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     boxed = {name: F.struct(value.alias("v")) for name, value in {**prev, **following}.items()}
 
@@ -110,9 +112,9 @@ def sweep(
         local[name] = F.coalesce(F.last(value, ignorenulls=True).over(upto), edge)
     for name, value in next_valid.items():
         edge = carry(
-            name, F.min_by(value, F.when(value.isNotNull(), stamp)), lambda c: F.first(c, ignorenulls=True).over(after)
+            name, F.min_by(value, F.when(value.isNotNull(), stamp)), lambda c: F.last(c, ignorenulls=True).over(after)
         )
-        local[name] = F.coalesce(F.first(value, ignorenulls=True).over(onward), edge)
+        local[name] = F.coalesce(F.last(value, ignorenulls=True).over(onward), edge)
     for name, (how, value) in totals.items():
         fold = getattr(F, how)
         local[name] = carry(name, fold(value), lambda c, fold=fold: fold(c).over(whole))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from strideframe.operators import budget as bud
 from strideframe.operators.features import window_scores
 from strideframe.operators.ordered import chunk_by_position, sweep
-from strideframe.operators.windows import majority_labels
+from strideframe.operators.windows import majority_labels, sliding_members
 from strideframe.plans import feature_queries  # noqa: F401  (its SQL tables are used below)
-from strideframe.plans.inputs import KEYS, frame_windows, r6, r9
+from strideframe.plans.inputs import KEYS, STEP, WINDOW, frames, r6, r9
 from strideframe.plans.registry import query, table
 from strideframe.session import settle
 
@@ -40,7 +40,7 @@ table("bruns", """SELECT method, budget, seed, realised_budget, accuracy, macro_
 
 def scored_windows(spark, d):
     """Windows of every stream with scores, majority label, and the label before as full prediction."""
-    members = frame_windows(spark, d)
+    members = sliding_members(settle(frames(spark, d)), WINDOW, STEP)
     scores = window_scores(members, KEYS, [["x", "y", "z"]])
     labels = majority_labels(members, ["recording", "win"])
     rows = chunk_by_position(labels, "win", "__c")

@@ -263,8 +263,8 @@ def _(spark, d):
 
 
 def continuous_windows(spark, d):
-    """Frame windows whose first channel has no repeated values, so no sample ties with its window mean."""
-    return frame_windows(spark, d).withColumn("x", F.col("x") + F.col("y"))
+    """Frame windows whose channels have no repeated values, so no sample ties with its window mean."""
+    return frame_windows(spark, d).withColumns({"x": F.col("x") + F.col("y"), "z": F.col("z") + F.col("y")})
 
 
 def typed(spark, d, kind):
@@ -276,7 +276,7 @@ def typed(spark, d, kind):
 
 
 # Three channels of the frame windows, one row per (window, channel, sample), and what the vectors hold of them.
-table("fwx", "SELECT * REPLACE (x + y AS x) FROM fwin", "fwin")
+table("fwx", "SELECT * REPLACE (x + y AS x, z + y AS z) FROM fwin", "fwin")
 table("ch", """SELECT recording, win, pos - 4 * win AS i, c AS channel, CASE c WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS v, CASE c WHEN 'x' THEN 0.45 WHEN 'y' THEN 0.9 ELSE 0.09 END::DOUBLE AS centre
   FROM (SELECT *, unnest(['x', 'y', 'z']) AS c FROM fwx)""", "fwx")
 table("chc", "SELECT *, avg(v) OVER w AS m, v - avg(v) OVER w AS c FROM ch WINDOW w AS (PARTITION BY recording, win, channel)", "ch")

@@ -26,6 +26,7 @@ table("fguess", """SELECT recording, win, fold, label AS truth, arg_min(g, (d, g
 def flagship_guesses(spark, d):
     members = windows(spark, d)
     rows = feat.mean_variance(members, WIN, ["v"]).join(majority_labels(members, WIN), WIN).withColumn("fold", F.col("recording") % 5)
+    rows = settle(rows)
     return st.cross_fold_centroids(rows, "fold", "label", ["mean_v", "variance_v"])
 
 
