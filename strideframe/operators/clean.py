@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.operators.ordered import chunk_rows, exact_quantiles, number_groups, number_runs, sweep
+from strideframe.operators.ordered import attach, chunk_rows, exact_quantiles, number_groups, number_runs, sweep
 
 GAP_FACTOR = 1.5
 STEP_MICROSECONDS = 16667
@@ -203,8 +203,7 @@ def fill_inventory(
     for c in columns:
         equal = equal & (F.abs(F.col(c) - F.col(f"__m_{c}")) <= tolerance)
     per_label = (
-        runs.filter("__f")
-        .join(means, [*keys, label])
+        attach(runs.filter("__f"), means, keys, extra=[label])
         .groupBy(*keys, "run", label)
         .agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.bool_and(equal).alias("same"))
     )

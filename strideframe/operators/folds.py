@@ -64,7 +64,7 @@ def group_folds(df: DataFrame, group: str, folds: int, strata: str | None = None
         everything = [a + t * row["__s"] for a, t in zip(everything, taken)]
         edges.append((row["__k"], row["__s"], np.cumsum(taken).tolist()))
     plan = df.sparkSession.createDataFrame(edges, "__k string, __s bigint, __e array<bigint>")
-    placed = rank_by_hash(sizes, ["__k", "__s"], F.abs(F.xxhash64(group)) % (1 << 31), group, "__p")
+    placed = rank_by_hash(sizes, ["__k", "__s"], F.pmod(F.xxhash64(group), F.lit(1 << 31)), group, "__p")
     dealt = placed.join(plan, ["__k", "__s"])
     return dealt.select(group, F.size(F.filter("__e", lambda e: e <= F.col("__p"))).cast("int").alias(name))
 

@@ -91,7 +91,7 @@ def nearest(train: DataFrame, test: DataFrame, key: str, label: str, k: int, fea
     test_blocks = np.array([max(1, -(-demand.get(c, 0) // block)) for c in range(len(points))])
     plan = spark.createDataFrame([(c, int(train_blocks[c]), int(test_blocks[c])) for c in range(len(points))], "cell int, tb int, sb int")
 
-    salt = F.abs(F.xxhash64("key"))
+    salt = F.pmod(F.xxhash64("key"), F.lit(1 << 31))
     spread_train = placed.join(plan, "cell").select(
         "key", "label", "features", "cell", (salt % F.col("tb")).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s")
     )

@@ -35,9 +35,8 @@ def add_chunk(df: DataFrame, keys: Sequence[str], clock: str | Column, name: str
     spans = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), (F.max(clock) - F.min(clock)).cast("double").alias("span")
     )
-    width = spans.filter(F.col("n") > rows).agg(
-        F.coalesce(F.min((F.col("span") + 1) * rows / F.col("n")), F.lit(float(1 << 62))).alias("width")
-    )
+    even = F.when(F.col("span") > 0, F.col("span") * rows / F.col("n"))
+    width = spans.filter(F.col("n") > rows).agg(F.coalesce(F.min(even), F.lit(float(1 << 62))).alias("width"))
     return df.withColumn(name, F.floor(clock / width.scalar()).cast("long"))
 
 
@@ -173,6 +172,16 @@ def number_runs(
     )
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], *, chunk: str = "chunk", extra: Sequence[str] = ()) -> DataFrame:
+    """Join values of a key (and ``extra`` columns) to its rows by way of the chunks.
+
+    The values meet one row per (key, chunk) first; the rows then join on the
+    chunk as well, so a hot key is spread like everywhere else.
+    """
+    edges = df.select(*keys, chunk, *extra).distinct().join(per_key, [*keys, *extra])
+    return df.join(edges, [*keys, chunk, *extra])
+
+
 def number_groups(df: DataFrame, outer_key: str, inner_keys: Sequence[str], name: str) -> DataFrame:
     """Distinct (outer_key, inner_keys) numbered 0.. in their sort order over all outer keys.
 

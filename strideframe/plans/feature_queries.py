@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import arrays as A, scalars as S
 from strideframe.operators import features as feat
-from strideframe.operators.ordered import sweep
+from strideframe.operators.ordered import attach, sweep
 from strideframe.operators.windows import gather
 from strideframe.plans.cleaning_queries import runs
 from strideframe.plans.inputs import KEYS, ORDER, frame_windows, frames, load, r6, raw_samples, samples, vectors, windows
@@ -109,7 +109,7 @@ def _(spark, d):
     rows = raw_samples(spark, d)
     periods = sample_periods(rows, KEYS, ORDER)
     value = (F.col("v") / (F.col("period") / 1e6)).cast("float").cast("double")
-    return rows.join(periods, "recording").select("recording", "event_id", F.round(value * 1e6, 3).alias("acceleration"))
+    return attach(rows, periods, KEYS).select("recording", "event_id", F.round(value * 1e6, 3).alias("acceleration"))
 
 
 @query("p14_encode_labels", "", """WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1))
