@@ -13,6 +13,7 @@ from strideframe.operators.ordered import chunk_by_position, exact_quantiles, sw
 from strideframe.operators.ranking import rank_by_hash, rank_rows
 from strideframe.session import settle
 
+# Names of the scores and methods, budgets in percent, seeds of the random draws.
 SCORES = ("accelerationVariance", "windowChange", "spectralEntropy")
 METHODS = ("changeTrigger", "uniformStride", "random", *SCORES, "meanRank")
 BUDGETS = (5, 10, 20, 50, 100)

@@ -13,6 +13,7 @@ from strideframe.operators.ordered import chunk_by_position, sweep
 from strideframe.operators.windows import gather
 from strideframe.session import settle
 
+# Band edges in Hz, names of the feature types.
 BAND_EDGES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 FEATURE_TYPES = ("Raw", "VerySimple", "Simple", "FFT", "All")
 
@@ -25,6 +26,28 @@ def mean_variance(members: DataFrame, keys: Sequence[str], channels: Sequence[st
     return members.groupBy(*keys).agg(*out)
 
 
+def window_table(members: DataFrame, keys: Sequence[str], channels: Sequence[str], label: str = "label") -> DataFrame:
+    """Mean, population variance and majority label (the lowest on a tie) of every window in one pass.
+
+    Samples are added up per (window, label) before the shuffle; the second step
+    joins at most as many rows as a window has labels.
+    """
+    sums = []
+    for c in channels:
+        sums += [F.sum(c).alias(f"__s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"__q_{c}")]
+    parts = members.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__n"), *sums)
+    whole = parts.groupBy(*keys).agg(
+        F.min(F.struct((-F.col("__n")).alias("n"), F.col(label).alias("v"))).alias("__best"),
+        F.sum("__n").alias("__n"),
+        *[F.sum(f"__{k}_{c}").alias(f"__{k}_{c}") for c in channels for k in "sq"],
+    )
+    out = []
+    for c in channels:
+        mean = F.col(f"__s_{c}") / F.col("__n")
+        out += [mean.alias(f"mean_{c}"), F.greatest(F.col(f"__q_{c}") / F.col("__n") - mean * mean, F.lit(0.0)).alias(f"variance_{c}")]
+    return whole.select(*keys, *out, F.col("__best")["v"].alias(label))
+
+
 def shape_statistics(members: DataFrame, keys: Sequence[str], channel: str) -> DataFrame:
     """Skewness, excess kurtosis, median, quartile range, RMS, peak to peak, crest factor, DC part."""
     c = F.col(channel)
@@ -124,6 +147,7 @@ def recognizer_features(
     return rows.select(*keys, F.concat(*blocks).cast("array<float>").alias("features")), names
 
 
+# Names and order of the features of one signal.
 SIGNAL_FEATURES = [
     "mean", "variance", "median", "interquartileRange", "skewness", "kurtosis", "rootMeanSquare", "zeroCrossings", "peakToPeak",
     "crestFactor", "range", "fftDcComponent", "spectralEnergy", "spectralEntropy", "waveletSum", "waveletSquaredSum", "waveletEnergy",
@@ -179,7 +203,7 @@ def placement_block(axes: Sequence[Column]) -> Column:
     return F.array(*out, A.mean(norm), A.moment(A.centred(norm), 2))
 
 
-def attal_features(packed: DataFrame, keys: Sequence[str], placements: dict[str, Sequence[str]], size: int) -> tuple[DataFrame, list[str]]:
+def signal_features(packed: DataFrame, keys: Sequence[str], placements: dict[str, Sequence[str]], size: int) -> tuple[DataFrame, list[str]]:
     """17 features per signal and 5 per placement of three axes."""
     rows, blocks, names = packed, [], []
     signals = [s for axes in placements.values() for s in axes]

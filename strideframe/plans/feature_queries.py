@@ -333,7 +333,7 @@ _SIGNAL_SQL += [f"SELECT recording, win, {51 + i}, {e} FROM (SELECT *, sqrt(x*x
 @query("f21_signal_vector", "chs chc haar fwx", "SELECT recording, win, feature::INTEGER AS feature, round(value, 5) + 0.0::DOUBLE AS value FROM (" + " UNION ALL ".join(_SIGNAL_SQL) + ")")
 def _(spark, d):
     rows = gather(continuous_windows(spark, d), WIN, ["x", "y", "z"])
-    out, names = feat.attal_features(rows, WIN, {"wrist": ["x", "y", "z"]}, 8)
+    out, names = feat.signal_features(rows, WIN, {"wrist": ["x", "y", "z"]}, 8)
     return out.select(*WIN, F.posexplode("features").alias("feature", "value")).withColumn("value", F.round("value", 5))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strideframe.operators import aggregate as agg, budget as bud, clean, features as feat, folds as fold, metrics as met, prep
 from strideframe.operators.models import ensembles as ens
 from strideframe.operators.ordering import union_tables
-from strideframe.operators.windows import gather, majority_labels
+from strideframe.operators.windows import gather
 from strideframe.plans import budget_queries as bq, cleaning_queries as cq, comparison_queries as jq, measure_queries as mq, model_queries as vq, studies as st
 from strideframe.plans.inputs import KEYS, ORDER, frame_windows, frames, r6, r9, vectors, windows
 from strideframe.plans.registry import query, table
@@ -25,8 +25,7 @@ table("fguess", """SELECT recording, win, fold, label AS truth, arg_min(g, (d, g
 
 def flagship_guesses(spark, d):
     members = windows(spark, d)
-    rows = feat.mean_variance(members, WIN, ["v"]).join(majority_labels(members, WIN), WIN).withColumn("fold", F.col("recording") % 5)
-    rows = settle(rows)
+    rows = settle(feat.window_table(members, WIN, ["v"]).withColumn("fold", F.col("recording") % 5))
     return st.cross_fold_centroids(rows, "fold", "label", ["mean_v", "variance_v"])
 
 
@@ -178,7 +177,7 @@ def _(spark, d):
 @query("q7_participant_identification")
 def _(spark, d):
     members = frame_windows(spark, d)
-    rows = feat.mean_variance(members, WIN, ["x", "y", "z"]).join(majority_labels(members, WIN), WIN)
+    rows = feat.window_table(members, WIN, ["x", "y", "z"])
     names = [f"{s}_{c}" for c in "xyz" for s in ("mean", "variance")]
     table = rows.select(
         (F.col("recording") * 100_000 + F.col("win")).alias("key"), F.col("win").alias("row"), (F.col("recording") * 1000 + F.floor(F.col("win") / 8)).alias("bout"),

@@ -78,7 +78,7 @@ def test_sine_constant_and_vectors(spark):
     df = spark.createDataFrame([(0, sine.tolist()), (1, [3.0] * 32)], "k int, v array<double>")
     out = feat.with_spectrum(df, "v").select("k", A.dominant_bin(F.col("power")).alias("bin"), A.entropy_bits(A.without_dc(F.col("power"))).alias("e")).toPandas().set_index("k")
     assert out.loc[0, "bin"] == 4 and abs(out.loc[0, "e"]) < 1e-9 and out.loc[1, "e"] == 0.0
-    rows, names = feat.attal_features(df.select("k", *[F.col("v").alias(c) for c in "xyz"]), ["k"], {"p": ["x", "y", "z"]}, 32)
+    rows, names = feat.signal_features(df.select("k", *[F.col("v").alias(c) for c in "xyz"]), ["k"], {"p": ["x", "y", "z"]}, 32)
     flat = dict(zip(names, rows.filter("k = 1").first()["features"]))
     assert len(names) == 17 * 3 + 5 and flat["x_skewness"] == 0.0 and flat["p_correlationxy"] == 0.0
 
