@@ -24,17 +24,20 @@ def pool(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counts.groupBy(*keys, "truth", "guess").agg(F.sum("n").alias("n"))
 
 
-def label_grid(counts: DataFrame, keys: Sequence[str], labels: Sequence, names: Sequence[str]) -> DataFrame:
-    """Every group of keys with every label (combination) in the fixed order."""
-    grid = counts.select(*keys).distinct() if keys else counts.agg(F.count(F.lit(1)).alias("__one")).drop("__one")
-    for name in names:
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in labels])))
-    return grid
-
-
 def confusion_long(counts: DataFrame, labels: Sequence, keys: Sequence[str] = ()) -> DataFrame:
-    grid = label_grid(counts, keys, labels, ["truth", "guess"])
-    return grid.join(counts, [*keys, "truth", "guess"], "left").select(*keys, "truth", "guess", F.coalesce("n", F.lit(0)).alias("n"))
+    """Every pair of the fixed labels in every group, zero where it does not occur.
+
+    A group holds at most labels x labels counts, so they are packed into one map
+    per group and read out in order; ``counts`` is evaluated once.
+    """
+    pair = F.struct("truth", "guess")
+    packed = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(pair.alias("k"), F.col("n").alias("v")))).alias("m"))
+    cells = [
+        F.struct(F.lit(t).alias("truth"), F.lit(g).alias("guess"), F.coalesce(F.try_element_at("m", F.struct(F.lit(t).alias("truth"), F.lit(g).alias("guess"))), F.lit(0)).alias("n"))
+        for t in labels
+        for g in labels
+    ]
+    return packed.select(*keys, F.inline(F.array(*cells)))
 
 
 def confusion_wide(counts: DataFrame, labels: Sequence, keys: Sequence[str] = ()) -> DataFrame:
@@ -69,12 +72,16 @@ def class_counts(counts: DataFrame, labels: Sequence, keys: Sequence[str] = ())
         F.sum(F.col("n") * (1 - F.col("s.t"))).alias("predicted"),
         F.sum(F.col("n") * F.col("s.t")).alias("actual"),
     )
-    grid = label_grid(counts, keys, labels, ["label"])
-    out = grid.join(sums, [*keys, "label"], "left").select(
-        *keys, "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "predicted", "actual")]
+    known = F.col("label").isin(*labels)
+    packed = sums.filter(F.col("label").isNotNull()).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("label", F.struct("hits", "predicted", "actual").alias("v")))).alias("m"),
+        F.sum(F.when(known, F.col("actual"))).alias("rows"),
     )
-    rows = out.groupBy(*keys).agg(F.sum("actual").alias("rows"))
-    return out.join(rows, list(keys)) if keys else out.withColumn("rows", rows.scalar())
+    cells = []
+    for label in labels:
+        found = F.try_element_at("m", F.lit(label))
+        cells.append(F.struct(F.lit(label).alias("label"), *[F.coalesce(found[c], F.lit(0)).alias(c) for c in ("hits", "predicted", "actual")]))
+    return packed.select(*keys, F.inline(F.array(*cells)), "rows").select(*keys, "label", "hits", "predicted", "actual", "rows")
 
 
 def class_scores(counts: DataFrame, labels: Sequence, keys: Sequence[str] = ()) -> DataFrame:
