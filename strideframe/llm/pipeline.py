@@ -1,0 +1,24 @@
+"""The stages of the training-data pipeline."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from strideframe.llm import bpe
+from strideframe.llm.common import keep, read
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text."""
+    return bpe.encode_frame(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("tokens", tokens)]
+
+
+def run_stages(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in stages[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return stages[-1][1](spark, docs, sf_dir)
