@@ -23,28 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.llm.bytewise import chunks, mix, prefix_sums, substrings
+
 SEED_WORDS, RARE, ALWAYS = 3, 1.0, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
-#: Bytes of item texts in one block, about; bytes of document text worked on at once.
-ITEM_BYTES, AT_ONCE = 4 << 20, 2 << 20
+#: Bytes of item texts in one block, about.
+ITEM_BYTES = 4 << 20
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-PRIME = 0x100000001B3
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def powers(n: int, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  shared by all calls in a process
-    if len(held.get("p", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        held["p"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, PRIME, np.uint64)]))
-        held["q"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, pow(PRIME, -1, 1 << 64), np.uint64)]))
-    return held["p"], held["q"]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * ODD
-    return h ^ (h >> np.uint64(32))
 
 
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,10 +44,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut[ends] = True
     first = np.flatnonzero(on & (cut[:-1] | ~np.concatenate([[False], on[:-1]])))
     last = np.flatnonzero(on & (cut[1:] | ~np.concatenate([on[1:], [False]]))) + 1
-    p, q = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
-    return mix((total[last] - total[first]) * q[first]), np.searchsorted(ends, first, side="right")
+    return substrings(prefix_sums(data), first, last), np.searchsorted(ends, first, side="right")
 
 
 def runs(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,21 +59,6 @@ def runs(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
     return mix(out[at]), at
 
 
-def chunks(batch: pa.RecordBatch, column: int):
-    """(first row, bytes, ends) of runs of rows with a bounded number of bytes together; nulls are empty."""
-    array = batch.column(column)
-    if array.null_count:
-        array = array.fill_null("")
-    offsets = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, array.offset * 4).astype(np.int64)
-    raw = array.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
-    start = 0
-    while start < len(array):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + AT_ONCE, side="right")) - 1)
-        yield start, data[offsets[start] : offsets[end]], offsets[start + 1 : end + 1] - offsets[start]
-        start = end
-
-
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each item with its window; rows of many pairs are filled side by side."""
     scores = np.zeros(len(items), np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import bpe, decontaminate, language, sharding, simhash, token_files
+from strideframe.llm import bpe, decontaminate, language, pii, repeats, sharding, simhash, token_files
 from strideframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents"))
