@@ -1,13 +1,14 @@
 """SimHash fingerprints linked by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. Two
-fingerprints at most 3 bits apart differ in at most 1 bit in each of their two
-closest segments (pigeonhole). A segment, filled up to 23 bits, is decoded to
-the codewords of the perfect Golay code within distance 4: one, or six if the
-nearest is 3 away. Of two words one bit apart, one has even weight: it takes
-all those codewords as keys, a word of odd weight only its nearest one, which
-is within 4 of the other. So each pair of links shares a key made of two
-segments' codewords; rows that share one are compared bit by bit.
+A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. Between two
+fingerprints at most 3 bits apart, either one segment is equal and another has
+at most 1 error, or each has exactly 1 (pigeonhole). A segment, filled up to 23
+bits, is decoded to the codewords of the perfect Golay code within distance 4:
+one, or six if the nearest is 3 away. Of two words one bit apart, one has even
+weight: it takes all those codewords, a word of odd weight only its nearest
+one, which is within 4 of the other. Keys are a segment itself with another
+one's codeword, and the codewords of all three; so each pair of links shares a
+key of 33 bits or more. Rows that share one are compared bit by bit.
 
 Defined results: a null or blank text has fingerprint zero; fewer words than a
 shingle make one shingle; a null id is a row like any other, but never names
@@ -16,7 +17,7 @@ a component while another id does; extra columns are ignored.
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -109,22 +110,27 @@ class Golay:
 
 
 def fuzzy_keys(fp: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every fingerprint: for each two segments, every choice of a codeword of both."""
+    """(row, key) of every fingerprint."""
     unsigned = fp.view(np.uint64)
-    found = []
+    whole, near = [], []
     for start, bits in SEGMENTS:
-        rows, words = golay.keys(((unsigned >> np.uint64(start)) & np.uint64((1 << bits) - 1)).astype(np.int64))
+        whole.append(((unsigned >> np.uint64(start)) & np.uint64((1 << bits) - 1)).astype(np.int64))
+        rows, codes = golay.keys(whole[-1])
         order = np.argsort(rows, kind="stable")
-        found.append((rows[order], words[order]))
+        near.append((rows[order], codes[order]))
     rows, keys = [], []
-    for k, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (ra, wa), (rb, wb) = found[a], found[b]
-        many = np.bincount(rb, minlength=len(fp))
-        first = np.cumsum(many) - many
-        times = many[ra]
-        place = np.repeat(first[ra], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        rows.append(np.repeat(ra, times))
-        keys.append((np.int64(k) << 24) | (np.repeat(wa, times) << 12) | wb[place])
+    for kind, (a, b) in enumerate(permutations(range(len(SEGMENTS)), 2)):
+        r, codes = near[b]
+        rows.append(r)
+        keys.append((np.int64(kind) << 36) | (whole[a][r] << 12) | codes)
+    r, codes = near[0]
+    for other, more in near[1:]:
+        many = np.bincount(other, minlength=len(fp))
+        times = many[r]
+        place = np.repeat((np.cumsum(many) - many)[r] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        r, codes = np.repeat(r, times), (np.repeat(codes, times) << 12) | more[place]
+    rows.append(r)
+    keys.append((np.int64(len(rows)) << 36) | codes)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -176,10 +182,10 @@ def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
         golay = Golay()
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(fp), 20_000):
-                part = fp[k : k + 20_000]
+            for k in range(0, len(fp), 10_000):
+                part = fp[k : k + 10_000]
                 rows, keys = fuzzy_keys(part, golay)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[rows])], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
     def meet(batches):
         held = None
@@ -200,12 +206,12 @@ def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
         on = values != root
         return pa.RecordBatch.from_arrays([pa.array(values[on]), pa.array(root[on])], names=["u", "v"])
 
-    keyed = fps.select("fp").distinct().mapInArrow(spread, "key int, fp long")
+    keyed = fps.select("fp").distinct().mapInArrow(spread, "key long, fp long")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cut = keyed.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.when(F.col("blocks") == 1, F.col("key").cast("long")).otherwise(
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     )
     cells = cut.select(cell.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
