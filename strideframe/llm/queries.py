@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import bpe, decontaminate, language, pii, repeats, sharding, simhash, token_files
+from strideframe.llm import bpe, chat, decontaminate, language, pii, repeats, sharding, simhash, token_files, topk
 from strideframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read(spark, sf_dir, "conversations"))
