@@ -1,13 +1,62 @@
-"""Training-data pipeline: each stage reads what its predecessor wrote."""
+"""Training-data pipeline over ``documents``: each stage reads what its predecessor wrote.
+
+Run with ``run(spark, sf_dir)``; the stages can also be called one by one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strideframe.llm import bpe, decontaminate, language, pii, simhash
+from strideframe.llm.common import keep, read
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier can tell; those without a letter go."""
+    model = language.train(docs.where(F.coalesce(~language.held_out(), F.lit(True))))
+    if not model.labels:  # nothing is labelled, so nothing can be told apart
+        return docs
+    tagged, label, _ = language.tag(docs, model)
+    return tagged.where(F.col(label) != "und").drop(*[c for c in tagged.columns if c not in docs.columns])
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by fingerprints."""
+    return simhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole or edited."""
+    return decontaminate.clean_rows(docs, read(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and ids of every text."""
+    return bpe.encode_frame(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_copies", one_of_near_copies),
+    ("benchmark", without_benchmark),
+    ("personal_data", without_personal_data),
+    ("tokens", tokens),
+]
 
-from strideframe.llm.pipeline import STAGES, run_stages
 
+#: Learned weights have no SQL; tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_stages(spark, sf_dir, STAGES)
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
