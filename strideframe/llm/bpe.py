@@ -184,8 +184,8 @@ def open_bpe(path: str, held: dict = {}) -> Bpe:  # noqa: B006  one vocabulary f
     return held[path]
 
 
-def _columns(batch: pa.RecordBatch, bpe: Bpe, column: int = 1):
-    """The pre-tokens of each text; all their words are in the cache. Long batches go in pieces of bounded size."""
+def _pieces(batch: pa.RecordBatch, bpe: Bpe, column: int = 1):
+    """(first row, pre-tokens of each text) for runs of rows of bounded size; all their words are in the cache until the next run."""
     texts = batch.column(column).to_pylist()
     start, size = 0, 0
     for k, text in enumerate(texts):
@@ -195,25 +195,25 @@ def _columns(batch: pa.RecordBatch, bpe: Bpe, column: int = 1):
             words = set(chain.from_iterable(split))
             if missing := words.difference(bpe.cache):
                 bpe.learn(missing if len(bpe.cache) + len(missing) <= REMEMBERED else words)
-            yield from split
+            yield start, split
             start, size = k + 1, 0
 
 
-def encode_frame(docs: DataFrame, path: str, extra: list[str] | None = None) -> DataFrame:
-    """doc_id and ids of every text (and further columns of ``docs`` by name)."""
-    extra = extra or []
-    rows = docs.select(F.col("doc_id"), whole_text().alias("text"), *[F.col(c) for c in extra])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"doc_id {kinds['doc_id']}", "ids array<int>", *[f"`{c}` {kinds[c]}" for c in extra]])
+def encode_frame(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids of every text."""
+    rows = docs.select(F.col("doc_id"), whole_text().alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         bpe = open_bpe(path)
         for batch in batches:
-            values = [list(chain.from_iterable(bpe.cache[w][0] for w in words)) for words in _columns(batch, bpe)]
-            arrays = [batch.column(0), pa.array(values, pa.list_(pa.int32())), *[batch.column(k) for k in range(2, batch.num_columns)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", *extra])
+            for start, split in _pieces(batch, bpe):
+                found = [np.fromiter(chain.from_iterable([bpe.cache[w][0] for w in words]), np.int32) for words in split]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(split)), ids], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode_frame(encoded: DataFrame, path: str) -> DataFrame:
@@ -238,12 +238,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         bpe = open_bpe(path)
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for words in _columns(batch, bpe):
-                found = [bpe.cache[w] for w in words]
-                out[0].append(sum([f[3] for f in found]))
-                out[1].append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-                text = b"".join([f[2] for f in found]).decode("utf-8", "replace")
-                out[2].append(hashlib.sha256(text.encode()).hexdigest())
+            for _, split in _pieces(batch, bpe):
+                for words in split:
+                    found = [bpe.cache[w] for w in words]
+                    out[0].append(sum([f[3] for f in found]))
+                    out[1].append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
+                    text = b"".join([f[2] for f in found]).decode("utf-8", "replace")
+                    out[2].append(hashlib.sha256(text.encode()).hexdigest())
             arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

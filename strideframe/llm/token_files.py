@@ -40,11 +40,13 @@ def write_files(docs: DataFrame, vocabulary: str, path: str | None = None, rows_
 
     def run(batches):
         for batch in batches:
+            ids = batch.column(1)
+            tokens, ends = ids.flatten().to_numpy().astype(">u2"), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
             rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
                 bits = 1 << 64 if key is None else key & (1 << 64) - 1
                 head = [bits >> 15 * k & 0x7FFF for k in reversed(range(HEAD))]
-                rows.append(np.array(head + ids, ">u2").tobytes())
+                rows.append(np.array(head, ">u2").tobytes() + tokens[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["row"])
 
     rows = encoded.mapInArrow(run, "row binary").select(F.col("row").cast("string").alias("value"))
