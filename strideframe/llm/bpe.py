@@ -171,7 +171,8 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         words = self.split(text)
-        self.learn(set(words).difference(self.cache))
+        missing = set(words).difference(self.cache)
+        self.learn(missing if len(self.cache) + len(missing) <= REMEMBERED else set(words))
         return list(chain.from_iterable(self.cache[w][0] for w in words))
 
     def decode(self, ids: list[int]) -> str:

@@ -2,8 +2,9 @@
 
 Legal conversations are the words of an automaton: perhaps a system turn, then
 user and assistant in turn, user first, at least one user after a system turn.
-A turn can be kept (0), merged into the one before it (2, with another role 5),
-relabelled (3), and empty turns can be put before it (4 each) or at the end.
+A turn can be kept (0), merged into the one before it (2), relabelled (4, as
+system 6; with a merge both), and empty turns can be put before it (3 each) or
+at the end.
 For each role these choices make a table: from each state to each state, the
 cheapest choice. Dynamic programming over the tables finds the cheapest
 repair; of equal ones, at each turn the first in the order of states.
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from strideframe.session import settle
 
 ROLES = ("system", "user", "assistant")
-MERGE, RELABEL, INSERT = 2, 3, 4
+MERGE, INSERT = 2, 3
+#: Cost of making a turn one of each role, if it was another.
+RELABEL = (6, 4, 4)
 #: States: nothing yet, after a system, user or assistant turn. Legal next roles of each, and what may end.
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = ({0, 1}, {1}, {2}, {1})
@@ -58,10 +61,10 @@ def choices(role: int) -> list[list[tuple[int, str, tuple[str, ...]]]]:
     for s in range(4):
         if s != START:
             same = s - 1 == role
-            table[s][s] = min(table[s][s], (MERGE + (0 if same else RELABEL), "merge" if same else "merge relabelled", ()))
+            table[s][s] = min(table[s][s], (MERGE + (0 if same else RELABEL[s - 1]), "merge" if same else "merge relabelled", ()))
         for via, (cost, roles) in inserts(s).items():
             for r in sorted(NEXT[via]):
-                mine = (cost + (0 if r == role else RELABEL), "keep" if r == role else "relabel", roles)
+                mine = (cost + (0 if r == role else RELABEL[r]), "keep" if r == role else "relabel", roles)
                 table[s][r + 1] = min(table[s][r + 1], mine)
     return table
 

@@ -8,7 +8,7 @@ array, asked only whether it reaches L, is known from the first position (or
 the number) of each run of equal strings.
 
 Sorting every suffix of the corpus would move each byte hundreds of times.
-Instead each L-byte string names an anchor: the 3L/4 bytes in it with the least
+Instead each L-byte string names an anchor: the L/3 bytes in it with the least
 hash, the leftmost of equals. Equal strings name equal anchors at equal
 places, and an anchor serves a stretch of neighbouring strings, so:
 
@@ -17,8 +17,10 @@ places, and an anchor serves a stretch of neighbouring strings, so:
    into classes;
 3. only where an anchor has several classes are single strings compared.
 
-Every step counts by key with partial sums, so a passage in a third of all
-texts meets in no one task. Equality is that of 128 hash bits. Defined
+Steps 1 and 2 count by key with partial sums. In step 3 the strings of an
+anchor with up to GROUP classes are sorted in one task; those of an anchor with
+more are counted by key too, so a passage in a third of all texts meets in no
+one task. Equality is that of 128 hash bits. Defined
 results: null texts are empty; texts shorter than L lose nothing; equal rows
 count each; extra columns are ignored.
 """
@@ -29,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +41,15 @@ from strideframe.llm.common import keep, whole_text
 LENGTH = 200
 #: Bits of the filter that tells tasks which anchors may repeat (8 MB, whatever the input; false alarms cost only time).
 FILTER_BITS = 26
-SECOND = 0x5851F42D4C957F2D
+#: Classes of an anchor whose strings are compared inside a task, with at most 2/3 L strings each.
+GROUP = 20_000
 PLACE = np.uint64((1 << 22) - 1)
 PIECE = 1 << 21
 
 
 def stretches(data: np.ndarray, ends: np.ndarray, length: int):
     """(text, first string, number of strings, anchor hash) of every anchor, places counted in ``data``; and its prefix sums."""
-    wide = 3 * length // 4
+    wide = max(1, length // 3)
     total = prefix_sums(data)
     n = len(data) - length + 1
     if n <= 0:
@@ -119,7 +123,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
-    """Every stretch whose anchor passes the filter."""
+    """Every stretch whose anchor passes the filter: anchor, content, and where it is."""
 
     def run(batches):
         table = np.frombuffer(bits, np.uint8)
@@ -129,38 +133,84 @@ def _marked(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
                 text, first, count, h, total = stretches(data, ends, length)
                 on = _passes(table, h)
                 text, first, count, h = text[on], first[on], count[on], h[on]
-                begins = np.concatenate([[0], ends[:-1]])
-                last = first + count + length - 1
-                c1 = substrings(total, first, last)
-                c2 = substrings(prefix_sums(data, SECOND), first, last, SECOND)
-                columns = [h.view(np.int64), c1.view(np.int64), c2.view(np.int64), k1[row + text], k2[row + text], first - begins[text] + shift, count]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "c1", "c2", "k1", "k2", "lo", "n"])
+                content = substrings(total, first, first + count + length - 1)
+                start = first - np.concatenate([[0], ends[:-1]])[text] + shift
+                columns = [h.view(np.int64), content.view(np.int64), k1[row + text], k2[row + text], start.astype(np.int32), count.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "content", "k1", "k2", "lo", "n"])
 
-    return docs.mapInArrow(run, "hash long, c1 long, c2 long, k1 long, k2 long, lo long, n long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "hash long, content long, k1 long, k2 long, lo int, n int")
 
 
-def _strings(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
-    """The strings of every stretch that passes the filter, each class once or more."""
+def _strings(docs: DataFrame, bits: bytes, many: bytes, length: int) -> DataFrame:
+    """Stretches that pass the filter, with the hashes of their strings; an equal one is left out if its task has just had it.
+
+    ``many`` tells the anchors (and perhaps others) that have more classes than GROUP.
+    """
 
     def run(batches):
-        table, seen = np.frombuffer(bits, np.uint8), set()
+        table, wide, seen = np.frombuffer(bits, np.uint8), np.frombuffer(many, np.uint8), set()
         for batch in batches:
-            for _, _, data, ends in pieces(batch, 0, length):
-                _, first, count, h, total = stretches(data, ends, length)
+            k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, shift, data, ends in pieces(batch, 2, length):
+                text, first, count, h, total = stretches(data, ends, length)
                 on = np.flatnonzero(_passes(table, h))
-                c1 = substrings(total, first[on], first[on] + count[on] + length - 1)
-                fresh = np.fromiter((c not in seen and not seen.add(c) for c in c1.tolist()), bool, len(c1))
-                if len(seen) > 1_000_000:  # only spares repetition
+                content = substrings(total, first[on], first[on] + count[on] + length - 1)
+                new = np.fromiter((c not in seen and not seen.add(c) for c in content.tolist()), bool, len(content))
+                if len(seen) > 500_000:  # what is remembered only spares repetition
                     seen.clear()
-                on, c1 = on[fresh], c1[fresh]
+                on, content = on[new], content[new]
                 times = count[on]
-                ends_of = np.cumsum(times)
-                start = np.repeat(first[on], times) + np.arange(times.sum()) - np.repeat(ends_of - times, times)
-                w = substrings(total, start, start + length).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends_of]).astype(np.int32)), pa.array(w))
-                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c1.view(np.int64)), lists], names=["hash", "c1", "strings"])
-
-    return docs.select("text").mapInArrow(run, "hash long, c1 long, strings array<long>")
+                to = np.cumsum(times)
+                start = np.repeat(first[on], times) + np.arange(times.sum()) - np.repeat(to - times, times)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]).astype(np.int32)), pa.array(substrings(total, start, start + length).view(np.int64)))
+                lo = first[on] - np.concatenate([[0], ends[:-1]])[text[on]] + shift
+                columns = [h[on].view(np.int64), content.view(np.int64), k1[row + text[on]], k2[row + text[on]], lo.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], lists, pa.array(_passes(wide, h[on]))], names=["hash", "content", "k1", "k2", "lo", "strings", "many"])
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, "hash long, content long, k1 long, k2 long, lo int, strings array<long>, many boolean")
+
+
+def _sorted_groups(batches):
+    """Rows in order of anchor: strings that two classes of an anchor share, as runs of starts."""
+
+    def told(parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        h, content, k1, k2, lo = (table.column(k).to_numpy() for k in range(5))
+        lists = table.column(5).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends, w = ends - ends[0], lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(h)), np.diff(ends))
+        # in the order of strings, equal ones stand together; one has a match if a neighbour is of another class
+        order = np.lexsort((content[row], w, h[row]))
+        r, s = row[order], w[order]
+        near = (h[r[1:]] == h[r[:-1]]) & (s[1:] == s[:-1])
+        other = near & (content[r[1:]] != content[r[:-1]])
+        group = np.concatenate([[0], np.cumsum(~near)])
+        shared = np.zeros(group[-1] + 1, bool)
+        shared[group[1:][other]] = True
+        on = np.zeros(len(w), bool)
+        on[order] = shared[group]
+        begin = on & ~np.concatenate([[False], on[:-1] & (row[1:] == row[:-1])])
+        end = on & ~np.concatenate([on[1:] & (row[1:] == row[:-1]), [False]])
+        a, b = np.flatnonzero(begin), np.flatnonzero(end)
+        at = row[a]
+        return pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array((lo[at] + a - ends[at]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], names=["k1", "k2", "lo", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2000):
+            held.append(batch.slice(start, 2000))
+            size += held[-1].num_rows
+            h = held[-1].column(0).to_numpy(zero_copy_only=False)
+            if size < 4000 or h[0] == h[-1]:
+                continue
+            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1  # the last anchor may go on
+            yield told([*held[:-1], held[-1].slice(0, cut)])
+            held = [held[-1].slice(cut)]
+            size = held[0].num_rows
+    if size:
+        yield told(held)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, every: bool = True) -> DataFrame:
@@ -171,29 +221,30 @@ def repeated(docs: DataFrame, length: int = LENGTH, every: bool = True) -> DataF
     several = _anchors(docs, length).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marks = keep(_marked(docs, _filter(several), length), "stretches")
     here = F.struct("k1", "k2", "lo")
-    classes = marks.groupBy("hash", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.min(here).alias("own"))
-    classes = keep(classes, "classes")
-    mixed = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("hash")
+    whose = [] if every else [F.min(here).alias("own")]
+    classes = keep(marks.groupBy("hash", "content").agg(F.count(F.lit(1)).alias("times"), *whose), "classes")
+    mixed = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     # copies of a whole stretch
-    copies = marks.join(classes.where("times > 1").select("hash", "c1", "c2", "own"), ["hash", "c1", "c2"])
-    if not every:
-        copies = copies.where(here != F.col("own"))
+    copies = marks.join(classes.where("times > 1"), ["hash", "content"])
+    copies = copies if every else copies.where(here != F.col("own"))
     copies = copies.select("k1", "k2", "lo", "n")
-    # strings shared by stretches that differ elsewhere
-    strings = _strings(docs, _filter(mixed), length).groupBy("hash", "c1").agg(F.any_value("strings").alias("strings"))
-    inside = classes.join(mixed, "hash", "left_semi").select("hash", "c1", "times", "own")
-    single = keep(strings.join(inside, ["hash", "c1"]), "strings")
-    single = single.select("hash", "c1", "times", "own", F.posexplode("strings").alias("step", "w"))
-    place = F.struct("own.k1", "own.k2", (F.col("own.lo") + F.col("step")).alias("lo"))
-    if every:
-        runs = single.groupBy("hash", "w").agg(F.count(F.lit(1)).alias("told")).where("told > 1").select("hash", "w")
-        shared = single.where("times = 1").select("hash", "w", "c1", "step").join(runs, ["hash", "w"])
-    else:
-        runs = single.groupBy("hash", "w").agg(F.min(place).alias("told"))
-        shared = single.select("hash", "w", "c1", "step", place.alias("place")).join(runs, ["hash", "w"]).where("place <> told")
-    shared = shared.groupBy("hash", "c1").agg(F.collect_list("step").alias("steps")).join(inside, ["hash", "c1"])
-    shared = shared.select("own.k1", "own.k2", F.explode("steps").alias("step"), "own.lo")
-    shared = shared.select("k1", "k2", (F.col("lo") + F.col("step")).alias("lo"), F.lit(1).cast("long").alias("n"))
+    # strings shared by stretches that differ elsewhere; all by key if the first of equal ones is to be told
+    wide = _filter(mixed.where(F.col("kinds") > GROUP) if every else mixed)
+    strings = keep(_strings(docs, _filter(mixed), wide, length), "strings")
+    shared = strings.where(~F.col("many")).drop("many").repartition("hash").sortWithinPartitions("hash").mapInArrow(_sorted_groups, "k1 long, k2 long, lo int, n int")
+    if any(wide):
+        keyed = strings.where("many").join(classes, ["hash", "content"])
+        place = F.struct("k1", "k2", "lo") if every else F.col("own")
+        keyed = keyed.groupBy("hash", "content").agg(F.min(place).alias("own"), F.any_value("strings").alias("strings"))
+        single = keyed.select("hash", "content", "own", F.posexplode("strings").alias("step", "w"))
+        place = F.struct("own.k1", "own.k2", (F.col("own.lo") + F.col("step")).cast("int").alias("lo"))
+        if every:
+            runs = single.groupBy("hash", "w").agg(F.count(F.lit(1)).alias("told")).where("told > 1").select("hash", "w")
+            found = single.join(runs, ["hash", "w"]).select(place.alias("p"))
+        else:
+            runs = single.groupBy("hash", "w").agg(F.min(place).alias("told"))
+            found = single.select("hash", "w", place.alias("p")).join(runs, ["hash", "w"]).where("p <> told").select("p")
+        shared = shared.union(found.select("p.k1", "p.k2", "p.lo", F.lit(1)))
     return copies.union(shared).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
 
 
@@ -208,28 +259,47 @@ def cover(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removed(docs: DataFrame, length: int = LENGTH, every: bool = True) -> DataFrame:
-    """doc_id, its bytes, what is removed of them, and the bytes that stay (``kept``, binary)."""
+def removed(docs: DataFrame, length: int = LENGTH, every: bool = True, digest: bool = False) -> DataFrame:
+    """doc_id, its bytes, what is removed of them, and the bytes that stay (``kept``, binary; or their SHA-256)."""
     keyed = _keyed(docs)
-    whole = keyed.join(repeated(keyed, length, every), ["k1", "k2"], "left")
-    rows = whole.select(F.when(F.col("named"), F.col("k1")).alias("doc_id"), "text", "starts")
+    found = keep(repeated(keyed, length, every), "starts")
+    bits = _filter(found.select(F.col("k2").alias("hash")))
+    kind = "string" if digest else "binary"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}"
+
+    def cut(ids, texts, every_starts):
+        rows = []
+        for text, starts in zip(texts, every_starts, strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            spans = cover([(s["lo"], s["n"]) for s in starts], length) if starts else []
+            left = b"".join([raw[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(raw)], strict=True)])
+            rows.append((len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest() if digest else left))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        kinds = [pa.int64()] * 3 + [pa.string() if digest else pa.binary()]
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    def chosen(batches, touched):
+        table = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            on = _passes(table, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(on == touched))
 
-    def run(batches):
+    def untouched(batches):
+        for batch in chosen(batches, False):
+            yield cut(pa.compute.if_else(batch.column(3), batch.column(0), pa.scalar(None, pa.int64())), batch.column(2).to_pylist(), [None] * batch.num_rows)
+
+    def touched(batches):
+        yield from chosen(batches, True)
+
+    def joined(batches):
         for batch in batches:
-            ids, size, gone, spans, kept = batch.column(0), [], [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                cut = cover([(s["lo"], s["n"]) for s in starts], length) if starts else []
-                left = [raw[a:b] for a, b in zip([0, *[b for _, b in cut]], [*[a for a, _ in cut], len(raw)], strict=True)]
-                kept.append(b"".join(left))
-                size.append(len(raw))
-                gone.append(len(raw) - len(kept[-1]))
-                spans.append(len(cut))
-            arrays = [ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield cut(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    # texts without a repeat stay where they are; the filter lets few others through
+    some = keyed.mapInArrow(touched, keyed.schema).join(found, ["k1", "k2"], "left")
+    some = some.select(F.when(F.col("named"), F.col("k1")).alias("doc_id"), "text", "starts").mapInArrow(joined, schema)
+    return keyed.mapInArrow(untouched, schema).union(some)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    return removed(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return removed(docs, length, digest=True).withColumnRenamed("kept", "kept_sha256")

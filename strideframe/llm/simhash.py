@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from strideframe.llm.common import keep, whole_text
+from strideframe.llm.common import fresh, keep, whole_text
 from strideframe.llm.components import components, roots
 
 LINKED, SEED = 3, 42
@@ -219,14 +220,14 @@ def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = 3, linked: int = LINKED) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, fp, component (its smallest fp) and component_id (its smallest doc_id) of every row."""
     rows = keep(fingerprints(docs, width), "fingerprints")
     named = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     parts = components(links(rows, linked))
     named = named.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = named.select("fp", "component").join(smallest, "component").select("fp", "component", "component_id")
+    return rows.join(found, "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -234,13 +235,26 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 3, linked: int = LINKED) -> DataFrame:
-    """The rows of ``docs`` that name their group; of several rows with that id one stays."""
+    """One row of ``docs`` for each group: one with its smallest id (null last) and then smallest fingerprint."""
     found = keep(groups(docs, width, linked), "groups")
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    single, several = kept.where("n = 1").select("doc_id"), kept.where("n > 1").select("doc_id")
-    out = docs.join(single, docs["doc_id"].eqNullSafe(single["doc_id"]), "left_semi")
-    if several.isEmpty():
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    once, often = ids.where("doc_id is not null and n = 1").select("doc_id"), ids.where("doc_id is null or n > 1").select("doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("first")
+    chosen = keep(found.groupBy("component").agg(first).select("component", "first.doc_id", "first.fp"), "chosen")
+    out = docs.join(chosen.join(once, "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if often.isEmpty():
         return out
-    again = docs.join(several, docs["doc_id"].eqNullSafe(several["doc_id"]), "left_semi")
-    return out.unionByName(again.dropDuplicates(["doc_id"]))
+    # rows that an id does not tell apart are found by their fingerprint
+    prefix = fresh(docs)
+    own = chosen.select(F.col("doc_id").alias(f"{prefix}id"), F.col("fp").alias(f"{prefix}fp"), F.col("component").alias(f"{prefix}component"))
+    where, names = docs.columns.index("text"), [*docs.columns, f"{prefix}fp"]
+    rows = docs.join(often, docs["doc_id"].eqNullSafe(often["doc_id"]), "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([fingerprint(t, width) for t in batch.column(where).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=names)
+
+    tagged = rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[-1], LongType())]))
+    again = tagged.join(own, tagged["doc_id"].eqNullSafe(own[f"{prefix}id"]) & (tagged[names[-1]] == own[names[-1]]))
+    return out.unionByName(again.dropDuplicates([f"{prefix}component"]).select(*docs.columns))
