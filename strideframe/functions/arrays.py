@@ -7,6 +7,7 @@ and cosine transforms are Arrow functions over batches of windows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -147,18 +148,26 @@ def flat_entropy(bins: Column) -> Column:
     return entropy(bins, F.ln) / F.ln(F.size(bins))
 
 
-@F.pandas_udf(DOUBLES)
-def haar_details(values: pd.Series) -> pd.Series:
-    """Detail coefficients of three Haar levels; an odd level is extended by its last value."""
-
-    def kernel(m: np.ndarray) -> np.ndarray:
-        parts = []
-        for _ in range(3):
-            if m.shape[1] % 2:
-                m = np.hstack([m, m[:, -1:]])
-            pairs = m.reshape(len(m), -1, 2)
-            parts.append((pairs[:, :, 0] - pairs[:, :, 1]) * np.sqrt(0.5))
-            m = pairs.sum(axis=2) * np.sqrt(0.5)
-        return np.hstack(parts)
-
-    return by_length(values, kernel)
+def haar_details(values: str | Column, levels: int = 3) -> Column:
+    """Detail coefficients of the Haar levels, finest first; a level of odd size repeats its last value.
+
+    Every coefficient is a signed sum of samples: at level k, sample positions
+    follow from the coefficient's place by doubling k times, held inside each
+    level's size, and the first half of them counts positive.
+    """
+    values = F.col(values) if isinstance(values, str) else values
+    sizes = [F.size(values)]
+    for _ in range(levels):
+        sizes.append(F.floor((sizes[-1] + 1) / 2).cast("int"))
+
+    def sample(place: Column, halves: tuple[int, ...]) -> Column:
+        for level, half in zip(reversed(range(len(halves))), halves):
+            place = F.least(place * 2 + half, sizes[level] - 1)
+        return F.element_at(values, (place + 1).cast("int"))
+
+    def level(k: int) -> Column:
+        paths = list(product((0, 1), repeat=k))
+        signed = lambda i: sum((sample(i, h) * (-1 if h[0] else 1) for h in paths), F.lit(0.0)) * 0.5 ** (k / 2)
+        return F.transform(F.sequence(F.lit(0), sizes[k] - 1), signed)
+
+    return F.concat(*[level(k) for k in range(1, levels + 1)])

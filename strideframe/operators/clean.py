@@ -251,8 +251,11 @@ def stitch_bouts(windows: DataFrame, bout: str, order: str, signal: str, step: i
 
 def number_segments(df: DataFrame, recording: str, inner: str, name: str = "segment") -> DataFrame:
     """Renumber per-recording groups (segments, streams) over all recordings, dropping nothing."""
-    numbers = number_groups(df, recording, [inner], name)
-    return df.join(numbers.select(recording, inner, name), [recording, inner])
+    numbers = number_groups(df, recording, [inner], name).select(recording, inner, name)
+    # A segment may hold most rows: its number meets a row of each of its parts first.
+    parts = 1 + df.groupBy(recording, inner).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.floor(F.max("n") / chunk_rows(df)), F.lit(0)).alias("p")).scalar()
+    spread = df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), parts).cast("long"))
+    return attach(spread, numbers, [recording, inner], chunk="__part").drop("__part")
 
 
 def stream_ranges(windows: DataFrame, stream: str = "stream", window: str = "win") -> DataFrame:
@@ -329,18 +332,18 @@ def decimate(
 ) -> DataFrame:
     """Zero-phase low pass and every ``factor``-th sample with its label.
 
-    Long recordings are cut into chunks that overlap by ``halo`` samples; the
-    filter forgets its past geometrically (below 1e-13 after 4096 samples), so
-    the cut does not show.
+    Long recordings are cut into chunks that reach ``halo`` samples into their
+    neighbours; the filter forgets its past geometrically (below 1e-13 after
+    4096 samples), so the cut does not show. A chunk that reaches the
+    recording's first or last sample extends it there.
     """
     size = chunk_rows(df)
-    halo = min(halo, size)
     chunk = F.floor(F.col(pos) / size).cast("long")
-    inside = F.col(pos) - chunk * size
-    homes = F.array_compact(
-        F.array(chunk, F.when((inside < halo) & (chunk > 0), chunk - 1), F.when(inside >= size - halo, chunk + 1))
-    )
-    spread = df.select(*keys, pos, label, *channels, F.explode(homes).alias("__chunk"))
+    last = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
+    df = attach(df.withColumn("__c", chunk), last, keys, chunk="__c")
+    reach = lambda p: F.floor(p / size).cast("long")
+    homes = F.sequence(reach(F.greatest(F.col(pos) - halo, F.lit(0))), reach(F.least(F.col(pos) + halo, F.col("__last"))))
+    spread = df.select(*keys, pos, label, *channels, "__last", F.explode(homes).alias("__chunk"))
     schema = spread.select(*keys, pos, label, *[F.col(c).cast("double") for c in channels]).schema
     pad = 3 * (order + 1)
 
@@ -350,7 +353,7 @@ def decimate(
         at = pdf[pos].to_numpy()
         response = impulse_response(factor, order, halo)
         out = zero_phase(
-            pdf[list(channels)].to_numpy(dtype=np.float64), response, pad, number == 0, at[-1] < (number + 1) * size
+            pdf[list(channels)].to_numpy(dtype=np.float64), response, pad, at[0] == 0, at[-1] == pdf["__last"].iloc[0]
         )
         mine = (at // size == number) & (at % factor == 0)
         kept = pdf.loc[mine, [*keys, pos, label]].copy()

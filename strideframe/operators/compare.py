@@ -51,26 +51,32 @@ def name_repeats(df: DataFrame, keys: Sequence[str], order: str, identifier: str
     return joined.withColumn(name, F.when(F.col("__f")[order] < F.col(order), F.col("__f")[identifier])).drop("__f")
 
 
-CONVENTIONS = ("all_zero", "all_defined", "gesture_zero", "gesture_defined")
+# The averaging conventions (set of classes, rule for undefined precision) and the words of the verdicts.
+CONVENTIONS = (("all", "zero"), ("all", "defined"), ("gesture", "zero"), ("gesture", "defined"))
+SET_WORDS = {"all": "all classes", "gesture": "gesture classes"}
+EVEN_SETS, EVEN_RULES, RULE_WORDS = "tie", "same", "{} precision closer"
 
 
 def closest_convention(df: DataFrame, precision: str, recall: str) -> DataFrame:
-    """Absolute gaps under four averaging conventions and which of them lies closest."""
-    gap = {
-        c: F.abs(100 * F.col(f"precision_{c}") - F.col(precision)) + F.abs(100 * F.col(f"recall_{c}") - F.col(recall)) for c in CONVENTIONS
-    }
-    out = df.select("*", *[g.alias(f"gap_{c}") for c, g in gap.items()])
-    every = F.least("gap_all_zero", "gap_all_defined")
-    gesture = F.least("gap_gesture_zero", "gap_gesture_defined")
-    out = out.withColumn("best_gap_all", every).withColumn("best_gap_gesture", gesture)
-    a, g = F.col("best_gap_all"), F.col("best_gap_gesture")
-    out = out.withColumn("closer_set", F.when(a < g, "all classes").when(g < a, "gesture classes").otherwise("tie"))
-    out = out.withColumn("set_margin", F.abs(a - g))
-    by_gesture = F.col("closer_set") == "gesture classes"
-    zero = F.when(by_gesture, F.col("gap_gesture_zero")).otherwise(F.col("gap_all_zero"))
-    defined = F.when(by_gesture, F.col("gap_gesture_defined")).otherwise(F.col("gap_all_defined"))
-    verdict = F.when(zero == defined, "same").when(zero < defined, "zero precision closer").otherwise("defined precision closer")
-    return out.withColumn("precision_convention", verdict)
+    """Absolute gaps under four averaging conventions and which of them lies closest.
+
+    The gaps stand in one ranked array: the nearest set is that of its first
+    entry, the nearest rule that of the first entry of that set (of the whole
+    table's set when both sets are as near).
+    """
+    near = lambda kind, c, said: F.abs(100 * F.col(f"{kind}_{c}") - F.col(said))
+    name = lambda c: f"gap_{c[0]}_{c[1]}"
+    out = df.select("*", *[(near("precision", f"{s}_{r}", precision) + near("recall", f"{s}_{r}", recall)).alias(name((s, r))) for s, r in CONVENTIONS])
+    ranked = F.sort_array(F.array(*[F.struct(F.col(name(c)).alias("gap"), F.lit(c[0]).alias("set"), F.lit(c[1]).alias("rule")) for c in CONVENTIONS]))
+    out = out.withColumn("__r", ranked)
+    of = lambda s: F.filter("__r", lambda e: e["set"] == s)
+    out = out.select("*", *[of(s)[0]["gap"].alias(f"best_gap_{s}") for s in SET_WORDS])
+    margin = F.abs(F.col("best_gap_all") - F.col("best_gap_gesture"))
+    words = F.create_map(*[F.lit(x) for pair in SET_WORDS.items() for x in pair])
+    closer = F.when(margin == 0, EVEN_SETS).otherwise(words[F.col("__r")[0]["set"]])
+    mine = of(F.when(margin == 0, "all").otherwise(F.col("__r")[0]["set"]))
+    rule = F.when(mine[0]["gap"] == mine[1]["gap"], EVEN_RULES).otherwise(F.format_string(RULE_WORDS.replace("{}", "%s"), mine[0]["rule"]))
+    return out.select("*", closer.alias("closer_set"), margin.alias("set_margin"), rule.alias("precision_convention")).drop("__r")
 
 
 def metric_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -6,6 +6,10 @@ each recording is cut along its clock into chunks of bounded size. Rows are
 shuffled by (recording, chunk); what a chunk must know of its neighbours is
 reduced to one summary row per chunk, and only those rows are ordered per
 recording.
+
+Rows with a null key or clock are kept: a null key is a recording of its own,
+a null clock stands before all others (as nulls sort in Spark), in a chunk of
+its own.
 """
 
 from __future__ import annotations
@@ -23,12 +27,27 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_SETTING, str(CHUNK_ROWS)))
 
 
+def stamped(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """A non-null hash of columns that may be null; joins and windows share its shuffle."""
+    return df.withColumn("__edge", F.xxhash64(*on))
+
+
+def meet(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns that may be null, where null equals null; both sides carry ``__edge`` (see ``stamped``)."""
+    other = table.select(F.col("__edge").alias("__e_edge"), *[F.col(k).alias(f"__e_{k}") for k in on], *[c for c in table.columns if c not in (*on, "__edge")])
+    same = F.col("__edge") == F.col("__e_edge")
+    for k in on:
+        same = same & F.col(k).eqNullSafe(F.col(f"__e_{k}"))
+    return rows.join(other, same, how).drop("__e_edge", *[f"__e_{k}" for k in on])
+
+
 def add_chunk(df: DataFrame, keys: Sequence[str], clock: str | Column, name: str = "chunk") -> DataFrame:
     """Number chunks of the clock so that the densest key keeps about the set rows per chunk.
 
     The width comes from one column-pruned pass that counts rows per key; the
     result is a single number, read as a scalar subquery. Sensors log at a
-    bounded rate, so an even width bounds the rows of every chunk.
+    bounded rate, so an even width bounds the rows of every chunk. Values of
+    any distribution go through ``add_value_chunk``.
     """
     clock = F.col(clock) if isinstance(clock, str) else clock
     rows = chunk_rows(df)
@@ -37,7 +56,30 @@ def add_chunk(df: DataFrame, keys: Sequence[str], clock: str | Column, name: str
     )
     even = F.when(F.col("span") > 0, F.col("span") * rows / F.col("n"))
     width = spans.filter(F.col("n") > rows).agg(F.coalesce(F.min(even), F.lit(float(1 << 62))).alias("width"))
-    return df.withColumn(name, F.floor(clock / width.scalar()).cast("long"))
+    return df.withColumn(name, F.coalesce(F.floor(clock / width.scalar()).cast("long"), F.lit(-(1 << 62))))
+
+
+def add_value_chunk(df: DataFrame, keys: Sequence[str], value: str, name: str = "chunk") -> DataFrame:
+    """Chunks of distinct values of any distribution, for keys with more rows than a chunk; nulls stand last.
+
+    Edges are approximate quantiles of the key's own values: they need not be
+    exact for exact results, and heavy tails or bursts get as many chunks as
+    they have rows. An edge is looked up among every 64th one, then among the
+    64 that follow.
+    """
+    rows = chunk_rows(df)
+    steps = [i / (1 << 12) for i in range(1, 1 << 12)]
+    stamp = stamped(df, keys)
+    hot = stamp.groupBy("__edge", *keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
+    some = meet(stamp, hot, keys)
+    edges = some.groupBy("__edge", *keys).agg(F.percentile_approx(value, steps, 1 << 14).alias("__q"))
+    x = F.col(value)
+    upto = lambda list_: F.size(F.filter(list_, lambda e: e <= x))
+    coarse = upto(F.transform(F.sequence(F.lit(64), F.lit(4032), F.lit(64)), lambda i: F.element_at("__q", i.cast("int"))))
+    found = meet(stamp, edges, keys, "left").withColumn("__coarse", F.when(F.col("__q").isNotNull(), coarse))
+    fine = F.col("__coarse") * 64 + upto(F.slice("__q", F.col("__coarse") * 64 + 1, F.lit(64)))
+    chunk = F.when(x.isNull(), F.lit(1 << 62)).otherwise(F.coalesce(fine, F.lit(0))).cast("long")
+    return found.select(*df.columns, chunk.alias(name))
 
 
 def chunk_by_position(df: DataFrame, pos: str = "pos", name: str = "chunk") -> DataFrame:
@@ -72,11 +114,12 @@ def sweep(
     prev, following, sums = prev or {}, following or {}, sums or {}
     last_valid, next_valid, totals = last_valid or {}, next_valid or {}, totals or {}
     stamp = F.struct(*order)
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
+    at = [*keys, chunk]
+    inner = Window.partitionBy("__edge", *at).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     # Looking ahead is looking back in reversed order: a frame that ends at the
     # last row would be evaluated anew for every row.
-    onward = Window.partitionBy(*keys, chunk).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("__edge", *at).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy(*keys).orderBy(chunk)
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -118,9 +161,9 @@ def sweep(
         fold = getattr(F, how)
         local[name] = carry(name, fold(value), lambda c, fold=fold: fold(c).over(whole))
 
-    summary = df.groupBy(*keys, chunk).agg(*reduced)
-    edges = summary.select(*keys, chunk, *carried)
-    out = df.join(edges, [*keys, chunk])
+    rows = stamped(df, at)
+    edges = rows.groupBy("__edge", *at).agg(*reduced).select("__edge", *at, *carried)
+    out = meet(rows, edges, at)
     return out.select(*df.columns, *[value.alias(name) for name, value in local.items()])
 
 
@@ -140,30 +183,33 @@ def number_runs(
     structs of them. Adds ``name`` (0-based) and ``name``_start (boolean, true on
     the first row of a key). Rows shuffle once, by (keys, chunk).
     """
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
+    at = [*keys, chunk]
+    inner = Window.partitionBy("__edge", *at).orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(chunk)
     now = F.struct(*[value.alias(field) for field, value in state.items()])
-    rows = df.withColumn("__now", now).withColumn("__was", F.lag("__now").over(inner))
+    # A comparison that is null starts no run.
+    starts = lambda was, is_: F.coalesce(changed(was, is_), F.lit(False))
+    rows = stamped(df, at).withColumn("__now", now).withColumn("__was", F.lag("__now").over(inner))
     rows = rows.withColumn(
-        "__break", F.when(F.col("__was").isNull(), F.lit(None)).otherwise(changed(F.col("__was"), F.col("__now")))
+        "__break", F.when(F.col("__was").isNull(), F.lit(None)).otherwise(starts(F.col("__was"), F.col("__now")))
     )
-    summary = rows.groupBy(*keys, chunk).agg(
+    summary = rows.groupBy("__edge", *at).agg(
         F.count_if("__break").alias("inside"),
         F.min_by("__now", F.struct(*order)).alias("first"),
         F.max_by("__now", F.struct(*order)).alias("last"),
     )
     edges = (
         summary.withColumn("prior", F.lag("last").over(outer))
-        .withColumn("opens", F.col("prior").isNull() | changed(F.col("prior"), F.col("first")))
+        .withColumn("opens", F.col("prior").isNull() | starts(F.col("prior"), F.col("first")))
         .withColumn("jump", F.col("opens").cast("long"))
         .withColumn(
             "__base",
             F.coalesce(F.sum(F.col("inside") + F.col("jump")).over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             + F.col("jump"),
         )
-        .select(*keys, chunk, "__base", F.col("opens").alias("__opens"))
+        .select("__edge", *at, "__base", F.col("opens").alias("__opens"))
     )
-    joined = rows.join(edges, [*keys, chunk])
+    joined = meet(rows, edges, at)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
         *df.columns,
@@ -178,8 +224,10 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], *, chunk: str
     The values meet one row per (key, chunk) first; the rows then join on the
     chunk as well, so a hot key is spread like everywhere else.
     """
-    edges = df.select(*keys, chunk, *extra).distinct().join(per_key, [*keys, *extra])
-    return df.join(edges, [*keys, chunk, *extra])
+    on = [*keys, chunk, *extra]
+    values = meet(stamped(df.select(*on).distinct(), [*keys, *extra]), stamped(per_key, [*keys, *extra]), [*keys, *extra]).drop("__edge")
+    joined = meet(stamped(df, on), stamped(values, on), on).drop("__edge")
+    return joined.select(*df.columns, *[c for c in joined.columns if c not in df.columns])
 
 
 def number_groups(df: DataFrame, outer_key: str, inner_keys: Sequence[str], name: str) -> DataFrame:
@@ -219,7 +267,7 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    counted = add_chunk(counted, keys, "__v", name="__chunk")
+    counted = add_value_chunk(counted, keys, "__v", name="__chunk")
     ranked = sweep(
         counted, keys, ["__v"], chunk="__chunk", sums={"__upto": F.col("__n")}, totals={"__total": ("sum", F.col("__n"))}
     )

@@ -272,29 +272,24 @@ def rank_by_redundancy(df: DataFrame, label: Column, count: int, features: str =
     Each step is one pass that counts every feature against the chosen one; only
     a number per feature comes back.
     """
-    table = discretise(df, features)
-    table = settle(table.select("codes", label.alias("__y")))
+    table = settle(discretise(df, features).select("codes", label.alias("__y")))
     width = len(table.select("codes").first()[0])
 
-    def information(other: Column) -> np.ndarray:
-        rows = mutual_information(joint_counts(table, other, width)).collect()
-        out = np.zeros(width)
-        for r in rows:
-            out[r["feature"]] = r["information"]
-        return out
-
-    relevance = information(F.col("__y"))
-    redundancy, chosen, scores = np.zeros(width), [], []
-    for step in range(min(count, width)):
-        value = relevance - (redundancy / step if step else 0.0)
-        value[chosen] = -np.inf
-        best = int(np.argmax(np.round(value, 12)))
-        chosen.append(best)
-        scores.append(float(value[best]))
-        if step + 1 < min(count, width):
-            redundancy += information(F.col("codes")[best])
-    ranked = pd.DataFrame({"place": range(1, len(chosen) + 1), "feature": chosen, "score": scores})
-    return df.sparkSession.createDataFrame(ranked, "place int, feature int, score double")
+    def shared(other: Column) -> DataFrame:
+        return mutual_information(joint_counts(table, other, width)).withColumnRenamed("information", "__i")
+
+    every = df.sparkSession.range(width).select(F.col("id").cast("int").alias("feature"))
+    left = every.join(shared(F.col("__y")), "feature", "left").select("feature", F.coalesce("__i", F.lit(0.0)).alias("relevance"), F.lit(0.0).alias("overlap"))
+    ranking = []
+    while len(ranking) < min(count, width):
+        worth = F.col("relevance") - F.col("overlap") / max(1, len(ranking))
+        left = settle(left)
+        best = left.select("feature", worth.alias("score")).orderBy(F.round("score", 12).desc(), "feature").first()
+        ranking.append((len(ranking) + 1, best["feature"], best["score"]))
+        with_best = shared(F.col("codes")[best["feature"]])
+        left = left.where(F.col("feature") != best["feature"]).join(with_best, "feature", "left")
+        left = left.select("feature", "relevance", (F.col("overlap") + F.coalesce("__i", F.lit(0.0))).alias("overlap"))
+    return df.sparkSession.createDataFrame(ranking, "place int, feature int, score double")
 
 
 def joined_blocks(train: DataFrame, test: DataFrame, label: str, k: int, features: str = "features") -> tuple[DataFrame, DataFrame]:

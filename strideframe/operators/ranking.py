@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.operators.ordered import add_chunk, chunk_rows, sweep
+from strideframe.operators.ordered import add_chunk, add_value_chunk, chunk_rows, meet, stamped, sweep
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], score: Column, tie: str, place: str = "place", average: str | None = None) -> DataFrame:
@@ -16,15 +16,16 @@ def rank_rows(df: DataFrame, keys: Sequence[str], score: Column, tie: str, place
     Distinct scores are counted and summed in chunks of the score range; rows of
     one score are numbered in chunks of the tie key. Neither a hot group nor a
     score shared by most of its rows ends up in one task. ``tie`` must be a
-    whole number.
+    whole number. Null scores come last, as ties.
     """
     rows = df.withColumn("__neg", (-score).cast("double"))
     counted = rows.groupBy(*keys, "__neg").agg(F.count(F.lit(1)).alias("__ties"))
     ranked = sweep(
-        add_chunk(counted, keys, "__neg", "__vc"), keys, ["__neg"], chunk="__vc", sums={"__upto": F.col("__ties")}
+        add_value_chunk(counted, keys, "__neg", "__vc"), keys, ["__neg"], chunk="__vc", sums={"__upto": F.col("__ties")}
     ).select(*keys, "__neg", "__ties", (F.col("__upto") - F.col("__ties")).alias("__before"))
-    placed = rows.join(ranked, [*keys, "__neg"])
-    placed = placed.withColumn("__tc", F.floor(F.col(tie) / chunk_rows(df)).cast("long"))
+    on = [*keys, "__neg"]
+    placed = meet(stamped(rows, on), stamped(ranked, on), on).drop("__edge")
+    placed = placed.withColumn("__tc", F.coalesce(F.floor(F.col(tie) / chunk_rows(df)).cast("long"), F.lit(-(1 << 62))))
     out = sweep(placed, [*keys, "__neg"], [tie], chunk="__tc", number="__within")
     extra = [] if average is None else [(F.col("__before") + (F.col("__ties") + 1) / 2).alias(average)]
     return out.select(*df.columns, (F.col("__before") + F.col("__within")).cast("long").alias(place), *extra)
