@@ -28,7 +28,7 @@ from strideframe.llm.common import whole_text
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words that a task remembers before it starts anew; bounds memory only.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 NONE = np.iinfo(np.int64).max
 
 # Letters and digits that Unicode has only since version 17; the vocabulary's library, at 16, takes them for signs.
@@ -200,6 +200,12 @@ def _pieces(batch: pa.RecordBatch, bpe: Bpe, column: int = 1):
             start, size = k + 1, 0
 
 
+def encoded_pieces(batch: pa.RecordBatch, bpe: Bpe):
+    """(first row, ids of each text) for runs of rows of bounded size."""
+    for start, split in _pieces(batch, bpe):
+        yield start, [np.fromiter(chain.from_iterable([bpe.cache[w][0] for w in words]), np.int32) for words in split]
+
+
 def encode_frame(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of every text."""
     rows = docs.select(F.col("doc_id"), whole_text().alias("text"))
@@ -208,11 +214,10 @@ def encode_frame(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = open_bpe(path)
         for batch in batches:
-            for start, split in _pieces(batch, bpe):
-                found = [np.fromiter(chain.from_iterable([bpe.cache[w][0] for w in words]), np.int32) for words in split]
+            for start, found in encoded_pieces(batch, bpe):
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(split)), ids], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(found)), ids], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 

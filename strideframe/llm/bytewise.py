@@ -8,7 +8,7 @@ import pyarrow as pa
 PRIME = 0x100000001B3
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes worked on at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 
 
 def powers(n: int, prime: int = PRIME, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  shared by all calls in a process

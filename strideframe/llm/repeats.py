@@ -44,7 +44,7 @@ FILTER_BITS = 26
 #: Classes of an anchor whose strings are compared inside a task, with at most 2/3 L strings each.
 GROUP = 20_000
 PLACE = np.uint64((1 << 22) - 1)
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def stretches(data: np.ndarray, ends: np.ndarray, length: int):

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm.bpe import encode_frame
+from strideframe.llm.bpe import encoded_pieces, open_bpe
+from strideframe.llm.common import whole_text
 from strideframe.session import scratch_path
 
 #: Bytes C4 80, the letter U+0100 in UTF-8: an id above the vocabulary that Spark's text writer can put after each row.
@@ -33,23 +34,24 @@ HEAD = 5
 BLOCK = 4 << 20
 
 
-def write_files(docs: DataFrame, vocabulary: str, path: str | None = None, rows_in_file: int = 50_000) -> str:
-    """Encode all texts and write them as flat token files, one or more for each input partition."""
-    encoded = encode_frame(docs.select("doc_id", "text"), vocabulary)
+def write_files(docs: DataFrame, vocabulary: str, path: str | None = None, rows_in_file: int = 2000) -> str:
+    """Encode all texts and write them as flat token files."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     path = path or scratch_path(docs.sparkSession, "tokens")
 
     def run(batches):
+        bpe = open_bpe(vocabulary)
         for batch in batches:
-            ids = batch.column(1)
-            tokens, ends = ids.flatten().to_numpy().astype(">u2"), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-            rows = []
-            for key, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
-                bits = 1 << 64 if key is None else key & (1 << 64) - 1
-                head = [bits >> 15 * k & 0x7FFF for k in reversed(range(HEAD))]
-                rows.append(np.array(head, ">u2").tobytes() + tokens[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["row"])
-
-    rows = encoded.mapInArrow(run, "row binary").select(F.col("row").cast("string").alias("value"))
+            keys = batch.column(0).to_pylist()
+            for start, split in encoded_pieces(batch, bpe):
+                rows = []
+                for key, ids in zip(keys[start : start + len(split)], split, strict=True):
+                    bits = 1 << 64 if key is None else key & (1 << 64) - 1
+                    head = [bits >> 15 * k & 0x7FFF for k in reversed(range(HEAD))]
+                    rows.append(np.array(head, ">u2").tobytes() + ids.astype(">u2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["row"])
+
+    rows = texts.mapInArrow(run, "row binary").select(F.col("row").cast("string").alias("value"))
     rows.write.option("lineSep", END_TEXT).option("maxRecordsPerFile", rows_in_file).text(path)
     return path
 
