@@ -183,7 +183,36 @@ def _(spark, d):
     return clean.stitch_bouts(bouts(spark, d), "bout", "row", "sig", 4)
 
 
-@query("t15_decimate")
+def decimate_sql() -> str:
+    """Both runs of the filter as sums over its impulse response, on the signal with its odd extensions."""
+    b, a = ([repr(float(v)) for v in side] for side in clean.lowpass_coefficients())
+    pad = 3 * len(a)
+    first = f"[{', '.join(b)}]"
+    back = f"[{', '.join(a[1:])}]"
+
+    def run(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT a.recording, a.ch, a.n, a.pad, a.k, sum(r.h * b.v) + any_value(s.v) * (any_value(g.acc) - any_value(t.acc)) AS v
+          FROM {source} a JOIN {source} b ON a.recording = b.recording AND a.ch = b.ch AND b.k <= a.k JOIN r ON r.k = a.k - b.k
+          JOIN {source} s ON a.recording = s.recording AND a.ch = s.ch AND s.k = 0 JOIN r t ON t.k = a.k CROSS JOIN (SELECT acc FROM r WHERE k = 4095) g GROUP BY ALL)"""
+
+    return f"""SELECT recording, k // 2 AS pos, label, x, y, z FROM (WITH RECURSIVE
+      imp AS (SELECT 0 AS k, {b[0]}::DOUBLE AS h, [{b[0]}::DOUBLE, 0, 0, 0, 0, 0, 0, 0] AS past UNION ALL
+        SELECT k + 1, u, list_concat([u], past[1:7]) FROM (SELECT k, past, coalesce(({first}::DOUBLE[])[k + 2], 0) - list_dot_product({back}::DOUBLE[], past) AS u FROM imp WHERE k < 4095)),
+      r AS (SELECT k, h, sum(h) OVER (ORDER BY k) AS acc FROM imp),
+      w AS (SELECT *, least({pad}, n - 1) AS pad FROM ({' UNION ALL '.join(f"SELECT recording, '{c}' AS ch, pos, n, {c}::DOUBLE AS v FROM fr" for c in 'xyz')})),
+      ends AS (SELECT recording, ch, arg_min(v, pos) AS v0, arg_max(v, pos) AS v1 FROM w GROUP BY ALL),
+      e AS (SELECT recording, ch, n, pad, pos + pad AS k, v FROM w
+        UNION ALL SELECT recording, ch, n, pad, pad - pos, 2 * v0 - v FROM w JOIN ends USING (recording, ch) WHERE pos BETWEEN 1 AND pad
+        UNION ALL SELECT recording, ch, n, pad, pad + 2 * (n - 1) - pos, 2 * v1 - v FROM w JOIN ends USING (recording, ch) WHERE pos BETWEEN n - 1 - pad AND n - 2),
+      {run('ahead', 'e')},
+      turned AS (SELECT recording, ch, n, pad, n + 2 * pad - 1 - k AS k, v FROM ahead),
+      {run('back', 'turned')},
+      done AS (SELECT recording, ch, n - 1 + pad - k AS k, v FROM back WHERE n - 1 + pad - k BETWEEN 0 AND n - 1)
+      SELECT d.recording, d.k, f.label, {', '.join(f"round(max(d.v) FILTER (d.ch = '{c}'), 6) AS {c}" for c in 'xyz')}
+      FROM done d JOIN fr f ON d.recording = f.recording AND d.k = f.pos WHERE d.k % 2 = 0 GROUP BY ALL)"""
+
+
+@query("t15_decimate", "fr", decimate_sql())
 def _(spark, d):
     out = clean.decimate(frames(spark, d), KEYS, "pos", ["x", "y", "z"], "label")
     return out.select("recording", "pos", "label", *[r6(F.col(c), c) for c in "xyz"])

@@ -108,12 +108,12 @@ def _(spark, d):
     return cmp.neighbour_leakage(clean_q.bouts(spark, d).select("bout", "row"), "bout", "row", F.col("row") % 3 != 0)
 
 
-@query("j10_unseen_and_shared", "", """SELECT 'unseen' AS kind, user_id FROM (SELECT user_id FROM events WHERE event_id % 10 = 0 EXCEPT SELECT user_id FROM events WHERE event_id % 10 = 5)
-  UNION ALL SELECT 'shared', user_id FROM (SELECT user_id FROM events WHERE event_id % 10 = 0 INTERSECT SELECT user_id FROM events WHERE event_id % 10 = 5)""")
+@query("j10_unseen_and_shared", "", """SELECT 'unseen' AS kind, user_id FROM (SELECT user_id FROM events WHERE event_id % 10 = 0 EXCEPT SELECT user_id FROM events WHERE event_id % 10 <> 0)
+  UNION ALL SELECT 'shared', user_id FROM (SELECT user_id FROM events WHERE event_id % 10 = 0 INTERSECT SELECT user_id FROM events WHERE event_id % 10 <> 0)""")
 def _(spark, d):
     events = load(spark, d, "events")
     test = events.filter("event_id % 10 = 0").select("user_id").distinct()
-    train = events.filter("event_id % 10 = 5").select("user_id").distinct()
+    train = events.filter("event_id % 10 <> 0").select("user_id").distinct()
     unseen = test.join(train, "user_id", "left_anti").select(F.lit("unseen").alias("kind"), "user_id")
     return unseen.unionByName(test.intersect(train).select(F.lit("shared").alias("kind"), "user_id"))
 

@@ -135,9 +135,9 @@ def _(spark, d):
     return met.detected_segments(segs(spark, d), hits, KEYS, NULL)
 
 
-@query("e13_pooled_confusion", "pc", "SELECT truth, guess, sum(n)::BIGINT AS n FROM pc WHERE fold <> 0 GROUP BY ALL")
+@query("e13_pooled_confusion", "pc", "SELECT truth, guess, sum(n)::BIGINT AS n FROM pc GROUP BY ALL")
 def _(spark, d):
-    return met.pool(fold_counts(spark, d).filter("fold <> 0"))
+    return met.pool(fold_counts(spark, d))
 
 
 @query("e14_row_percentages", "pc lab", """SELECT truth, guess, round_even(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY truth), 2) AS percent FROM (SELECT a.label AS truth, b.label AS guess, coalesce(sum(n), 0)::DOUBLE AS n FROM lab a CROSS JOIN lab b LEFT JOIN pc ON truth = a.label AND guess = b.label GROUP BY ALL)""")

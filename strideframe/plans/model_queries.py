@@ -19,8 +19,8 @@ def train_test(spark, d):
     return rows.filter("split = 'Train'"), rows.filter("split = 'Test'")
 
 
-def model_tables(spark, d, width=16):
-    """Training and test tables with a vector of the first features, standardised on the training rows."""
+def model_tables(spark, d, width=P):
+    """Training and test tables with a vector of the features, standardised on the training rows."""
     train, test = (prep.pick(df, range(width)) for df in train_test(spark, d))
     (train, test), _ = prep.fit_standardise(train, test)
     out = [settle(prep.to_vector(df).withColumn("label", F.col("label").cast("double"))) for df in (train, test)]
@@ -222,7 +222,7 @@ query("m12_bagged_trees")(guess_query(lambda train: ens.bagged_trees(20, depth=6
 def kernel_query(spark, d):
     train, test = model_tables(spark, d)
     rows = train.count()
-    a, b = (ens.fourier_features(df.drop("vector"), 0.01, 64, width=16) for df in (train, test))
+    a, b = (ens.fourier_features(df.drop("vector"), 0.01, 64, width=P) for df in (train, test))
     model = ens.kernel_machine(10.0, rows, 10).fit(settle(a))
     return ens.guesses(model, b).select("vec_id", "label", "guess")
 
@@ -250,9 +250,8 @@ def _(spark, d):
 
 
 def boosted(spark, d):
-    train, test = model_tables(spark, d, 8)
-    three = [settle(df.withColumn("label", F.col("label") % 3)) for df in (train, test)]
-    return ens.boosted_trees(3, 3).fit(three[0]), three[1]
+    train, test = model_tables(spark, d)
+    return ens.boosted_trees(3, 3).fit(train), test
 
 
 @query("m14_gradient_boosting")
@@ -264,15 +263,15 @@ def _(spark, d):
 @query("m15_split_importances")
 def _(spark, d):
     model, _ = boosted(spark, d)
-    return ens.split_importances(model, spark, 8)
+    return ens.split_importances(model, spark, P)
 
 
 def regression_tables(spark, d):
-    """First feature of the vectors from the following eight."""
+    """First feature of the vectors from all others."""
     out = []
     for df in train_test(spark, d):
         target = F.col("features")[0]
-        out.append(settle(prep.to_vector(prep.pick(df.withColumn("label", target), range(1, 9)))))
+        out.append(settle(prep.to_vector(prep.pick(df.withColumn("label", target), range(1, P)))))
     return out[0], out[1]
 
 
@@ -308,7 +307,7 @@ def _(spark, d):
 
 
 def cluster_table(spark, d):
-    return settle(prep.to_vector(prep.pick(vectors(spark, d), range(8))))
+    return settle(prep.to_vector(vectors(spark, d)))
 
 
 @query("m20_kmeans")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.scalars import magnitude
 from strideframe.operators import folds as fold, series as ser
-from strideframe.operators.ordered import sweep
+from strideframe.operators.ordered import exact_quantiles, sweep
 from strideframe.plans import cleaning_queries as clean_q
 from strideframe.plans.inputs import KEYS, STEP, WINDOW, frames, load, members_sql, r6, r9, raw_samples, samples, vectors, windows
 from strideframe.plans.registry import query, table
@@ -99,7 +99,9 @@ def _(spark, d):
     table = settle(ser.bout_cadence(rows, "recording", "m", "y", RATE, LOW, HIGH, 64, 256).withColumn("who", F.col("recording") % 8))
     lengths = rows.groupBy("recording").agg(F.max("who").alias("who"), F.max("n").alias("n"))
     pooled = ser.pooled_density(ser.welch_density(rows, "recording", "m", RATE, 64, 256), lengths, "who", "recording")
-    ssa = ser.walking_frequency(ser.bounded_series(samples(spark, d).filter("recording < 8").select(F.col("recording").alias("who"), "pos", "v"), "who", "pos", "v"), "who", 1.28)
+    # every series of a participant counts: the median of their walking frequencies
+    walks = ser.walking_frequency(settle(short_series(spark, d)), "who", 1.28).withColumn("who", F.col("who") % 8)
+    ssa = exact_quantiles(walks, ["who"], "ssa_steps", [0.5], ["ssa_steps"])
     return ser.participant_cadence(table, ser.dominant_peak(pooled, ["who"], LOW, HIGH), "who", ssa)
 
 
@@ -115,7 +117,10 @@ def _(spark, d):
     return out.select("recording", r6(F.col("w_correlation"), "w_correlation"))
 
 
-@query("g10_periodogram_peak")
+@query("g10_periodogram_peak", "ev", """WITH s AS (SELECT recording AS who, row_number() OVER (PARTITION BY recording ORDER BY t, event_id) - 1 AS pos, v FROM ev),
+  m AS (SELECT who, count(*) AS n, avg(v) AS mu FROM s GROUP BY 1), f AS (SELECT *, unnest(range(1, 8 * n + 1)) AS k FROM m),
+  p AS (SELECT f.who, f.n, f.k, pow(sum((v - mu) * cos(pi() * k * pos / (8.0::DOUBLE * n))), 2) + pow(sum((v - mu) * sin(pi() * k * pos / (8.0::DOUBLE * n))), 2) AS power FROM f JOIN s USING (who) GROUP BY ALL)
+  SELECT who, n::INT AS n, round(arg_max(k, power) / (16 * n * 1.28::DOUBLE), 6) AS peak_hz FROM p GROUP BY who, n""")
 def _(spark, d):
     return short_series(spark, d).select("who", F.size("values").alias("n"), r6(ser.periodogram_peak(F.col("values"), 1.28), "peak_hz"))
 

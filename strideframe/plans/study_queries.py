@@ -118,7 +118,7 @@ def _(spark, d):
 
 def protocol_rows(spark, d):
     rows = vectors(spark, d)
-    return settle(prep.pick(rows, range(16)).select(F.col("vec_id").alias("key"), F.col("participant").alias("who"), F.col("label").cast("long").alias("code"), "features"))
+    return settle(rows.select(F.col("vec_id").alias("key"), F.col("participant").alias("who"), F.col("label").cast("long").alias("code"), "features"))
 
 
 @query("q6_protocol_comparison")
@@ -143,7 +143,7 @@ def _(spark, d):
 
 def binary_tables(spark, d):
     """Standardised training and test tables with a two-class label and a group-fold column."""
-    train, test = vq.model_tables(spark, d, 8)
+    train, test = vq.model_tables(spark, d)
     plan = fold.group_folds(train, "participant", 3)
     two = (F.col("label") % 2).alias("label")
     a = train.join(plan, "participant").select("vec_id", "participant", "features", "vector", two, "fold")
@@ -153,7 +153,7 @@ def binary_tables(spark, d):
 @query("m24_grid_search")
 def _(spark, d):
     train, test = binary_tables(spark, d)
-    table, _best = st.grid_search(train, test, (1.0, 100.0), (0.001, 0.01), "fold", 8, 32)
+    table, _best = st.grid_search(train, test, (1.0, 100.0), (0.001, 0.01), "fold", vq.P, 32)
     return table
 
 
@@ -164,7 +164,7 @@ def _(spark, d):
 
 @query("m27_compare_models")
 def _(spark, d):
-    train, test = vq.model_tables(spark, d, 8)
+    train, test = vq.model_tables(spark, d)
     rows = train.count()
     learners = {"logisticRegression": prep.logistic(rows, 20), "decisionTree": ens.decision_tree(depth=5), "randomForest": ens.random_forest(5, depth=5), "bagging": ens.bagged_trees(5, depth=5)}
     first = st.compare_learners(train, test, learners)
