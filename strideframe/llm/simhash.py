@@ -10,6 +10,10 @@ one, which is within 4 of the other. Keys are a segment itself with another
 one's codeword, and the codewords of all three; so each pair of links shares a
 key of 33 bits or more. Rows that share one are compared bit by bit.
 
+Up to 5 bits apart, the two closest segments have at most 2 errors each, and
+two words 2 bits apart always share one of their (one or six) codewords: keys
+are then the codewords of two segments, 24 bits, more of them and less choosy.
+
 Defined results: a null or blank text has fingerprint zero; fewer words than a
 shingle make one shingle; a null id is a row like any other, but never names
 a component while another id does; extra columns are ignored.
@@ -29,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from strideframe.llm.common import fresh, keep, whole_text
 from strideframe.llm.components import components, roots
 
-LINKED, SEED = 3, 42
+LINKED, FARTHEST, SEED = 3, 5, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a key that meet in one block; a key with more is cut into pairs of blocks.
 BLOCK = 1024
@@ -100,39 +104,40 @@ class Golay:
             np.bitwise_xor.reduce([np.where(part >> b & 1, rest[8 * k + b], 0) for b in range(8) if 8 * k + b < 23], axis=0) for k in range(3)
         ]
 
-    def keys(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, word: np.ndarray, all_of_odd: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(row, 12-bit codeword number) for every key of every word."""
         s = self.syndromes[0][word & 255] ^ self.syndromes[1][word >> 8 & 255] ^ self.syndromes[2][word >> 16]
         near = word ^ self.near[s]
-        more = np.flatnonzero((np.bitwise_count(self.near[s]) == 3) & (np.bitwise_count(word) % 2 == 0))
+        more = np.flatnonzero((np.bitwise_count(self.near[s]) == 3) & ((np.bitwise_count(word) % 2 == 0) | all_of_odd))
         far = word[more, None] ^ self.far[s[more]]
         rows = np.concatenate([np.arange(len(word)), np.repeat(more, 5)])
         return rows, np.concatenate([near, far.ravel()]) >> 11
 
 
-def fuzzy_keys(fp: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+def _times(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every choice of a code of the first and one of the second, row by row."""
+    (r, codes), (other, more) = first, second
+    many = np.bincount(other, minlength=count)
+    times = many[r]
+    place = np.repeat((np.cumsum(many) - many)[r] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    return np.repeat(r, times), (np.repeat(codes, times) << 12) | more[place]
+
+
+def fuzzy_keys(fp: np.ndarray, golay: Golay, linked: int = LINKED) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every fingerprint."""
     unsigned = fp.view(np.uint64)
     whole, near = [], []
     for start, bits in SEGMENTS:
         whole.append(((unsigned >> np.uint64(start)) & np.uint64((1 << bits) - 1)).astype(np.int64))
-        rows, codes = golay.keys(whole[-1])
+        rows, codes = golay.keys(whole[-1], linked > LINKED)
         order = np.argsort(rows, kind="stable")
         near.append((rows[order], codes[order]))
-    rows, keys = [], []
-    for kind, (a, b) in enumerate(permutations(range(len(SEGMENTS)), 2)):
-        r, codes = near[b]
-        rows.append(r)
-        keys.append((np.int64(kind) << 36) | (whole[a][r] << 12) | codes)
-    r, codes = near[0]
-    for other, more in near[1:]:
-        many = np.bincount(other, minlength=len(fp))
-        times = many[r]
-        place = np.repeat((np.cumsum(many) - many)[r] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        r, codes = np.repeat(r, times), (np.repeat(codes, times) << 12) | more[place]
-    rows.append(r)
-    keys.append((np.int64(len(rows)) << 36) | codes)
-    return np.concatenate(rows), np.concatenate(keys)
+    if linked > LINKED:
+        found = [_times(near[a], near[b], len(fp)) for a, b in combinations(range(len(SEGMENTS)), 2)]
+    else:
+        found = [(near[b][0], (whole[a][near[b][0]] << 12) | near[b][1]) for a, b in permutations(range(len(SEGMENTS)), 2)]
+        found.append(_times(_times(near[0], near[1], len(fp)), near[2], len(fp)))
+    return np.concatenate([r for r, _ in found]), np.concatenate([(np.int64(kind) << 36) | codes for kind, (_, codes) in enumerate(found)])
 
 
 def close_pairs(cell: np.ndarray, fp: np.ndarray, linked: int):
@@ -175,9 +180,9 @@ def _thin(fp, a, b):
 
 
 def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
-    """Edges (u, v) that join all distinct fingerprints at most ``linked`` (3 or fewer) bits apart, as few as a forest in each cell."""
-    if linked > 3:
-        raise ValueError("The keys find links of 3 bits at most")
+    """Edges (u, v) that join all distinct fingerprints at most ``linked`` (5 or fewer) bits apart, as few as a forest in each cell."""
+    if linked > FARTHEST:
+        raise ValueError(f"The keys find links of {FARTHEST} bits at most")
 
     def spread(batches):
         golay = Golay()
@@ -185,7 +190,7 @@ def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(0, len(fp), 10_000):
                 part = fp[k : k + 10_000]
-                rows, keys = fuzzy_keys(part, golay)
+                rows, keys = fuzzy_keys(part, golay, linked)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
     def meet(batches):
@@ -208,8 +213,10 @@ def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(values[on]), pa.array(root[on])], names=["u", "v"])
 
     keyed = fps.select("fp").distinct().mapInArrow(spread, "key long, fp long")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = keyed.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # choosy keys are mostly alone, and only met ones go on; of the others only the hot ones need their count
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (1 if linked <= LINKED else BLOCK))
+    cut = keyed.join(counts, "key", "inner" if linked <= LINKED else "left")
+    cut = cut.withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(

@@ -95,17 +95,18 @@ def plain_classes(rows, linked=3):
     return Counter((rows[k][0], f"{prints[k]:016x}", least[part[k]]) for k in range(len(rows)))
 
 
-def test_every_link_of_three_bits_has_a_common_key():
+@pytest.mark.parametrize("linked", [3, 5])
+def test_every_link_has_a_common_key(linked):
     rng = np.random.default_rng(1)
     golay = simhash.Golay()
     a = rng.integers(0, 2**63, 1500, dtype=np.int64) * 2 + rng.integers(0, 2, 1500)
-    keys = set(zip(*[x.tolist() for x in simhash.fuzzy_keys(a, golay)], strict=True))
-    for errors in range(4):
+    keys = set(zip(*[x.tolist() for x in simhash.fuzzy_keys(a, golay, linked)], strict=True))
+    for errors in range(linked + 1):
         b = a.view(np.uint64).copy()
         for k in range(len(b)):
             for bit in rng.choice(64, errors, replace=False):
                 b[k] ^= np.uint64(1) << np.uint64(bit)
-        rows, other = simhash.fuzzy_keys(b.view(np.int64), golay)
+        rows, other = simhash.fuzzy_keys(b.view(np.int64), golay, linked)
         assert {r for r, k in zip(rows.tolist(), other.tolist(), strict=True) if (r, k) in keys} == set(range(len(a)))
 
 
@@ -123,6 +124,8 @@ def test_classes_equal_all_pairs(spark, monkeypatch, block):
     docs = hard_docs(spark, near)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert Counter(map(tuple, simhash.classes(docs).collect())) == plain_classes(rows)
+    wide = simhash.groups(docs, linked=5).selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0')", "component_id")
+    assert Counter(map(tuple, wide.collect())) == plain_classes(rows, 5)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({c for _, _, c in plain_classes(rows)})
