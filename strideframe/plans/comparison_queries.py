@@ -217,33 +217,27 @@ def log_files(spark, d):
     cells = [F.format_string("%.12f", F.col("v") * (i + 1)) for i in range(23)] + [code.cast("string")]
     root = scratch_path(spark, "logs")
     text = rows.select("subject", "recording", "pos", F.concat_ws("\t", *cells).alias("value"))
-    for subject in range(1, 5):
-        part = text.filter(F.col("subject") == subject).repartitionByRange(1, "recording", "pos").sortWithinPartitions("recording", "pos")
-        part.select("value").write.text(f"{root}/subject{subject}")
+    rows = text.repartitionByRange("subject", "recording", "pos").sortWithinPartitions("subject", "recording", "pos")
+    rows.select("subject", "value").write.partitionBy("subject").text(root)
     return root
 
 
 table("logs", """SELECT (recording % 4 + 1)::INTEGER AS subject, row_number() OVER (PARTITION BY recording % 4 ORDER BY recording, pos) - 1 AS frame, round(v, 4) AS chest_x, round(v * 8, 4) AS "leftAnkle_z", CASE WHEN label = 'error' THEN 0 ELSE ascii(label) - 98 END AS label FROM ev""", "ev")
 
 
-def read_logs(spark, d):
-    root = log_files(spark, d)
-    out = None
-    for subject in range(1, 5):
-        log = rec.read_log(spark, f"{root}/subject{subject}").withColumn("subject", F.lit(subject))
-        out = log if out is None else out.unionByName(log)
-    return rec.number_log(out)
+def read_logs(spark, d, which="*"):
+    log = rec.number_log(rec.read_log(spark, f"{log_files(spark, d)}/subject={which}"))
+    return log.select("subject", "frame", F.round("chest_x", 4).alias("chest_x"), F.round("leftAnkle_z", 4).alias("leftAnkle_z"), "label")
 
 
 @query("s7_read_log", "logs", "SELECT * FROM logs WHERE subject = 1")
 def _(spark, d):
-    one = rec.read_log(spark, f"{log_files(spark, d)}/subject1").withColumn("subject", F.lit(1))
-    return rec.number_log(one).select("subject", "frame", F.round("chest_x", 4).alias("chest_x"), F.round("leftAnkle_z", 4).alias("leftAnkle_z"), "label")
+    return read_logs(spark, d, "1")
 
 
 @query("s8_read_all_logs", "logs", "SELECT * FROM logs")
 def _(spark, d):
-    return read_logs(spark, d).select("subject", "frame", F.round("chest_x", 4).alias("chest_x"), F.round("leftAnkle_z", 4).alias("leftAnkle_z"), "label")
+    return read_logs(spark, d)
 
 
 def raw_csv(spark, d):

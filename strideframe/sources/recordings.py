@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideframe.operators.ordered import sweep
+
 LOG_COLUMNS = 24
 # Fixed layout of the tab-separated logs: first column of each placement's three axes, and the label column.
 LOG_PLACEMENTS = {"chest": 0, "leftAnkle": 5, "rightLowerArm": 14}
@@ -20,10 +22,18 @@ RAW_STREAMS = (
 )
 
 
+def file_block() -> Column:
+    """The part of a file that a row was read from; parts sort by file name and place."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their 0-based number, the only key such files have."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda pair: (pair[1], pair[0][0]))
-    return spark.createDataFrame(lines, T.StructType([T.StructField("row", T.LongType()), T.StructField("line", T.StringType())]))
+    """Lines of text files with their 0-based number in the order of file names, the only key such files have.
+
+    Lines are counted per file block, then numbered inside the block.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), file_block().alias("block"), F.monotonically_increasing_id().alias("order"))
+    return sweep(lines, [], ["order"], chunk="block", number="row").select("row", "line")
 
 
 def checked(value: Column, holds: Column, message: str) -> Column:
@@ -104,21 +114,20 @@ def rename_repeats(names: DataFrame, index: str, name: str) -> DataFrame:
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated sensor logs (one file or a glob): participant, frame, nine signals, label.
 
-    The participant comes from the file name, the frame from the line number
-    inside its file. The column count is checked on every row.
+    The participant comes from the name of the file or of its folder, the frame
+    from the line number in the participant's files. The column count is checked
+    on every row.
     """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select("value", file_block().alias("block"))
     cells = F.split("value", "\t")
-    rows = lines.select("file", "block", F.monotonically_increasing_id().alias("order"), checked(cells, F.size(cells) == LOG_COLUMNS, f"expected {LOG_COLUMNS} columns").alias("c"))
-    subject = F.regexp_extract("file", r"subject(\d+)[^/]*$", 1).cast("int")
+    rows = lines.select("block", F.monotonically_increasing_id().alias("order"), checked(cells, F.size(cells) == LOG_COLUMNS, f"expected {LOG_COLUMNS} columns").alias("c"))
+    subject = F.regexp_extract("block.file", r"subject=?(\d+)[^/]*(?:/[^/]*)?$", 1).cast("int")
     signals = [F.col("c")[first + i].cast("double").alias(f"{p}_{axis}") for p, first in LOG_PLACEMENTS.items() for i, axis in enumerate("xyz")]
     return rows.select(subject.alias("subject"), "block", "order", *signals, F.col("c")[LOG_LABEL].cast("int").alias("label"))
 
 
 def number_log(log: DataFrame) -> DataFrame:
     """Frame numbers of ``read_log`` rows: counted per file block, then numbered inside the block."""
-    from strideframe.operators.ordered import sweep
-
     return sweep(log.withColumnRenamed("block", "chunk"), ["subject"], ["order"], number="frame").drop("chunk", "order")
 
 
