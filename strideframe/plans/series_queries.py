@@ -65,9 +65,35 @@ def bouts(spark, d):
     return ser.bout_cadence(rows, "recording", "m", "y", RATE, LOW, HIGH, 64, 256).withColumn("who", F.col("recording") % 8)
 
 
-@query("g5_bout_cadence")
+def long_density(channel: str) -> str:
+    """Welch density per recording with segments of 64 samples and transforms of 256."""
+    return f"""SELECT recording, bin, bin * {RATE / 256}::DOUBLE AS f, avg(p) AS density FROM (
+      SELECT recording, win, bin, (pow(sum(w * cos(2 * pi() * bin * i / 256)), 2) + pow(sum(w * sin(2 * pi() * bin * i / 256)), 2)) * CASE WHEN bin IN (0, 128) THEN 1 ELSE 2 END / ({RATE} * 24.0) AS p FROM (
+      SELECT recording, win, i, ({channel} - avg({channel}) OVER (PARTITION BY recording, win)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS w, unnest(range(0, 129)) AS bin FROM (SELECT *, pos - 32 * win AS i FROM seg64)) GROUP BY recording, win, bin) GROUP BY recording, bin"""
+
+
+def long_peak(name: str) -> str:
+    return f"""SELECT recording, arg_max(f, (peak, density, -bin)) AS hz FROM (SELECT *, CASE WHEN density > lag(density) OVER w AND density > lead(density) OVER w THEN 1 ELSE 0 END AS peak
+      FROM {name} WINDOW w AS (PARTITION BY recording ORDER BY bin)) WHERE f BETWEEN {LOW} AND {HIGH} GROUP BY 1"""
+
+
+table("seg64", members_sql("mag", 64, 32), "mag")
+table("mden", long_density("m"), "seg64")
+table("yden", long_density("y"), "seg64")
+
+
+@query("g5_bout_cadence", "mag mden yden", f"""WITH t AS (SELECT recording, count(*) AS samples FROM mag GROUP BY 1),
+  h AS (SELECT recording, 2 * arg_max(f, (s, -c)) AS steps FROM (SELECT a.recording, a.bin AS c, a.f, sum(b.density) AS s FROM (SELECT *, unnest([1, 2, 3, 4]) AS h FROM mden WHERE f BETWEEN {LOW / 2} AND {HIGH / 2}) a
+    JOIN mden b ON a.recording = b.recording AND b.bin = least(a.bin * h, 128) GROUP BY ALL) GROUP BY 1),
+  s AS (SELECT a.recording, l AS lag, sum(a.m * b.m) AS s FROM (SELECT *, unnest(range(0, 17)) AS l FROM mag WHERE n >= 64) a LEFT JOIN mag b ON a.recording = b.recording AND b.pos = a.pos + l GROUP BY ALL),
+  r AS (SELECT s.recording, s.lag, coalesce(s.s, 0) / z.s AS r FROM s JOIN s z ON s.recording = z.recording AND z.lag = 0),
+  p AS (SELECT *, lag(r) OVER w AS a, lead(r) OVER w AS b FROM r WINDOW w AS (PARTITION BY recording ORDER BY lag)),
+  q AS (SELECT recording, arg_max(lag, (r, -lag)) AS l, arg_max(r, (r, -lag)) AS r, arg_max(a, (r, -lag)) AS a, arg_max(b, (r, -lag)) AS b FROM p WHERE r > a AND r > b AND lag BETWEEN {2 * RATE / HIGH} AND 16 GROUP BY 1)
+  SELECT recording, samples, samples / {RATE}::DOUBLE AS seconds, samples >= 64 AS used, round(h.steps, 6) AS fft_steps, round(2 / ((q.l + 0.5 * (q.a - q.b) / (q.a - 2 * q.r + q.b)) / {RATE}), 6)::DOUBLE AS acf_steps,
+  round(y.hz, 6) AS vertical_steps, round(m.hz, 6) AS dominant_hz, recording % 8 AS who
+  FROM t LEFT JOIN h USING (recording) LEFT JOIN q USING (recording) LEFT JOIN ({long_peak("mden")}) m USING (recording) LEFT JOIN ({long_peak("yden")}) y USING (recording)""")
 def _(spark, d):
-    return bouts(spark, d)
+    return bouts(spark, d).withColumns({c: F.round(c, 6) for c in ("fft_steps", "acf_steps", "vertical_steps", "dominant_hz")})
 
 
 # Bout rows for the summary: per supplier, with stand-in estimates taken from its channels.

@@ -187,9 +187,15 @@ def _(spark, d):
     return st.union([st.identify_participants(table, a, lambda: ens.random_forest(5, depth=5), folds=2) for a in ("A", "N")])
 
 
-@query("q10_descriptive_statistics")
+@query("q10_descriptive_statistics", "fw lv", """WITH c AS (SELECT label, count(*) FILTER (split = 'Train') AS a, count(*) FILTER (split = 'Test') AS b FROM fw GROUP BY 1),
+  s AS (SELECT feature, avg(x) AS mean, median(x) AS median, skewness(x) AS skew FROM lv GROUP BY 1),
+  r AS (SELECT corr(a.x, b.x) AS r FROM lv a JOIN lv b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY a.feature, b.feature)
+  SELECT 'classes' AS "table", 'Train ' || label AS entry, round(a / sum(a) OVER ()::DOUBLE, 6) AS value FROM c UNION ALL SELECT 'classes', 'Test ' || label, round(b / sum(b) OVER ()::DOUBLE, 6) FROM c
+  UNION ALL SELECT 'statistics', m || ' ' || feature, round(v, 6) FROM (SELECT feature, unnest(['mean', 'median', 'skew']) AS m, unnest([mean, median, skew]) AS v FROM s)
+  UNION ALL SELECT 'counts', 'skewed', count(*) FILTER (abs(skew) > 0.1)::DOUBLE FROM s UNION ALL SELECT 'counts', 'pairs', count(*)::DOUBLE FROM r
+  UNION ALL SELECT 'counts', 'correlated', count(*) FILTER (abs(r) > 0.05)::DOUBLE FROM r UNION ALL SELECT 'counts', 'undefined', count(*) FILTER (r IS NULL OR isnan(r))::DOUBLE FROM r""")
 def _(spark, d):
-    return st.describe_study(settle(vectors(spark, d)), "label", "split", ["Train", "Test"], 0.1, 0.05)
+    return st.describe_study(settle(vectors(spark, d)), "label", "split", ["Train", "Test"], 0.1, 0.05).withColumn("value", F.round("value", 6))
 
 
 @query("q11_load_study", "fw", """SELECT 'rows' AS measure, count(*) AS value FROM fw UNION ALL SELECT 'participants', count(DISTINCT participant) FROM fw UNION ALL SELECT 'activities', count(DISTINCT label) FROM fw UNION ALL SELECT 'rows that differ between two readers', 0""")
