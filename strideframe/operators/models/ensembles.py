@@ -24,18 +24,22 @@ from strideframe.operators.prep import logistic, to_vector
 from strideframe.session import scratch_path
 
 
+#: The deepest trees that the learners grow; trees that end sooner are not affected.
+DEEPEST = 30
+
+
 # ---- learners ---------------------------------------------------------------------------------------
 
-def random_forest(trees: int = 100, seed: int = 42, depth: int = 15) -> RandomForestClassifier:
+def random_forest(trees: int = 100, seed: int = 42, depth: int = DEEPEST) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector", labelCol="label")
 
 
-def bagged_trees(trees: int = 100, seed: int = 42, depth: int = 15) -> RandomForestClassifier:
+def bagged_trees(trees: int = 100, seed: int = 42, depth: int = DEEPEST) -> RandomForestClassifier:
     """Bagging: bootstrap samples, every feature open to every split."""
     return random_forest(trees, seed, depth).setFeatureSubsetStrategy("all")
 
 
-def decision_tree(seed: int = 42, depth: int = 20) -> DecisionTreeClassifier:
+def decision_tree(seed: int = 42, depth: int = DEEPEST) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(maxDepth=depth, seed=seed, featuresCol="vector", labelCol="label")
 
 
@@ -48,7 +52,7 @@ def linear_regression() -> LinearRegression:
     return LinearRegression(solver="normal", featuresCol="vector", labelCol="label")
 
 
-def forest_regression(trees: int = 100, seed: int = 42, depth: int = 10) -> RandomForestRegressor:
+def forest_regression(trees: int = 100, seed: int = 42, depth: int = DEEPEST) -> RandomForestRegressor:
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector", labelCol="label")
 
 
@@ -104,7 +108,9 @@ def fit_stumps(df: DataFrame, classes: int, rounds: int = 50, seed: int = 42, ch
         if error <= 0:
             stumps.append((1.0, tree))
             break
-        if error >= 1 - 1 / classes:
+        if error >= 1 - 1 / classes - 1e-12:
+            # No better than chance: of a whole ensemble of such, the first stump alone answers.
+            stumps = stumps or [(1.0, tree)]
             break
         alpha = float(np.log((1 - error) / error) + np.log(classes - 1))
         stumps.append((alpha, tree))

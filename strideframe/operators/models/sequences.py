@@ -173,8 +173,13 @@ def fit_left_right(df: DataFrame, label: str, frames: str = "frames", states: in
     cells: dict[int, dict[int, tuple]] = {}
     for r in thirds(df, label, frames, states).collect():
         n = r["count"]
-        cells.setdefault(r["label"], {})[r["state"]] = (np.array(r["mean"]), np.array(r["variance"]) * (n - 1) / n + floor)
+        cells.setdefault(r["label"], {})[r["state"]] = (np.array(r["mean"]), np.array(r["variance"]) * (n - 1) / n + floor, n)
     for k, parts in cells.items():
+        # A class of short sequences leaves late states without frames; they start from the moments of the whole class.
+        share = np.array([p[2] for p in parts.values()], dtype=float) / sum(p[2] for p in parts.values())
+        middle = sum(s * p[0] for s, p in zip(share, parts.values()))
+        spread = sum(s * (p[1] + (p[0] - middle) ** 2) for s, p in zip(share, parts.values()))
+        parts = {i: parts.get(i, (middle, spread)) for i in range(states)}
         means = np.stack([parts[i][0] for i in range(states)])[:, None, :]
         variances = np.stack([parts[i][1] for i in range(states)])[:, None, :]
         models[k] = StateModel(np.eye(states)[0], moves, np.ones((states, 1)), means, variances)

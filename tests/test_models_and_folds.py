@@ -143,3 +143,13 @@ def test_stumps_and_mutual_information(spark, blobs):
         assert np.isclose(got[f], (joint[joint > 0] * np.log(joint[joint > 0] / outer[joint > 0])).sum())
     order = [r["feature"] for r in prep.rank_by_redundancy(df, F.col("label"), 4).orderBy("place").collect()]
     assert sorted(order) == [0, 1, 2, 3] and order[0] == int(got.idxmax())
+
+
+def test_short_sequences_and_hopeless_stumps_still_give_models(spark):
+    rows = spark.createDataFrame([(0, [[0.0], [0.2]]), (0, [[0.1]]), (1, [[5.0], [5.1], [5.2], [5.3]]), (1, [[5.1], [5.2], [5.0], [5.4]])], "label int, frames array<array<double>>")
+    models = seq.fit_left_right(rows, "label", states=3, rounds=2)
+    got = rows.select("label", seq.classify_sequences(models, F.col("frames")).alias("g")).collect()
+    assert all(r["label"] == r["g"] for r in got)
+
+    flat = prep.to_vector(spark.createDataFrame([(float(k % 3), [1.0]) for k in range(9)], "label double, features array<double>"))
+    assert len(ens.fit_stumps(flat, 3, rounds=4)) == 1
