@@ -25,9 +25,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by fingerprints.
 
-    Texts that share four fifths of their five-word shingles differ in about 2
-    to 10 of 64 bits, unrelated ones in over 14. Five bits, the farthest that
-    the keys find for certain, catch about half of the former and none of the latter.
+    Texts that share four fifths of their five-word shingles differ in up to 10
+    of 64 bits, unrelated ones in over 14. Five bits, the farthest that the keys
+    find for certain, catch most of the former and none of the latter.
     """
     return simhash.one_of_each(docs, linked=simhash.FARTHEST)
 

@@ -104,11 +104,11 @@ class Golay:
             np.bitwise_xor.reduce([np.where(part >> b & 1, rest[8 * k + b], 0) for b in range(8) if 8 * k + b < 23], axis=0) for k in range(3)
         ]
 
-    def keys(self, word: np.ndarray, all_of_odd: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, word: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(row, 12-bit codeword number) for every key of every word."""
         s = self.syndromes[0][word & 255] ^ self.syndromes[1][word >> 8 & 255] ^ self.syndromes[2][word >> 16]
         near = word ^ self.near[s]
-        more = np.flatnonzero((np.bitwise_count(self.near[s]) == 3) & ((np.bitwise_count(word) % 2 == 0) | all_of_odd))
+        more = np.flatnonzero((np.bitwise_count(self.near[s]) == 3) & ((np.bitwise_count(word) % 2 == 0) | every))
         far = word[more, None] ^ self.far[s[more]]
         rows = np.concatenate([np.arange(len(word)), np.repeat(more, 5)])
         return rows, np.concatenate([near, far.ravel()]) >> 11
