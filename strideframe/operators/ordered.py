@@ -71,6 +71,8 @@ def add_value_chunk(df: DataFrame, keys: Sequence[str], value: str, name: str =
     steps = [i / (1 << 12) for i in range(1, 1 << 12)]
     stamp = stamped(df, keys)
     hot = stamp.groupBy("__edge", *keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
+    if hot.isEmpty():  # the usual case: every key fits one chunk, and nothing needs to be looked up
+        return df.withColumn(name, F.when(F.col(value).isNull(), F.lit(1 << 62)).otherwise(F.lit(0)).cast("long"))
     some = meet(stamp, hot, keys)
     edges = some.groupBy("__edge", *keys).agg(F.percentile_approx(value, steps, 1 << 14).alias("__q"))
     x = F.col(value)
