@@ -23,13 +23,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by fingerprints.
+    """One document of each group of near copies.
 
-    Texts that share four fifths of their five-word shingles differ in up to 10
-    of 64 bits, unrelated ones in over 14. Five bits, the farthest that the keys
-    find for certain, catch most of the former and none of the latter.
+    Fingerprints at most five bits apart, the farthest that the keys find for
+    certain, give candidates; two texts are linked only if their five-word
+    shingles are alike to 0.8.
     """
-    return simhash.one_of_each(docs, linked=simhash.FARTHEST)
+    return simhash.one_of_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

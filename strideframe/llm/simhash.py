@@ -14,6 +14,12 @@ Up to 5 bits apart, the two closest segments have at most 2 errors each, and
 two words 2 bits apart always share one of their (one or six) codewords: keys
 are then the codewords of two segments, 24 bits, more of them and less choosy.
 
+Close fingerprints alone do not make near copies: ``near_copies`` takes them as
+candidates and links two texts only if their sets of lower-cased five-word
+shingles are alike, intersection over union at least ``ALIKE``. Texts of equal
+sets are one node. A group of candidates meets in one task, a large one in
+pairs of blocks after most of it was linked through equal minima of its sets.
+
 Defined results: a null or blank text has fingerprint zero; fewer words than a
 shingle make one shingle; a null id is a row like any other, but never names
 a component while another id does; extra columns are ignored.
@@ -37,6 +43,10 @@ LINKED, FARTHEST, SEED = 3, 5, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a key that meet in one block; a key with more is cut into pairs of blocks.
 BLOCK = 1024
+#: Two texts are near copies if their five-word shingles are alike to this part.
+ALIKE, WORDS = 0.8, 5
+#: Bytes of shingle sets that meet in one block, and multipliers whose minima bring alike sets together.
+BLOCK_BYTES, MIXERS = 1 << 24, np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
@@ -241,9 +251,142 @@ def classes(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---- verified near copies
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of the lower-cased text as sorted hashes."""
+    return np.unique(shingle_hashes((text or "").lower().encode("utf-8", "surrogatepass"), words).view(np.uint64))
+
+
+def mark_of(shingles: np.ndarray) -> int:
+    """64 bits that name a set of shingles."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = ALIKE) -> bool:
+    """Whether intersection over union of two sets reaches ``least``."""
+    low, high = sorted((len(a), len(b)))
+    if low < least * high:
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= least * (len(both) - common)
+
+
+def verified_links(cells: DataFrame, linked: int, least: float = ALIKE) -> DataFrame:
+    """Edges (u, v) between marks of a cell whose fingerprints are close and whose shingles are alike.
+
+    Takes cell, mark, fp, cluster and shingles. Pairs that are linked already,
+    or of one cluster, are not compared again: a forest joins them.
+    """
+
+    def meet(batches):
+        cell, held = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for now, *row in zip(*columns, strict=True):
+                if now != cell and held:
+                    yield edges(held)
+                    held = []
+                cell = now
+                held.append(row)
+        if held:
+            yield edges(held)
+
+    def edges(rows):
+        mark, fp, cluster = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        root = np.unique(cluster, return_inverse=True)[1]
+        size, bits = np.array([len(x) for x in sets]), fp.view(np.uint64)
+        u, v = [], []
+        for k in range(len(rows) - 1):
+            near = (np.bitwise_count(bits[k + 1 :] ^ bits[k]) <= linked) & (root[k + 1 :] != root[k])
+            near &= np.minimum(size[k + 1 :], size[k]) >= least * np.maximum(size[k + 1 :], size[k])
+            for j in np.flatnonzero(near) + k + 1:
+                if root[j] != root[k] and alike(sets[k], sets[j], least):
+                    u.append(mark[k])
+                    v.append(mark[j])
+                    root[root == root[j]] = root[k]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    dealt = cells.select("cell", "mark", "fp", "cluster", "shingles").repartition("cell").sortWithinPartitions("cell", "mark")
+    return dealt.mapInArrow(meet, "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least: float = ALIKE, words: int = WORDS) -> DataFrame:
+    """doc_id, mark (of the set of shingles) and component (its smallest mark) of every row.
+
+    Two sets are linked if fingerprints of theirs are at most ``linked`` bits
+    apart and intersection over union of the sets is at least ``least``.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+
+    def name(batches):
+        for batch in batches:
+            text = batch.column(1).to_pylist()
+            sets = [shingle_set(t, words) for t in text]
+            found = [_signed([fingerprint(t, width) for t in text]), _signed([mark_of(x) for x in sets]), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["doc_id", "fp", "mark", "size"])
+
+    def spell(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                sets = [shingle_set(t, words) for t in batch.column(1).slice(k, 1000).to_pylist()]
+                least_ones = [[int(x) for x in (x[:, None] * MIXERS).min(0).view(np.int64)] if len(x) else [0] * len(MIXERS) for x in sets]
+                columns = [_signed([mark_of(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(least_ones, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["mark", "shingles", "minima"])
+
+    rows = keep(texts.mapInArrow(name, "doc_id long, fp long, mark long, size long"), "marks")
+    # a set of few shingles is alike to no other set: one shingle more or less is too much
+    nodes = keep(rows.where(F.col("size") >= least * (F.col("size") + 1)).groupBy("mark", "fp").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size")), "nodes")
+    parts = components(links(nodes, linked)).select(F.col("node").alias("fp"), "component")
+    placed = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    crowds = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    wanted = keep(placed.join(crowds.select("component", blocks), "component").select("component", "blocks", "mark", "fp", "doc_id"), "candidates")
+    picked = texts.join(wanted.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    if not wanted.where("doc_id is null").isEmpty():
+        picked = picked.unionByName(texts.where("doc_id is null"))
+    sets = picked.mapInArrow(spell, "mark long, shingles binary, minima array<long>")
+    sets = sets.groupBy("mark").agg(F.first("shingles").alias("shingles"), F.first("minima").alias("minima"))
+    full = keep(wanted.drop("doc_id").join(sets, "mark"), "shingles")
+    found = verified_links(full.where("blocks = 1").withColumns({"cell": F.col("component"), "cluster": F.col("mark")}), linked, least)
+    large = full.where("blocks > 1")
+    if not large.isEmpty():
+        part = lambda *c: F.pmod(F.xxhash64(*c), F.col("blocks")).cast("int")
+        even = large.select("*", F.posexplode("minima").alias("k", "low"))
+        even = even.withColumns({"cell": F.xxhash64("component", "k", "low", part("mark", "k")), "cluster": F.col("mark")})
+        first = keep(verified_links(even, linked, least), "first_links")
+        held = components(first).select(F.col("node").alias("mark"), F.col("component").alias("cluster"))
+        rest = large.join(held, "mark", "left").withColumn("cluster", F.coalesce("cluster", "mark"))
+        open_ones = rest.groupBy("component").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a < b").select("component")
+        rest = rest.join(open_ones, "component", "left_semi").withColumn("mine", part("mark"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.withColumn("cell", F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
+        found = found.unionByName(first).unionByName(verified_links(rest, linked, least))
+    joined = components(found).withColumnRenamed("node", "mark")
+    return rows.join(joined, "mark", "left").select("doc_id", "mark", F.coalesce("component", "mark").alias("component"))
+
+
+def one_of_near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least: float = ALIKE, words: int = WORDS) -> DataFrame:
+    """One row of ``docs`` for each group of verified near copies: one with its smallest id (null last) and then smallest mark."""
+    found = near_copies(docs, width, linked, least, words).withColumnRenamed("mark", "fp")
+    return _chosen(docs, keep(found, "groups"), lambda t: mark_of(shingle_set(t, words)))
+
+
 def one_of_each(docs: DataFrame, width: int = 3, linked: int = LINKED) -> DataFrame:
     """One row of ``docs`` for each group: one with its smallest id (null last) and then smallest fingerprint."""
-    found = keep(groups(docs, width, linked), "groups")
+    return _chosen(docs, keep(groups(docs, width, linked), "groups"), lambda t: fingerprint(t, width))
+
+
+def _chosen(docs: DataFrame, found: DataFrame, name) -> DataFrame:
+    """The first row of each component of ``found`` (doc_id, fp, component); ``name`` makes fp of a text."""
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     once, often = ids.where("doc_id is not null and n = 1").select("doc_id"), ids.where("doc_id is null or n > 1").select("doc_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("first")
@@ -251,7 +394,7 @@ def one_of_each(docs: DataFrame, width: int = 3, linked: int = LINKED) -> DataFr
     out = docs.join(chosen.join(once, "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if often.isEmpty():
         return out
-    # rows that an id does not tell apart are found by their fingerprint
+    # rows that an id does not tell apart are found by what names their text
     prefix = fresh(docs)
     own = chosen.select(F.col("doc_id").alias(f"{prefix}id"), F.col("fp").alias(f"{prefix}fp"), F.col("component").alias(f"{prefix}component"))
     where, names = docs.columns.index("text"), [*docs.columns, f"{prefix}fp"]
@@ -259,7 +402,7 @@ def one_of_each(docs: DataFrame, width: int = 3, linked: int = LINKED) -> DataFr
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in batch.column(where).to_pylist()], np.uint64)
+            found = np.array([name(t) for t in batch.column(where).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=names)
 
     tagged = rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[-1], LongType())]))

@@ -134,6 +134,55 @@ def test_classes_equal_all_pairs(spark, monkeypatch, block):
     assert simhash.classes(no_docs(spark)).count() == 0 and simhash.one_of_each(no_docs(spark)).count() == 0
 
 
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain_near_copies(rows, linked=5, least=0.8):
+    prints, sets = [plain_fingerprint(t) for _, t in rows], [plain_shingles(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            alike = sets[a] == sets[b] or (prints[a] ^ prints[b]).bit_count() <= linked and both >= least * (len(sets[a]) + len(sets[b]) - both)
+            if alike and part[a] != part[b]:
+                old, new = part[a], part[b]
+                part = [new if p == old else p for p in part]
+    members = defaultdict(list)
+    for k, p in enumerate(part):
+        members[p].append(k)
+    return members
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_copies_are_verified_links_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(4)
+    near = []
+    for g in range(3):  # edits of up to 24 of 200 words: close fingerprints on both sides of 0.8
+        base = [f"w{rng.randrange(2000)}" for _ in range(200)]
+        for k in range(25):
+            words = list(base)
+            for at in rng.sample(range(200), rng.randrange(0, 25)):
+                words[at] = f"n{rng.randrange(9)}"
+            near.append((500 + 100 * g + k, " ".join(words), "en", "s", None))
+    docs = hard_docs(spark, near)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    members = plain_near_copies(rows)
+    prints = [plain_fingerprint(t) for _, t in rows]
+    apart = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 5 and not any(a in m and b in m for m in members.values())]
+    assert apart  # close fingerprints of texts that are no near copies
+    got = defaultdict(list)
+    for r in simhash.near_copies(docs).collect():
+        got[r["component"]].append(r["doc_id"])
+    order = lambda lists: sorted(sorted(-1 if x is None else x for x in ids) for ids in lists)
+    assert order(got.values()) == order([[rows[k][0] for k in m] for m in members.values()])
+    kept = simhash.one_of_near_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(members)
+    assert simhash.one_of_near_copies(no_docs(spark)).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(300, 299), (299, 300), (7, 7)]
     got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
