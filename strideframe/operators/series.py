@@ -13,6 +13,7 @@ from strideframe.functions.arrays import DOUBLES, by_length
 from strideframe.operators.ordered import chunk_rows, exact_quantiles
 from strideframe.operators.windows import gather, sliding_members
 
+#: Longer series go through transforms of their own length instead of dense matrices and padded transforms.
 MAX_SERIES = 4096
 
 
@@ -186,10 +187,13 @@ def participant_cadence(bouts: DataFrame, pooled_peak: DataFrame, who: str, ssa:
     return out
 
 
-# ---- short series: singular spectrum, periodogram, sine fit ----------------------------------------------
+# ---- whole series: singular spectrum, periodogram, sine fit ----------------------------------------------
 
-def bounded_series(df: DataFrame, key: str, order: str, value: str, limit: int = MAX_SERIES) -> DataFrame:
-    """One array per key; a series longer than ``limit`` is an error, found from counts before it is packed."""
+def bounded_series(df: DataFrame, key: str, order: str, value: str, limit: int | None = None) -> DataFrame:
+    """One array per key; with a ``limit`` a longer series is an error, found from counts before it is packed."""
+    packed = gather(df.withColumn("values", F.col(value).cast("double")), [key], ["values"], order)
+    if limit is None:
+        return packed
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     fits = F.when(F.col("__n") <= limit, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"series longer than {limit}: "), F.col(key).cast("string"))))
     good = sizes.select(fits.alias(key))
@@ -209,10 +213,51 @@ def decompose(values: np.ndarray, window: int, kept: int) -> tuple[np.ndarray, n
     return np.array(parts), singular
 
 
+def leading_components(values: np.ndarray, window: int, kept: int, held: int = 30, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Leading singular-spectrum components and their shares without the trajectory matrix.
+
+    Products with the matrix are Fourier correlations; a Krylov basis of ``held``
+    vectors is restarted from its best Ritz vectors until their residuals vanish
+    (or ``most`` products are spent). Memory grows with the length only.
+    """
+    n, lags = len(values), len(values) - window + 1
+    size = 1 << (n - 1).bit_length()
+    spectrum = np.fft.rfft(values, size)
+    times = lambda u, rows: np.fft.irfft(spectrum * np.conj(np.fft.rfft(u, size)), size)[:rows]
+    kept, held = min(kept, window), min(held, window)
+    basis, image = np.zeros((held, window)), np.zeros((held, window))
+    fresh, filled = np.random.default_rng(0).normal(size=window), 0
+    for _ in range(most):
+        for _ in range(2):
+            fresh = fresh - basis[:filled].T @ (basis[:filled] @ fresh)
+        basis[filled] = fresh / np.linalg.norm(fresh)
+        image[filled] = times(times(basis[filled], lags), window)
+        filled += 1
+        small = basis[:filled] @ image[:filled].T
+        power, turn = np.linalg.eigh((small + small.T) / 2)
+        power, turn = power[::-1], turn[:, ::-1]
+        wanted = min(kept, filled)
+        rest = turn[:, :wanted].T @ image[:filled] - power[:wanted, None] * (turn[:, :wanted].T @ basis[:filled])
+        open_ones = np.flatnonzero(np.linalg.norm(rest, axis=1) > 1e-13 * power[0])
+        if filled == window or power[0] <= 0 or (filled > kept and not len(open_ones)):
+            break
+        fresh = rest[open_ones[0]] if len(open_ones) else np.random.default_rng(filled).normal(size=window)
+        if filled == held:
+            filled = held // 2
+            basis[:filled], image[:filled] = turn[:, :filled].T @ basis, turn[:, :filled].T @ image
+    left = turn[:, :kept].T @ basis[: len(turn)]
+    cells = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(window, lags))
+    total, parts = float((cells * values**2).sum()), []
+    for u in left:  # u times its row of the matrix, averaged over anti-diagonals
+        right = times(u, lags)
+        parts.append(np.fft.irfft(np.fft.rfft(u, size) * np.fft.rfft(right, size), size)[:n] / cells)
+    return np.array(parts), power[: len(left)] / total
+
+
 def ssa_components(series: DataFrame, key: str, kept: int = 3, shortest: int = 6) -> DataFrame:
     """Components 1..kept of every series (window length half the series) with the share of each.
 
-    ``series`` has (key, values) with bounded arrays; keys run in parallel.
+    ``series`` has (key, values); keys run in parallel.
     """
     schema = f"{key} {dict(series.dtypes)[key]}, component int, share double, values array<double>"
 
@@ -222,8 +267,12 @@ def ssa_components(series: DataFrame, key: str, kept: int = 3, shortest: int = 6
             for k, values in zip(pdf[key], pdf["values"]):
                 if len(values) < shortest:
                     continue
-                parts, singular = decompose(np.asarray(values, dtype=np.float64), len(values) // 2, kept)
-                shares = singular**2 / (singular**2).sum()
+                values = np.asarray(values, dtype=np.float64)
+                if len(values) > MAX_SERIES:
+                    parts, shares = leading_components(values, len(values) // 2, kept)
+                else:
+                    parts, singular = decompose(values, len(values) // 2, kept)
+                    shares = singular**2 / (singular**2).sum()
                 out += [(k, i, float(shares[i]), part) for i, part in enumerate(parts)]
             yield pd.DataFrame(out, columns=[key, "component", "share", "values"])
 
@@ -241,6 +290,15 @@ def weighted_correlation(df: DataFrame, keys: Sequence[str], first: Column, seco
 
 def periodogram_start(values: np.ndarray, spacing: float, padding: int) -> float:
     size = padding * len(values)
+    if len(values) > MAX_SERIES:  # frequencies r, r + padding, ... are one transform of the series' own length
+        n, centred, best = len(values), values - values.mean(), (-1.0, 0)
+        for r in range(padding):
+            power = np.abs(np.fft.fft(centred * np.exp(-2j * np.pi * r * np.arange(n) / size))[: n // 2 + 1]) ** 2
+            at = r + padding * np.arange(len(power))
+            power = np.where((at > 0) & (2 * at <= size), power, -1.0)
+            k = int(np.argmax(power))
+            best = max(best, (float(power[k]), -int(at[k])))
+        return -best[1] / (size * spacing)
     power = np.abs(np.fft.rfft(values - values.mean(), size)) ** 2
     return float(np.fft.rfftfreq(size, d=spacing)[1:][np.argmax(power[1:])])
 

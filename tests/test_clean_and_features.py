@@ -121,6 +121,24 @@ def test_singular_spectrum_adds_up_and_sine_fit(spark):
         assert "longer than" in str(error)
 
 
+def test_long_series_are_answered_like_short_ones(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (300, 301):
+        x = 5 + np.sin(2 * np.pi * 0.11 * np.arange(n)) + 0.5 * np.sin(2 * np.pi * 0.031 * np.arange(n)) + rng.normal(0, 0.3, n)
+        parts, singular = ser.decompose(x, n // 2, 3)
+        got, shares = ser.leading_components(x, n // 2, 3)
+        assert np.allclose(got, parts, atol=1e-7) and np.allclose(shares, (singular**2 / (singular**2).sum())[:3])
+        dense = ser.periodogram_start(x, 1.28, 16)
+        monkeypatch.setattr(ser, "MAX_SERIES", 100)
+        assert np.isclose(ser.periodogram_start(x, 1.28, 16), dense)
+        monkeypatch.setattr(ser, "MAX_SERIES", 4096)
+    rows = spark.range(4600).select(F.expr("if(id < 4500, 1, 2)").alias("k"), F.expr("if(id < 4500, id, id - 4500)").alias("pos"))
+    rows = rows.withColumn("v", 3 + F.sin(2 * np.pi * 0.05 * F.col("pos")))
+    found = {r["k"]: r for r in ser.walking_frequency(ser.bounded_series(rows, "k", "pos", "v"), "k", 1.0).collect()}
+    assert {k: r["windows"] for k, r in found.items()} == {1: 4500, 2: 100}
+    assert all(abs(r["ssa_steps"] - 0.05) < 1e-3 for r in found.values())
+
+
 def test_gather_keeps_order(spark):
     out = gather(sliding_members(table(spark, np.arange(10.0)), 4, 4), ["win"], ["v"]).orderBy("win").collect()
     assert [r["v"] for r in out] == [[0.0, 1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0]]
