@@ -62,12 +62,13 @@ def _(spark, d):
 def _(spark, d):
     rows = chain_frames(spark, d)
     table = settle(st.chain_windows(rows, st.Configuration(), ["x", "y", "z"]))
-    plan = st.rounds_of(table)[0]
     names = ["nearestClassCentroid", "gaussianNaiveBayes", "linearDiscriminant", "kNearestNeighbour"]
-    parts = [st.predict_round(table, plan, st.Configuration(classifier=n)).withColumn("classifier", F.lit(n)) for n in names]
-    ranked = st.predict_round(table, plan, st.Configuration(feature_count=2)).withColumn("classifier", F.lit("ranked prefix of 2"))
-    counts = met.pair_counts(st.union([*parts, ranked]), ["classifier"], "code", "guess")
-    return met.score_fold(counts, [1, 2, 3], ["classifier"])
+    chosen = {**{n: st.Configuration(classifier=n) for n in names}, "ranked prefix of 2": st.Configuration(feature_count=2)}
+    work = [(plan, n) for plan in st.rounds_of(table) for n in chosen]
+    parts = st.in_parallel(lambda w: st.predict_round(table, w[0], chosen[w[1]]).withColumn("classifier", F.lit(w[1])), work)
+    keys = ["classifier", "scheme", "subject", "train_subject", "held"]
+    counts = met.pair_counts(st.union(parts).fillna(-1, ["held"]), keys, "code", "guess")
+    return met.score_fold(counts, [1, 2, 3], keys)
 
 
 @query("q4_feature_and_size_sweeps")
@@ -184,7 +185,7 @@ def _(spark, d):
         (F.col("recording") % 4).alias("who"), F.col("label").alias("activity"), F.array(*names).alias("features"),
     )
     table = settle(table)
-    return st.union([st.identify_participants(table, a, lambda: ens.random_forest(5, depth=5), folds=2) for a in ("A", "N")])
+    return st.union([st.identify_participants(table, a, lambda: ens.random_forest(5, depth=5), folds=2) for a in ("A", "N", "R")])
 
 
 @query("q10_descriptive_statistics", "fw lv", """WITH c AS (SELECT label, count(*) FILTER (split = 'Train') AS a, count(*) FILTER (split = 'Test') AS b FROM fw GROUP BY 1),

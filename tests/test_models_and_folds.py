@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import folds as fold, prep
 from strideframe.operators.models import closed_form as closed, ensembles as ens, neighbours as knn, sequences as seq
+from strideframe.plans.catalogue import QUERIES
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -153,3 +155,11 @@ def test_short_sequences_and_hopeless_stumps_still_give_models(spark):
 
     flat = prep.to_vector(spark.createDataFrame([(float(k % 3), [1.0]) for k in range(9)], "label double, features array<double>"))
     assert len(ens.fit_stumps(flat, 3, rounds=4)) == 1
+
+
+def test_studies_cover_every_round_and_activity(spark):
+    got = {tuple(r) for r in QUERIES["q3_classifier_by_name"](spark, SMALL).select("scheme", "subject", "train_subject", "held", "classifier").collect()}
+    rounds = {r[:4] for r in got}
+    assert rounds == {("personDependent", s, s, b) for s in (0, 1) for b in (0, 1)} | {("personIndependent", 0, 1, -1), ("personIndependent", 1, 0, -1)}
+    assert len(got) == 5 * len(rounds)
+    assert {r["activity"] for r in QUERIES["q7_participant_identification"](spark, SMALL).collect()} == {"A", "N", "R"}
