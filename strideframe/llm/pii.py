@@ -20,7 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
+from itertools import count as counter, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,25 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
+
+
+def _class(fits) -> str:
+    """Character class of all characters that fit, as ranges."""
+    codes = [c for c in range(sys.maxunicode + 1) if fits(chr(c))]
+    runs = [list(r) for _, r in groupby(codes, key=lambda c, n=counter(): c - next(n))]
+    return "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs)
+
+
+# Letters of a name, with accents; marks that follow their letter count as lower-case letters.
+UPPER = f"[{_class(lambda c: unicodedata.category(c) in ('Lu', 'Lt'))}]"
+LOWER = f"[{_class(lambda c: unicodedata.category(c) == 'Ll')}\u0300-\u036f]"
+LETTER = r"[^\W\d_]"
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 EXTRA = {
     "iban": re.compile(r"[A-Z](?<![A-Za-z0-9].)[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "national_id": re.compile(r"[0-9](?<![0-9-].)[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": re.compile(r"[(0-9](?<![0-9+.-].)(?:(?<=\()[0-9]{3}\) ?|(?<=[0-9])[0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    "name": re.compile(r"[A-Z](?<![A-Za-z].)[a-z]+(?: [A-Z][a-z]+){1,2}(?![A-Za-z])"),
+    "name": re.compile(rf"{UPPER}(?<!{LETTER}.){LOWER}+(?: {UPPER}{LOWER}+){{1,2}}(?!{LETTER})"),
 }
 
 # Words of the gazetteer and context labelers, in natural order.

@@ -67,6 +67,14 @@ def test_labelers_add_what_the_patterns_miss(spark):
     assert masked[201]["text"] == "my name is [NAME], tel [LOCAL_PHONE]" and masked[220]["text"] == clean[0].replace("10.2.3.4", "[IP]")
 
 
+def test_names_with_accents_are_candidates():
+    name = pii.KINDS.index("name")
+    for who in ("José García", "Lucía Pérez", "Anna Müller", "Élodie Durand", "John Smith", "Jose\u0301 Garci\u0301a"):
+        text = f"signed by {who}, today"
+        assert [(a, b) for a, k, b in pii.candidates(text, []) if k == name] == [(10, 10 + len(who))]
+    assert not [k for _, k, _ in pii.candidates("éJohn Smith and of áb Cd", []) if k == name]
+
+
 def test_pii_bears_hard_rows(spark):
     docs = hard_docs(spark)
     got = pii.find(docs).collect()
