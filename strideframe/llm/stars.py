@@ -27,13 +27,14 @@ PART, LEAST = 1000, 10_000
 def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined with ``table``, one row for each ``key`` with the number of ``rows`` that have it.
 
-    ``total`` is the number of rows. Hot keys, ``PART`` at most, go by broadcast.
+    ``total`` is the number of rows. Hot keys, ``PART`` at most, go by broadcast,
+    the others by a merge join at every size: the table grows with the rows.
     """
     most = max(LEAST, total // PART)
     if total <= most:
-        return rows.join(table.drop(count), key)
+        return rows.join(table.drop(count).hint("merge"), key)
     hot = F.broadcast(table.where(F.col(count) > most))
-    usual = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= most).drop(count), key)
+    usual = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= most).drop(count).hint("merge"), key)
     return usual.unionByName(rows.join(hot.drop(count), key))
 
 
