@@ -5,7 +5,8 @@ pre-token is encoded once per task's cache. Its bytes are the leaves; leaf i of
 the tree holds (rank of pair i, i), an inner node the smaller of its two
 children, so the root names the leftmost pair of the lowest rank. A merge
 changes three leaves and their paths, until the root says that no pair can
-merge. Many words are worked on side by side, one row of a matrix per word.
+merge. Many words are worked on side by side, one row of a matrix per word;
+few words, such as a very long one, one after the other.
 
 Defined results: a null text is empty and gives no ids; ids that the
 vocabulary lacks decode to nothing; extra columns are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from strideframe.llm.common import whole_text
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Words that a task remembers before it starts anew; bounds memory only.
-REMEMBERED = 200_000
+#: Words that a task remembers before it starts anew, and those of each half of what token files remember; bounds memory only.
+REMEMBERED, HALF = 200_000, 200_000
+#: Words that are merged together at least; fewer have plain trees.
+TOGETHER = 50
 NONE = np.iinfo(np.int64).max
 
 # Letters and digits that Unicode has only since version 17; the vocabulary's library, at 16, takes them for signs.
@@ -84,6 +88,9 @@ class Bpe:
         self.any, self.latin = regex.compile(ANY), re.compile(LATIN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.known: dict[int, int] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text, special tokens among them."""
@@ -105,6 +112,64 @@ class Bpe:
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words that need trees of one size."""
+        flat, ends = self.merge_flat(words)
+        flat = flat.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def merge_one(self, word: bytes) -> np.ndarray:
+        """Ids of one word, by a tree of its own."""
+        n, base, known, merged = len(word), self.base, self.pairs(), self.merged_ids
+        leaves = 1 << max(1, (n - 1).bit_length())
+        bits = leaves.bit_length() - 1
+        ids = array("q", self.alphabet[np.frombuffer(word, np.uint8)].tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        rank = self.rank(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
+        levels = [np.full(leaves, NONE, np.int64)]
+        levels[0][: n - 1] = np.where(rank == NONE, NONE, rank * leaves + np.arange(n - 1))
+        while len(levels[0]) > 1:
+            levels.insert(0, np.minimum(levels[0][::2], levels[0][1::2]))
+        tree = array("q", np.concatenate([[NONE], *levels]).tobytes())
+
+        def put(leaf, value):
+            at = leaf + leaves
+            tree[at] = value
+            while at > 1:
+                at >>= 1
+                low = min(tree[2 * at], tree[2 * at + 1])
+                if tree[at] == low:
+                    return
+                tree[at] = low
+
+        def pair(i, j):
+            found = known.get(ids[i] * base + ids[j], -1) if ids[i] >= 0 and ids[j] >= 0 else -1
+            return NONE if found < 0 else found << bits | i
+
+        while (root := tree[1]) != NONE:
+            i = root & (leaves - 1)
+            j = after[i]
+            k = after[j]
+            ids[i], ids[j], after[i] = merged[root >> bits], -1, k
+            put(j, NONE)
+            if k < n:
+                before[k] = i
+            put(i, pair(i, k) if k < n else NONE)
+            if before[i] >= 0:
+                put(before[i], pair(before[i], i))
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
+    def pairs(self) -> dict[int, int]:
+        """Rank of every pair that merges."""
+        if not self.known:
+            self.known = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+            self.merged_ids = self.merged.tolist()
+        return self.known
+
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all words that need trees of one size, and where each word's end."""
+        if len(words) < TOGETHER:
+            found = [self.merge_one(w) for w in words]
+            return np.concatenate(found), np.cumsum([len(f) for f in found]).tolist()
         count, width = len(words), max(map(len, words))
         leaves = 1 << max(1, (width - 1).bit_length())
         lengths = np.fromiter(map(len, words), np.int64, count)
@@ -143,25 +208,44 @@ class Bpe:
                     tree[rows, leaf] = np.minimum(tree[rows, 2 * leaf], tree[rows, 2 * leaf + 1])
             live = live[tree[live, 1] != NONE]
         kept = ids[:, :-1] >= 0
-        flat, ends = ids[:, :-1][kept].tolist(), np.cumsum(kept.sum(1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return ids[:, :-1][kept], np.cumsum(kept.sum(1)).tolist()
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that the cache lacks, those of similar length together."""
         if len(self.cache) + len(words) > REMEMBERED:
             self.cache.clear()
+        for word in words & self.special.keys():
+            self.remember(word, [self.special[word]])
+        for part in self.alike([w for w in words if w not in self.cache]):
+            for word, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
+                self.remember(word, ids)
+
+    def alike(self, words: list[str]):
+        """Words in groups whose trees have one size; a group's trees have a bounded size together."""
         by_size: dict[int, list[str]] = {}
         for word in words:
-            if word in self.special:
-                self.remember(word, [self.special[word]])
-            elif word not in self.cache:
-                by_size.setdefault((len(word.encode()) - 1).bit_length(), []).append(word)
+            by_size.setdefault((len(word.encode()) - 1).bit_length(), []).append(word)
         for bits, group in by_size.items():
             step = max(1, (1 << 18) >> bits)
             for k in range(0, len(group), step):
-                part = group[k : k + step]
-                for word, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
-                    self.remember(word, ids)
+                yield group[k : k + step]
+
+    def learn_bytes(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word as pairs of bytes, the higher first. What is remembered has a new and an old half."""
+        if len(self.young) + len(words) > HALF:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = words.difference(young)
+        known = missing & old.keys()
+        young.update({w: old[w] for w in known})
+        missing -= known
+        for word in missing & self.special.keys():
+            young[word] = self.special[word].to_bytes(2, "big")
+        for part in self.alike([w for w in missing if w not in self.special]):
+            flat, ends = self.merge_flat([w.encode() for w in part])
+            data = flat.astype(">u2").tobytes()
+            young.update(zip(part, [data[2 * a : 2 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return young
 
     def remember(self, word: str, found: list[int]) -> None:
         self.cache[word] = (found, ",".join(map(str, found)), self.decode_bytes(found), len(found))
@@ -185,27 +269,41 @@ def open_bpe(path: str, held: dict = {}) -> Bpe:  # noqa: B006  one vocabulary f
     return held[path]
 
 
-def _pieces(batch: pa.RecordBatch, bpe: Bpe, column: int = 1):
-    """(first row, pre-tokens of each text) for runs of rows of bounded size; all their words are in the cache until the next run."""
+def _runs(batch: pa.RecordBatch, bpe: Bpe, column: int = 1):
+    """(first row, pre-tokens of each text, all of them) for runs of rows of bounded size."""
     texts = batch.column(column).to_pylist()
     start, size = 0, 0
     for k, text in enumerate(texts):
         size += len(text)
         if size > 2_000_000 or k == len(texts) - 1:
             split = [bpe.split(t) if t else [] for t in texts[start : k + 1]]
-            words = set(chain.from_iterable(split))
-            if missing := words.difference(bpe.cache):
-                bpe.learn(missing if len(bpe.cache) + len(missing) <= REMEMBERED else words)
-            yield start, split
+            yield start, split, set(chain.from_iterable(split))
             start, size = k + 1, 0
 
 
+def _pieces(batch: pa.RecordBatch, bpe: Bpe, column: int = 1):
+    """(first row, pre-tokens of each text) for runs of rows of bounded size; all their words are in the cache until the next run."""
+    for start, split, words in _runs(batch, bpe, column):
+        if missing := words.difference(bpe.cache):
+            bpe.learn(missing if len(bpe.cache) + len(missing) <= REMEMBERED else words)
+        yield start, split
+
+
 def encoded_pieces(batch: pa.RecordBatch, bpe: Bpe):
     """(first row, ids of each text) for runs of rows of bounded size."""
     for start, split in _pieces(batch, bpe):
         yield start, [np.fromiter(chain.from_iterable([bpe.cache[w][0] for w in words]), np.int32) for words in split]
 
 
+def encoded_bytes(batch: pa.RecordBatch, bpe: Bpe):
+    """(first row, ids of each text as pairs of bytes, the higher first) for runs of rows of bounded size."""
+    if len(bpe.pieces) > 1 << 16:
+        raise ValueError("The vocabulary has ids of more than two bytes")
+    for start, split, words in _runs(batch, bpe):
+        known = bpe.learn_bytes(words).__getitem__
+        yield start, [b"".join(map(known, w)) for w in split]
+
+
 def encode_frame(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of every text."""
     rows = docs.select(F.col("doc_id"), whole_text().alias("text"))

@@ -10,8 +10,9 @@ of documents before it.
 
 Defined results: an empty document has 0 tokens; tokens after a file's last
 separator are one more document (``ended`` false); an empty file has no
-documents; a file of odd length, or over the two gigabytes that Spark's
-binary source reads, is an error.
+documents; a file of odd length is an error. Own files end after ``ROLL`` bytes
+and one document; a file from elsewhere over the two gigabytes that Spark's
+binary source reads is an error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm.bpe import encoded_pieces, open_bpe
+from strideframe.llm.bpe import encoded_bytes, open_bpe
 from strideframe.llm.common import whole_text
 from strideframe.session import scratch_path
 
@@ -32,35 +33,47 @@ END, END_TEXT = 0xC480, "Ā"
 HEAD = 5
 #: Bytes of a block.
 BLOCK = 4 << 20
+#: Bytes after which a task begins another file.
+ROLL = 32 << 20
 
 
-def write_files(docs: DataFrame, vocabulary: str, path: str | None = None, rows_in_file: int = 2000) -> str:
-    """Encode all texts and write them as flat token files."""
+def heads(keys: pa.Array) -> np.ndarray:
+    """``HEAD`` tokens for each id."""
+    bits = keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    out = np.empty((len(bits), HEAD), ">u2")
+    for k in range(HEAD):
+        out[:, HEAD - 1 - k] = bits >> np.uint64(15 * k) & np.uint64(0x7FFF)
+    out[keys.is_null().to_numpy(zero_copy_only=False), 0] = 16
+    return out
+
+
+def write_files(docs: DataFrame, vocabulary: str, path: str | None = None, roll: int | None = None) -> str:
+    """Encode all texts and write them as flat token files, in a folder for each turn of the tasks' files."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    path = path or scratch_path(docs.sparkSession, "tokens")
+    path, roll = path or scratch_path(docs.sparkSession, "tokens"), roll or ROLL
 
     def run(batches):
-        bpe = open_bpe(vocabulary)
+        bpe, written = open_bpe(vocabulary), 0
+        if len(bpe.pieces) > END:
+            raise ValueError("The vocabulary has the id that ends a document")
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for start, split in encoded_pieces(batch, bpe):
-                rows = []
-                for key, ids in zip(keys[start : start + len(split)], split, strict=True):
-                    bits = 1 << 64 if key is None else key & (1 << 64) - 1
-                    head = [bits >> 15 * k & 0x7FFF for k in reversed(range(HEAD))]
-                    rows.append(np.array(head, ">u2").tobytes() + ids.astype(">u2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["row"])
-
-    rows = texts.mapInArrow(run, "row binary").select(F.col("row").cast("string").alias("value"))
-    rows.write.option("lineSep", END_TEXT).option("maxRecordsPerFile", rows_in_file).text(path)
+            front = heads(batch.column(0)).tobytes()
+            for start, found in encoded_bytes(batch, bpe):
+                rows = [front[2 * HEAD * k : 2 * HEAD * (k + 1)] + ids for k, ids in enumerate(found, start)]
+                ends = np.cumsum([len(r) + 2 for r in rows]) + written
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array((ends - 1) // roll, pa.int64())], names=["row", "roll"])
+                written = int(ends[-1])
+
+    rows = texts.mapInArrow(run, "row binary, roll long").select(F.col("row").cast("string").alias("value"), "roll")
+    rows.write.partitionBy("roll").option("lineSep", END_TEXT).text(path)
     return path
 
 
 def blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
     numbers = F.sequence(F.lit(0), F.floor((F.col("length") - 1) / block).cast("int"))
-    cut = files.select(F.col("path").alias("file"), "content", F.explode(numbers).alias("block"))
-    return cut.select("file", "block", F.substring("content", F.col("block") * block + 1, F.lit(block)).alias("bytes"))
+    cut = F.transform(numbers, lambda b: F.struct(b.alias("block"), F.substring("content", b * block + 1, F.lit(block)).alias("bytes")))
+    return files.select(F.col("path").alias("file"), F.explode(cut).alias("cut")).select("file", "cut.block", "cut.bytes")
 
 
 def _scan(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -156,6 +156,21 @@ def test_round_trip_bears_hard_rows_and_a_full_cache(spark, monkeypatch):
     assert bpe.round_trip(no_docs(spark), VOCABULARY).count() == 0
 
 
+def test_long_words_have_plain_trees(monkeypatch):
+    library, own = Tokenizer.from_file(VOCABULARY), bpe.Bpe(VOCABULARY)
+    rng = random.Random(5)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "éß") for n in (1, 2, 3, 40, 5000)]
+    words.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)))
+    for word in words:
+        assert own.merge_one(word.encode()).tolist() == library.encode(word, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "HALF", 7)
+    known = own.learn_bytes({*words, "<|endoftext|>"})
+    for word in [*words, "<|endoftext|>"]:
+        assert np.frombuffer(known[word], ">u2").tolist() == library.encode(word, add_special_tokens=False).ids
+    again = own.learn_bytes({words[3], "again"})
+    assert again[words[3]] == known[words[3]] and len(again) == 2
+
+
 # --- shards
 
 
