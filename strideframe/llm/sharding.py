@@ -6,9 +6,10 @@ as it can. Records carry no state of their own, so a new version touches the
 map alone.
 
 Defined results: a null text has size 1 and the checksum of the empty text;
-a null id hashes by its text; rows that share id and text share a slot; an
-empty table gives an empty result and a map of empty slots; extra columns are
-ignored.
+a null id hashes by its text; of rows that share id and text each copy has a
+slot of its own, so that no repeated row makes a shard heavy; equal texts under
+different ids go where their ids say; an empty table gives an empty result and
+a map of empty slots; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,22 +18,35 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import whole_text
+from strideframe.llm.common import keep, whole_text
 from strideframe.session import scratch_path
 
 SLOTS = 4096
+#: Copies of a row that one task numbers.
+COPIES = 10_000
 
 
 def to_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size in bytes plus one, checksum and virtual slot of every record."""
     text = whole_text()
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("null"), text)).otherwise(F.xxhash64("doc_id", text))
-    return docs.select(
+    named = docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+        key.alias("key"), F.xxhash64(F.lit(1), text).alias("more"),
+    )
+    # equal rows are counted first and numbered afterwards, many copies by several tasks
+    rows = keep(named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n")), "records")
+    few, many = rows.where(F.col("n") <= COPIES), rows.where(F.col("n") > COPIES)
+    numbered = few.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    if not many.isEmpty():
+        first = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("first"))
+        spread = first.repartition("key", "first")
+        last = F.least(F.col("first") + COPIES, F.col("n")) - 1
+        numbered = numbered.unionByName(spread.select("*", F.explode(F.sequence("first", last)).alias("copy")).drop("first"))
+    slot = F.when(F.col("copy") == 0, F.col("key")).otherwise(F.xxhash64("key", "copy"))
+    return numbered.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:

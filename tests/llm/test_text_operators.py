@@ -189,6 +189,19 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert sharding.shard_rows(no_docs(spark)).count() == 0
 
 
+def test_a_repeated_row_spreads(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 500)
+    rows = [(5, "one row " * 2)] * 7000 + [(100 + k, "other") for k in range(13_000)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    load, count = Counter(), Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        count[r["doc_id"]] += 1
+    assert count == Counter(d for d, _ in rows) and max(load.values()) <= 1.01 * min(load.values())
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_a_new_shard_takes_slots_and_the_others_keep_theirs(spark, tmp_path):
     rng = np.random.default_rng(1)
     size = rng.integers(1, 1000, 512)
@@ -208,7 +221,7 @@ def test_a_new_shard_takes_slots_and_the_others_keep_theirs(spark, tmp_path):
 def test_counts_do_not_depend_on_blocks(spark, block):
     docs = hard_docs(spark, [(-5, "below zero", "en", "s", None), (2**63 - 1, "a b", "en", "s", None), (-(2**63), "c", "en", "s", None)]).where("length(coalesce(text, '')) < 5000")
     library = Tokenizer.from_file(VOCABULARY)
-    path = token_files.write_files(docs, VOCABULARY, rows_in_file=9)
+    path = token_files.write_files(docs, VOCABULARY, roll=600)
     found = token_files.scan(spark, path, block).collect()
     want = sorted(len(library.encode(r["text"] or "", add_special_tokens=False).ids) + token_files.HEAD for r in docs.collect())
     assert sorted(r["n_tokens"] for r in found) == want and all(r["ended"] for r in found)
