@@ -19,6 +19,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.session import settle
+
 CHUNK_ROWS = 1 << 18
 ROWS_SETTING = "strideframe.chunk.rows"
 
@@ -232,26 +234,26 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], *, chunk: str
     return joined.select(*df.columns, *[c for c in joined.columns if c not in df.columns])
 
 
-def number_groups(df: DataFrame, outer_key: str, inner_keys: Sequence[str], name: str) -> DataFrame:
-    """Distinct (outer_key, inner_keys) numbered 0.. in their sort order over all outer keys.
+def dense_numbers(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Rows numbered 0.. in their order over the whole table, by a two-level prefix count.
 
-    Only counts per outer key are ordered in one place; the rows themselves are
-    numbered per outer key.
+    Rows are dealt into ranges of the order, numbered within their range, and the
+    counts of the ranges (as many as there are partitions) give each range its
+    first number. Rows that are equal in ``order`` need to be told apart by it.
     """
-    groups = df.select(outer_key, *inner_keys).distinct()
-    sizes = groups.groupBy(outer_key).agg(F.count(F.lit(1)).alias("size"))
-    offsets = sizes.select(
-        outer_key,
-        F.coalesce(
-            F.sum("size").over(Window.orderBy(outer_key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("offset"),
-    )
-    local = Window.partitionBy(outer_key).orderBy(*inner_keys)
-    return (
-        groups.join(offsets, outer_key)
-        .withColumn(name, (F.row_number().over(local) - 1 + F.col("offset")).cast("long"))
-        .drop("offset")
-    )
+    dealt = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    within = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = dealt.withColumn("__range", F.shiftright("__m", 33)).withColumn("__within", within).drop("__m")
+    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    # a row for each partition
+    return rows.join(F.broadcast(offsets), "__range").select(*df.columns, (F.col("__before") + F.col("__within")).cast("long").alias(name))
+
+
+def number_groups(df: DataFrame, outer_key: str, inner_keys: Sequence[str], name: str) -> DataFrame:
+    """Distinct (outer_key, inner_keys) numbered 0.. in their sort order over all outer keys, however many a key has."""
+    return dense_numbers(df.select(outer_key, *inner_keys).distinct(), [outer_key, *inner_keys], name)
 
 
 def exact_quantiles(

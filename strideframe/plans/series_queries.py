@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strideframe.functions.scalars import magnitude
-from strideframe.operators import folds as fold, series as ser
+from strideframe.operators import fold_statistics as stats, folds as fold, series as ser
 from strideframe.operators.ordered import exact_quantiles, sweep
 from strideframe.plans import cleaning_queries as clean_q
 from strideframe.plans.inputs import KEYS, STEP, WINDOW, frames, load, members_sql, r6, r9, raw_samples, samples, vectors, windows
@@ -194,12 +194,17 @@ def _(spark, d):
     return fold.inner_participants(vectors(spark, d), "participant")
 
 
+@query("x4_inner_rules", "fw", """WITH p AS (SELECT participant, row_number() OVER (ORDER BY participant) - 1 AS place FROM fw GROUP BY participant)
+  SELECT participant, place, CASE WHEN place % 3 = 0 THEN 'valid' ELSE 'train' END AS role_if_later_held, CASE WHEN (place - 1) % 3 = 0 THEN 'valid' ELSE 'train' END AS role_if_earlier_held FROM p""")
+def _(spark, d):
+    return stats.inner_rules(vectors(spark, d), "participant")
+
+
 @query("x4_inner_folds", "raw", f"""WITH o AS (SELECT event_id, label, (row_number() OVER (PARTITION BY label ORDER BY {hash_sql('event_id')}, event_id) - 1) % 10 AS f FROM raw)
-  SELECT event_id, label, CASE WHEN (row_number() OVER (PARTITION BY label ORDER BY {hash_sql('event_id', 7)}, event_id) - 1) % 3 = 0 THEN 'valid' ELSE 'train' END AS role FROM o WHERE f <> 0""")
+  SELECT g.f::INTEGER AS outer_fold, event_id, label, CASE WHEN (row_number() OVER (PARTITION BY g.f, label ORDER BY {hash_sql('event_id', 7)}, event_id) - 1) % 3 = 0 THEN 'valid' ELSE 'train' END AS role FROM o JOIN (SELECT DISTINCT f FROM o) g ON o.f <> g.f""")
 def _(spark, d):
-    outer = fold.stratified_folds(events(spark, d), "label", "event_id", 10).filter("fold <> 0").drop("fold")
-    inner = fold.stratified_folds(outer, "label", "event_id", 3, seed=7)
-    return inner.select("event_id", "label", F.when(F.col("fold") == 0, "valid").otherwise("train").alias("role"))
+    outer = fold.stratified_folds(events(spark, d), "label", "event_id", 10)
+    return stats.inner_roles(stats.inner_places(outer, "label", "event_id", 10), 10).select("outer_fold", "event_id", "label", "role")
 
 
 @query("x5_stratified_group_folds")

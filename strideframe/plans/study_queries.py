@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.operators import aggregate as agg, budget as bud, clean, features as feat, folds as fold, metrics as met, prep
+from strideframe.operators import aggregate as agg, budget as bud, clean, features as feat, fold_statistics as stats, folds as fold, metrics as met, prep
 from strideframe.operators.models import ensembles as ens
 from strideframe.operators.ordering import union_tables
 from strideframe.operators.windows import gather
-from strideframe.plans import budget_queries as bq, cleaning_queries as cq, comparison_queries as jq, measure_queries as mq, model_queries as vq, studies as st
+from strideframe.plans import budget_queries as bq, cleaning_queries as cq, comparison_queries as jq, measure_queries as mq, model_queries as vq, series_queries as sq, studies as st
 from strideframe.plans.inputs import KEYS, ORDER, frame_windows, frames, r6, r9, vectors, windows
 from strideframe.plans.registry import query, table
 from strideframe.session import scratch_path, settle
@@ -125,15 +125,47 @@ def protocol_rows(spark, d):
 @query("q6_protocol_comparison")
 def _(spark, d):
     rows = protocol_rows(spark, d)
-    part = settle(fold.subsample(rows, ["who", "code"], "key", 0.5))
-    names = ["nearestClassCentroid", "gaussianNaiveBayes"]
-    tables = [
-        st.run_folds(rows, "full", "shuffledFolds", names, 3, list(range(10))), st.run_folds(rows, "full", "leaveOneSubjectOut", names, 3, list(range(10))),
-        st.run_folds(part, "subsample", "shuffledFolds", names, 3, list(range(10)), keep=8),
-    ]
+    part = settle(fold.subsample(rows, ["who", "code"], "key", 0.1))
+    names, labels = list(stats.SETTINGS), list(range(10))
+    tables = []
+    for variant, source, keep in (("full", rows, None), ("subsample", part, None), ("selected", rows, 16)):
+        for protocol in st.PROTOCOLS:
+            scores = stats.fold_scores(stats.evaluate_folds(source, protocol, names, keep=keep), labels)
+            tables.append(settle(scores.select(F.lit(variant).alias("variant"), F.lit(protocol).alias("protocol"), "*")))
     return agg.summarise_folds(st.union(tables), ["variant", "protocol", "classifier"], ["accuracy", "macro_f1"], ["accuracy", "macro_f1"])
 
 
+@query("m26_fold_statistics", "fw", f"""WITH f AS (SELECT vec_id AS key, label::BIGINT AS code, features, (row_number() OVER (PARTITION BY label ORDER BY {sq.hash_sql('vec_id')}, vec_id) - 1) % 10 AS fold FROM fw WHERE label IS NOT NULL AND features IS NOT NULL),
+  o AS (SELECT unnest(range(10)) AS o),
+  r AS (SELECT o, key, code, (row_number() OVER (PARTITION BY o, code ORDER BY {sq.hash_sql('key', 7)}, key) - 1) % 3 = 0 AS valid FROM f JOIN o ON o <> fold),
+  l AS (SELECT key, code, fold, unnest(features) AS x, unnest(range(len(features))) AS i FROM f),
+  rows AS (SELECT 'final' AS phase, o, key, true AS train FROM r UNION ALL SELECT 'final', fold, key, false FROM f UNION ALL SELECT 'inner', o, key, NOT valid FROM r),
+  scale AS (SELECT o, i, var_pop(x) AS spread FROM r JOIN l USING (key) GROUP BY o, i),
+  whole AS (SELECT phase, o, i, avg(x) AS mu, var_pop(x) / any_value(spread) AS share FROM rows JOIN l USING (key) JOIN scale USING (o, i) WHERE train GROUP BY phase, o, i),
+  most AS (SELECT phase, o, max(share) AS share FROM whole GROUP BY phase, o),
+  c AS (SELECT phase, o, code, i, count(*)::DOUBLE AS n, avg(x) AS m, var_pop(x) AS v FROM rows JOIN l USING (key) WHERE train GROUP BY phase, o, code, i),
+  t AS (SELECT phase, o, code, sum(n) OVER (PARTITION BY phase, o) AS rows, n FROM c WHERE i = 0),
+  s AS (SELECT * FROM (VALUES ('nearestClassCentroid', 0.0::DOUBLE), ('nearestClassCentroid', 0.25), ('nearestClassCentroid', 0.5), ('gaussianNaiveBayes', 1e-9), ('gaussianNaiveBayes', 1e-3), ('gaussianNaiveBayes', 1e-1)) x(classifier, setting)),
+  m AS (SELECT phase, o, c.code, i, classifier, setting, spread, CASE classifier WHEN 'gaussianNaiveBayes' THEN c.m ELSE mu * setting + c.m * (1 - setting) END AS m,
+      CASE classifier WHEN 'gaussianNaiveBayes' THEN c.v + setting * most.share * spread ELSE spread END AS v FROM c JOIN whole USING (phase, o, i) JOIN most USING (phase, o) JOIN scale USING (o, i), s),
+  d AS (SELECT rows.phase, rows.o, key, l.code AS truth, classifier, setting, m.code AS g, sum((x - m) * (x - m) / v + CASE classifier WHEN 'gaussianNaiveBayes' THEN ln(2 * pi() * v / spread) ELSE 0 END) AS d
+      FROM rows JOIN l USING (key) JOIN m ON m.phase = rows.phase AND m.o = rows.o AND m.i = l.i WHERE NOT train GROUP BY ALL),
+  e AS (SELECT d.phase, d.o, key, truth, classifier, setting, g, d - CASE classifier WHEN 'gaussianNaiveBayes' THEN 2 * ln(n / rows) ELSE 0 END AS d FROM d JOIN t ON t.phase = d.phase AND t.o = d.o AND t.code = g),
+  p AS (SELECT phase, o, key, truth, classifier, setting, arg_min(g, (d, g)) AS guess FROM e GROUP BY ALL),
+  k AS (SELECT DISTINCT code FROM f),
+  h AS (SELECT o, classifier, setting, k.code, count(*) FILTER (truth = k.code AND guess = k.code)::DOUBLE AS hits, count(*) FILTER (truth = k.code) AS a, count(*) FILTER (guess = k.code) AS b FROM p, k WHERE phase = 'inner' GROUP BY ALL),
+  f1 AS (SELECT o, classifier, setting, round(avg(CASE WHEN hits > 0 THEN 2 * (hits / a) * (hits / b) / (hits / a + hits / b) ELSE 0 END), 12) AS f1 FROM h GROUP BY ALL),
+  best AS (SELECT o, classifier, arg_min(setting, (-f1, setting)) AS setting FROM f1 GROUP BY ALL)
+  SELECT key, o::INTEGER AS fold, classifier, setting, truth, guess FROM p JOIN best USING (o, classifier, setting) WHERE phase = 'final'""")
+def _(spark, d):
+    return stats.evaluate_folds(protocol_rows(spark, d), "shuffledFolds", ["nearestClassCentroid", "gaussianNaiveBayes"])
+
+
+@query("m26_unseen_participants")
+def _(spark, d):
+    return stats.evaluate_folds(protocol_rows(spark, d), "leaveOneSubjectOut", list(stats.SETTINGS), keep=16)
+
+
 @query("m26_fold_jobs")
 def _(spark, d):
     rows = protocol_rows(spark, d)
