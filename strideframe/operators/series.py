@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions.arrays import DOUBLES, by_length
-from strideframe.operators.ordered import chunk_rows, exact_quantiles
+from strideframe.operators.ordered import attach, chunk_by_position, chunk_rows, exact_quantiles
 from strideframe.operators.windows import gather, sliding_members
+from strideframe.session import settle
 
 #: Longer series go through transforms of their own length instead of dense matrices and padded transforms.
 MAX_SERIES = 4096
@@ -288,80 +291,178 @@ def weighted_correlation(df: DataFrame, keys: Sequence[str], first: Column, seco
     )
 
 
-def periodogram_start(values: np.ndarray, spacing: float, padding: int) -> float:
-    size = padding * len(values)
-    if len(values) > MAX_SERIES:  # frequencies r, r + padding, ... are one transform of the series' own length
-        n, centred, best = len(values), values - values.mean(), (-1.0, 0)
-        for r in range(padding):
-            power = np.abs(np.fft.fft(centred * np.exp(-2j * np.pi * r * np.arange(n) / size))[: n // 2 + 1]) ** 2
-            at = r + padding * np.arange(len(power))
-            power = np.where((at > 0) & (2 * at <= size), power, -1.0)
-            k = int(np.argmax(power))
-            best = max(best, (float(power[k]), -int(at[k])))
-        return -best[1] / (size * spacing)
-    power = np.abs(np.fft.rfft(values - values.mean(), size)) ** 2
-    return float(np.fft.rfftfreq(size, d=spacing)[1:][np.argmax(power[1:])])
+def chirp(values: np.ndarray, first: int, count: int, whole: int) -> np.ndarray:
+    """Fourier sums of ``values`` at the bins first .. first + count - 1 of ``whole``, by one convolution with a chirp."""
+    m = len(values)
+    size = 1 << (m + count - 2).bit_length()
+    turn = lambda k: np.exp(-1j * np.pi * (k * k % (2 * whole)) / whole)
+    j, k = np.arange(m, dtype=np.int64), np.arange(count, dtype=np.int64)
+    head = values * np.exp(-2j * np.pi * (first * j % whole) / whole) * turn(j)
+    filter_ = np.zeros(size, complex)
+    filter_[:count] = np.conj(turn(k))
+    if m > 1:
+        filter_[-(m - 1) :] = np.conj(turn(j[:0:-1]))
+    return np.fft.ifft(np.fft.fft(head, size) * np.fft.fft(filter_))[:count] * turn(k)
 
 
-def periodogram_peak(values: Column, spacing: float, padding: int = 16) -> Column:
-    """Frequency of the largest value of the zero-padded periodogram."""
+def chunked_series(df: DataFrame, key: str, value: str, pos: str = "pos") -> DataFrame:
+    """Series cut into arrays of bounded length: (key, chunk, start, whole, mean, v), null values left out of the sums as 0.
 
-    @F.pandas_udf("double")
-    def peak(series: pd.Series) -> pd.Series:
-        return series.map(lambda v: periodogram_start(np.asarray(v, dtype=np.float64), spacing, padding))
-
-    return peak(values)
-
-
-def sine_at(t: np.ndarray, v: np.ndarray, frequency: float) -> tuple[np.ndarray, float]:
-    """Least-squares sine, cosine and offset at a frequency, and the residual sum of squares."""
-    design = np.column_stack([np.sin(2 * np.pi * frequency * t), np.cos(2 * np.pi * frequency * t), np.ones_like(t)])
-    weights = np.linalg.lstsq(design, v, rcond=None)[0]
-    return weights, float(((v - design @ weights) ** 2).sum())
-
-
-def fit_sine(values: Column, spacing: float, highest: float, padding: int = 16, rounds: int = 12) -> Column:
-    """Sine fit with a frequency bounded by ``highest``: linear fits on grids that close in on the best one."""
-
-    @F.pandas_udf("start double, amplitude double, frequency double, phase double, offset double, r_squared double")
-    def fit(series: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in series:
-            v = np.asarray(v, dtype=np.float64)
-            t = np.arange(len(v)) * spacing
-            start = min(periodogram_start(v, spacing, padding), highest)
-            best, reach = start, 1.0 / (len(v) * spacing)
-            for _ in range(rounds):
-                grid = np.clip(np.linspace(best - reach, best + reach, 9), 1e-9, highest)
-                best = float(min(grid, key=lambda f: sine_at(t, v, f)[1]))
-                reach /= 3
-            (a, b, c), rest = sine_at(t, v, best)
-            total = float(((v - v.mean()) ** 2).sum())
-            out.append((start, float(np.hypot(a, b)), best, float(np.arctan2(b, a)), float(c), 1 - rest / total if total > 0 else 0.0))
-        return pd.DataFrame(out, columns=["start", "amplitude", "frequency", "phase", "offset", "r_squared"])
+    ``whole`` is the length of the series; what is needed of the whole series
+    reaches its chunks by way of the chunks, so a hot series stays spread.
+    """
+    rows = df.select(key, F.col(pos).cast("long").alias("pos"), F.col(value).cast("double").alias("__x"))
+    rows = chunk_by_position(rows, "pos", "chunk")
+    per_key = rows.groupBy(key).agg((F.max("pos") + 1).alias("whole"), F.avg("__x").alias("mean"))
+    rows = attach(rows, per_key, [key]).withColumn("v", F.coalesce(F.col("__x") - F.col("mean"), F.lit(0.0)))
+    packed = rows.groupBy(key, "chunk").agg(
+        F.min("pos").alias("start"), F.first("whole").alias("whole"), F.first("mean").alias("mean"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("v"),
+    )
+    return packed
+
+
+def periodogram(chunks: DataFrame, key: str, padding: int = 16, bins: int = 1 << 16) -> DataFrame:
+    """Strongest bin 1.. of the zero-padded periodogram of every series: (key, whole, bin, power).
+
+    ``chunks`` as from ``chunked_series``. The bins are cut into blocks; a
+    block's Fourier sums over a chunk are one convolution, and a series' sums are
+    those of its chunks, each turned by where it starts. So neither a series nor
+    its spectrum has to fit a task; the lowest bin wins ties.
+    """
+    kind = dict(chunks.dtypes)[key]
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") * padding / 2 - 1) / bins)))
 
-    return fit(values)
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for name, start, whole, first, v in zip(pdf[key], pdf["start"], pdf["whole"], pdf["block"], pdf["v"]):
+                size = padding * int(whole)
+                low = 1 + int(first) * bins
+                count = min(bins, size // 2 - low + 1)
+                if count <= 0:
+                    continue
+                if len(v) == whole:  # all of the series
+                    sums = np.fft.rfft(v, size)[low : low + count]
+                    power = sums.real**2 + sums.imag**2
+                    best = int(power.argmax())
+                    out.append((name, whole, first, low + best, float(power[best]), None, None))
+                    continue
+                sums = chirp(np.asarray(v, dtype=np.float64), low, count, size)
+                k = np.arange(low, low + count, dtype=np.int64)
+                sums *= np.exp(-2j * np.pi * (k * int(start) % size) / size)
+                out.append((name, whole, first, None, None, sums.real, sums.imag))
+            yield pd.DataFrame(out, columns=[key, "whole", "block", "bin", "power", "re", "im"])
+
+    parts = chunks.select(key, "start", "whole", block.alias("block"), "v").mapInPandas(run, f"{key} {kind}, whole long, block long, bin long, power double, re array<double>, im array<double>")
+    parts = settle(parts)
+    alone = parts.filter(F.col("bin").isNotNull()).select(key, "whole", "block", "bin", "power")
+    total = [vector_to_array(Summarizer.sum(array_to_vector(F.col(c)))).alias(c) for c in ("re", "im")]
+    joined = parts.filter(F.col("bin").isNull()).groupBy(key, "whole", "block").agg(*total)
+    power = F.zip_with("re", "im", lambda a, b: a * a + b * b)
+    joined = joined.withColumn("__p", power).withColumn("power", F.array_max("__p"))
+    joined = joined.select(key, "whole", "block", (F.array_position("__p", F.col("power")) + F.col("block") * bins).alias("bin"), "power")
+    best = F.max_by(F.struct("bin", "power"), F.struct("power", -F.col("bin"))).alias("b")
+    return alone.unionByName(joined).groupBy(key, "whole").agg(best).select(key, "whole", "b.bin", "b.power")
+
+
+def periodogram_peak(chunks: DataFrame, key: str, spacing: float, padding: int = 16) -> DataFrame:
+    """(key, n, peak_hz): frequency of the largest value of the zero-padded periodogram; null for a series of one value."""
+    found = periodogram(chunks, key, padding)
+    return found.select(key, F.col("whole").alias("n"), (F.col("bin") / (padding * F.col("whole") * F.lit(spacing))).alias("peak_hz"))
+
+
+#: Sums of a fit at one frequency: sine, cosine, their squares and product, and both with the values.
+FIT_SUMS = ("s", "c", "ss", "cc", "sc", "vs", "vc")
+
+
+def solved(sums: dict, n: Column, total: Column) -> tuple[Column, Column, Column]:
+    """Weights of sine and cosine beside a free offset, and the residual, by the normal equations of values without their mean."""
+    ss, cc, sc = sums["ss"] - sums["s"] * sums["s"] / n, sums["cc"] - sums["c"] * sums["c"] / n, sums["sc"] - sums["s"] * sums["c"] / n
+    det, most = ss * cc - sc * sc, F.greatest(ss, cc)
+    flat, zero = det <= 1e-6 * most * most, F.lit(0.0)
+    one = lambda top, bottom: F.when(bottom > 0, top / F.when(bottom > 0, bottom)).otherwise(zero)
+    safe = F.when(~flat, det)
+    a = F.when(flat, F.when(ss >= cc, one(sums["vs"], ss)).otherwise(zero)).otherwise((sums["vs"] * cc - sums["vc"] * sc) / safe)
+    b = F.when(flat, F.when(ss >= cc, zero).otherwise(one(sums["vc"], cc))).otherwise((sums["vc"] * ss - sums["vs"] * sc) / safe)
+    return a, b, total - a * sums["vs"] - b * sums["vc"]
+
+
+def fit_sine(chunks: DataFrame, key: str, spacing: float, highest: float, padding: int = 16, rounds: int = 12, points: int = 9) -> DataFrame:
+    """Sine fit with a frequency bounded by ``highest``: (key, n, start, amplitude, frequency, phase, offset, r_squared).
+
+    From the periodogram's peak on, a grid of ``points`` frequencies closes in on
+    the best one by a third a round. A round adds up the normal equations of
+    every series and frequency over the chunks; the solutions are columns. A sine
+    and cosine that cannot be told from the offset and each other count as the
+    stronger one alone.
+    """
+    kind = dict(chunks.dtypes)[key]
+    peaks = periodogram_peak(chunks, key, spacing, padding)
+    start = F.least("peak_hz", F.lit(highest))
+    state = settle(peaks.select(key, "n", start.alias("start"), start.alias("best"), (1.0 / (F.col("n") * F.lit(spacing))).alias("reach")))
+    totals = chunks.groupBy(key).agg(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("total"), F.max("mean").alias("mean"), F.max("whole").alias("n"))
+    totals = settle(totals)
+
+    def sums_at(table: DataFrame) -> DataFrame:
+        """(key, f, sums) of every frequency of ``table`` (key, grid)."""
+
+        def run(frames):
+            for pdf in frames:
+                out = []
+                for name, first, v, grid in zip(pdf[key], pdf["start"], pdf["v"], pdf["grid"]):
+                    v = np.asarray(v, dtype=np.float64)
+                    t = (first + np.arange(len(v))) * spacing
+                    for f in grid:
+                        s, c = np.sin(2 * np.pi * f * t), np.cos(2 * np.pi * f * t)
+                        out.append((name, f, s.sum(), c.sum(), s @ s, c @ c, s @ c, v @ s, v @ c))
+                yield pd.DataFrame(out, columns=[key, "f", *FIT_SUMS])
+
+        schema = f"{key} {kind}, f double, " + ", ".join(f"{c} double" for c in FIT_SUMS)
+        # a row for each series meets its chunks
+        met = attach(chunks, table, [key]).select(key, "start", "v", "grid")
+        return met.mapInPandas(run, schema).groupBy(key, "f").agg(*[F.sum(c).alias(c) for c in FIT_SUMS])
+
+    def fitted(table: DataFrame) -> DataFrame:
+        rows = sums_at(table).join(totals, key)
+        a, b, rest = solved({c: F.col(c) for c in FIT_SUMS}, F.col("n"), F.col("total"))
+        return rows.select(key, "f", a.alias("a"), b.alias("b"), rest.alias("rest"), "total", "n", (F.col("mean") - (a * F.col("s") + b * F.col("c")) / F.col("n")).alias("offset"))
+
+    steps = F.sequence(F.lit(0), F.lit(points - 1))
+    for _ in range(rounds):
+        place = lambda i: F.greatest(F.lit(1e-9), F.least(F.lit(highest), F.col("best") - F.col("reach") + 2 * F.col("reach") * i / (points - 1)))
+        grids = state.select(key, F.array_distinct(F.transform(steps, place)).alias("grid"))
+        won = fitted(grids).groupBy(key).agg(F.min_by("f", F.struct("rest", "f")).alias("best"))
+        state = settle(state.drop("best").join(won, key).withColumn("reach", F.col("reach") / 3))
+    last = fitted(state.select(key, F.array("best").alias("grid")))
+    out = last.join(state.select(key, "start"), key)
+    return out.select(
+        key, "n", "start", F.hypot("a", "b").alias("amplitude"), F.col("f").alias("frequency"), F.atan2("b", "a").alias("phase"), "offset",
+        F.when(F.col("total") > 0, 1 - F.col("rest") / F.when(F.col("total") > 0, F.col("total"))).otherwise(0.0).alias("r_squared"),
+    )
 
 
 def walking_frequency(series: DataFrame, key: str, spacing: float, threshold: float = 0.5) -> DataFrame:
-    """Walking frequency per participant: trend share, oscillation pair, its w-correlation and sine fit."""
-    parts = ssa_components(series, key)
-    wide = parts.groupBy(key).agg(
-        *[F.max(F.when(F.col("component") == i, F.col("values"))).alias(f"c{i}") for i in range(3)],
-        *[F.max(F.when(F.col("component") == i, F.col("share"))).alias(f"s{i}") for i in range(3)],
-    )
-    table = series.join(wide, key).withColumn("osc", F.zip_with("c1", "c2", lambda a, b: a + b))
-    table = table.withColumn("fit", fit_sine(F.col("osc"), spacing, 0.5 / spacing))
-    table = table.withColumn("p1", periodogram_peak(F.col("c1"), spacing)).withColumn("p2", periodogram_peak(F.col("c2"), spacing))
-    points = table.select(key, F.size("values").alias("n"), F.posexplode(F.arrays_zip("c1", "c2", "osc", "values")).alias("pos", "z"))
-    z = F.col("z")
-    pair = weighted_correlation(points, [key], z["c1"], z["c2"], F.col("pos"), F.col("n"), F.floor(F.col("n") / 2))
-    spread = points.groupBy(key).agg((F.var_pop(z["osc"]) / F.var_pop(z["values"])).alias("pair_variance_ratio"))
-    fit = F.col("fit")
-    return table.join(pair, key).join(spread, key).select(
+    """Walking frequency per participant: trend share, oscillation pair, its w-correlation and sine fit.
+
+    ``series`` has (key, values).
+    """
+    parts = settle(ssa_components(series, key))
+    shares = parts.groupBy(key).agg(*[F.max(F.when(F.col("component") == i, F.col("share"))).alias(f"s{i}") for i in range(3)])
+    wide = parts.groupBy(key).agg(*[F.max(F.when(F.col("component") == i, F.col("values"))).alias(f"c{i}") for i in range(3)])
+    long = series.join(wide, key).select(key, F.size("values").alias("n"), F.posexplode(F.arrays_zip("c1", "c2", "values")).alias("pos", "z"))
+    points = settle(long.select(key, "n", "pos", "z.c1", "z.c2", (F.col("z.c1") + F.col("z.c2")).alias("osc"), F.col("z.values").alias("x")))
+    fit = fit_sine(settle(chunked_series(points, key, "osc")), key, spacing, 0.5 / spacing)
+    peaks = [periodogram_peak(settle(chunked_series(points, key, c)), key, spacing).select(key, F.col("peak_hz").alias(f"p{c[1]}")) for c in ("c1", "c2")]
+    pair = weighted_correlation(points, [key], F.col("c1"), F.col("c2"), F.col("pos"), F.col("n"), F.floor(F.col("n") / 2))
+    spread = points.groupBy(key).agg(F.max("n").alias("windows"), (F.var_pop("osc") / F.var_pop("x")).alias("pair_variance_ratio"))
+    table = spread.join(shares, key).join(pair, key).join(fit, key)
+    for part in peaks:
+        table = table.join(part, key)
+    return table.select(
         key,
-        F.size("values").alias("windows"),
-        F.floor(F.size("values") / 2).cast("int").alias("window_length"),
+        "windows",
+        F.floor(F.col("windows") / 2).cast("int").alias("window_length"),
         F.col("s0").alias("trend_share"),
         (F.col("s1") + F.col("s2")).alias("pair_share"),
         "pair_variance_ratio",
@@ -369,8 +470,8 @@ def walking_frequency(series: DataFrame, key: str, spacing: float, threshold: fl
         (F.col("w_correlation") >= threshold).alias("w_correlated"),
         F.col("p1").alias("first_peak_hz"),
         F.col("p2").alias("second_peak_hz"),
-        fit["start"].alias("start_hz"),
-        fit["frequency"].alias("ssa_steps"),
-        fit["amplitude"].alias("amplitude"),
-        fit["r_squared"].alias("r_squared"),
+        F.col("start").alias("start_hz"),
+        F.col("frequency").alias("ssa_steps"),
+        "amplitude",
+        "r_squared",
     )

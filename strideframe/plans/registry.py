@@ -36,6 +36,8 @@ def with_tables(needs: str, body: str) -> str:
     body = body.strip()
     if not heads:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(heads) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(heads) + ",\n" + body[5:]
     return "WITH " + ",\n".join(heads) + "\n" + body

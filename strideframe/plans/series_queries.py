@@ -119,6 +119,10 @@ def short_series(spark, d):
     return ser.bounded_series(rows, "who", "pos", "v")
 
 
+def series_chunks(spark, d):
+    return settle(ser.chunked_series(samples(spark, d).select(F.col("recording").alias("who"), "pos", "v"), "who", "v"))
+
+
 @query("g7_participant_cadence")
 def _(spark, d):
     rows = settle(magnitudes(spark, d))
@@ -148,13 +152,29 @@ def _(spark, d):
   p AS (SELECT f.who, f.n, f.k, pow(sum((v - mu) * cos(pi() * k * pos / (8.0::DOUBLE * n))), 2) + pow(sum((v - mu) * sin(pi() * k * pos / (8.0::DOUBLE * n))), 2) AS power FROM f JOIN s USING (who) GROUP BY ALL)
   SELECT who, n::INT AS n, round(arg_max(k, power) / (16 * n * 1.28::DOUBLE), 6) AS peak_hz FROM p GROUP BY who, n""")
 def _(spark, d):
-    return short_series(spark, d).select("who", F.size("values").alias("n"), r6(ser.periodogram_peak(F.col("values"), 1.28), "peak_hz"))
+    out = ser.periodogram_peak(series_chunks(spark, d), "who", 1.28)
+    return out.select("who", F.col("n").cast("int").alias("n"), r6(F.col("peak_hz"), "peak_hz"))
 
 
-@query("g11_sine_fit")
+@query("g11_sine_fit", "ev", """WITH RECURSIVE s AS (SELECT recording AS who, row_number() OVER (PARTITION BY recording ORDER BY t, event_id) - 1 AS pos, v FROM ev),
+  m AS (SELECT who, count(*) AS n, avg(v) AS mu FROM s GROUP BY 1), f AS (SELECT *, unnest(range(1, 8 * n + 1)) AS k FROM m),
+  p AS (SELECT f.who, f.n, f.k, pow(sum((v - mu) * cos(pi() * k * pos / (8.0::DOUBLE * n))), 2) + pow(sum((v - mu) * sin(pi() * k * pos / (8.0::DOUBLE * n))), 2) AS power FROM f JOIN s USING (who) GROUP BY ALL),
+  x AS (SELECT who, n, pos * 1.28::DOUBLE AS t, v - mu AS y, mu FROM s JOIN m USING (who)),
+  z AS (SELECT who, sum(y * y) AS total FROM x GROUP BY 1),
+  g AS (SELECT who, 0 AS round, least(arg_max(k, power) / (16 * n * 1.28::DOUBLE), 0.5 / 1.28::DOUBLE) AS best, 1 / (n * 1.28::DOUBLE) AS reach, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS rest FROM p GROUP BY who, n
+    UNION ALL SELECT who, round + 1, w.f, reach, w.a, w.b, w.rest FROM (
+      SELECT who, round, any_value(reach) / 3 AS reach, min({'rest': rest, 'f': f, 'a': a, 'b': b}) AS w FROM (
+        SELECT who, round, reach, f, a, b, total - a * vs - b * vc AS rest FROM (
+          SELECT *, CASE WHEN flat THEN CASE WHEN ss >= cc AND ss > 0 THEN vs / ss ELSE 0 END ELSE (vs * cc - vc * sc) / det END AS a, CASE WHEN flat THEN CASE WHEN cc > ss THEN vc / cc ELSE 0 END ELSE (vc * ss - vs * sc) / det END AS b FROM (
+            SELECT *, ss * cc - sc * sc AS det, ss * cc - sc * sc <= 1e-6 * greatest(ss, cc) * greatest(ss, cc) AS flat FROM (
+              SELECT who, round, reach, f, sum(sin(2 * pi() * f * t) * y) AS vs, sum(cos(2 * pi() * f * t) * y) AS vc, sum(pow(sin(2 * pi() * f * t), 2)) - pow(sum(sin(2 * pi() * f * t)), 2) / count(*) AS ss,
+                sum(pow(cos(2 * pi() * f * t), 2)) - pow(sum(cos(2 * pi() * f * t)), 2) / count(*) AS cc, sum(sin(2 * pi() * f * t) * cos(2 * pi() * f * t)) - sum(sin(2 * pi() * f * t)) * sum(cos(2 * pi() * f * t)) / count(*) AS sc
+              FROM (SELECT DISTINCT who, round, reach, greatest(1e-9, least(0.5 / 1.28::DOUBLE, best - reach + 2 * reach * unnest(range(9)) / 8)) AS f FROM g WHERE round < 12) q JOIN x USING (who) GROUP BY who, round, reach, f)) JOIN z USING (who))) GROUP BY who, round))
+  SELECT who, round(h.best, 6) AS start, round(sqrt(g.a * g.a + g.b * g.b), 6) AS amplitude, round(g.best, 6) AS frequency, round(CASE WHEN total > 0 THEN 1 - g.rest / total ELSE 0 END, 6) AS r_squared
+  FROM g JOIN g h USING (who) JOIN z USING (who) WHERE g.round = 12 AND h.round = 0""")
 def _(spark, d):
-    out = short_series(spark, d).withColumn("f", ser.fit_sine(F.col("values"), 1.28, 0.5 / 1.28))
-    return out.select("who", *[r6(F.col("f")[c], c) for c in ("start", "amplitude", "frequency", "r_squared")])
+    out = ser.fit_sine(series_chunks(spark, d), "who", 1.28, 0.5 / 1.28)
+    return out.select("who", *[r6(F.col(c), c) for c in ("start", "amplitude", "frequency", "r_squared")])
 
 
 @query("g12_walking_frequency")
