@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions.arrays import DOUBLES, by_length
-from strideframe.operators.ordered import attach, chunk_by_position, chunk_rows, exact_quantiles
+from strideframe.operators.long_series import leading
+from strideframe.operators.ordered import CHUNK_ROWS, attach, chunk_by_position, chunk_rows, exact_quantiles
 from strideframe.operators.windows import gather, sliding_members
-from strideframe.session import settle
+from strideframe.session import settle, stored
 
-#: Longer series go through transforms of their own length instead of dense matrices and padded transforms.
-MAX_SERIES = 4096
+#: Longer series go through products instead of a dense decomposition; the components are the same.
+DENSE = 1024
 
 
 # ---- spectra -----------------------------------------------------------------------------------------
@@ -220,8 +221,9 @@ def leading_components(values: np.ndarray, window: int, kept: int, held: int = 3
     """Leading singular-spectrum components and their shares without the trajectory matrix.
 
     Products with the matrix are Fourier correlations; a Krylov basis of ``held``
-    vectors is restarted from its best Ritz vectors until their residuals vanish
-    (or ``most`` products are spent). Memory grows with the length only.
+    vectors is restarted from its best Ritz vectors until their residuals vanish;
+    if ``most`` products do not get there, that is an error. Memory grows with the
+    length only.
     """
     n, lags = len(values), len(values) - window + 1
     size = 1 << (n - 1).bit_length()
@@ -248,6 +250,8 @@ def leading_components(values: np.ndarray, window: int, kept: int, held: int = 3
         if filled == held:
             filled = held // 2
             basis[:filled], image[:filled] = turn[:, :filled].T @ basis, turn[:, :filled].T @ image
+    else:
+        raise RuntimeError(f"After {most} products the residuals are still {np.linalg.norm(rest, axis=1).max() / power[0]:.1e} of the largest eigenvalue")
     left = turn[:, :kept].T @ basis[: len(turn)]
     cells = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(window, lags))
     total, parts = float((cells * values**2).sum()), []
@@ -271,7 +275,7 @@ def ssa_components(series: DataFrame, key: str, kept: int = 3, shortest: int = 6
                 if len(values) < shortest:
                     continue
                 values = np.asarray(values, dtype=np.float64)
-                if len(values) > MAX_SERIES:
+                if len(values) > DENSE:
                     parts, shares = leading_components(values, len(values) // 2, kept)
                 else:
                     parts, singular = decompose(values, len(values) // 2, kept)
@@ -282,6 +286,28 @@ def ssa_components(series: DataFrame, key: str, kept: int = 3, shortest: int = 6
     return series.select(key, "values").mapInPandas(work, schema)
 
 
+def singular_spectrum(df: DataFrame, key: str, value: str, pos: str = "pos", kept: int = 3, longest: int = CHUNK_ROWS) -> DataFrame:
+    """Components of every series by sample: (key, n, component, share, pos, value).
+
+    A series of up to ``longest`` samples is decomposed in one task, a longer one
+    over all tasks (``long_series``), with the same result up to 1e-8.
+    """
+    rows = chunk_by_position(df.select(key, F.col(pos).cast("long").alias("pos"), F.col(value).cast("double").alias("values")), "pos")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows = attach(rows, sizes, [key])
+    packed = gather(rows.filter(F.col("n") <= longest), [key], ["values"], "pos")
+    out = ssa_components(packed, key, kept).select(key, F.size("values").cast("long").alias("n"), "component", "share", F.posexplode("values").alias("pos", "value"))
+    out = out.withColumn("pos", F.col("pos").cast("long"))
+    if sizes.filter(F.col("n") > longest).isEmpty():
+        return out
+    long = rows.filter(F.col("n") > longest).withColumn("chunk", F.floor(F.col("pos") / longest).cast("long"))
+    arrays = F.transform(F.array_sort(F.collect_list(F.struct("pos", "values"))), lambda p: p["values"]).alias("v")
+    chunks = stored(long.groupBy(key, "chunk").agg(F.first("n").alias("whole"), arrays))
+    parts = leading(chunks, key, longest, kept).join(chunks.select(key, "whole").distinct(), key)
+    told = parts.select(key, F.col("whole").alias("n"), "component", "share", "chunk", F.posexplode("values").alias("at", "value"))
+    return out.unionByName(told.select(key, "n", "component", "share", (F.col("chunk") * longest + F.col("at")).alias("pos"), "value"))
+
+
 def weighted_correlation(df: DataFrame, keys: Sequence[str], first: Column, second: Column, pos: Column, n: Column, window: Column) -> DataFrame:
     """w-correlation of two components: products weighted by how often a sample occurs in the trajectory."""
     short = F.least(window, n - window + 1)
@@ -442,16 +468,14 @@ def fit_sine(chunks: DataFrame, key: str, spacing: float, highest: float, paddin
     )
 
 
-def walking_frequency(series: DataFrame, key: str, spacing: float, threshold: float = 0.5) -> DataFrame:
-    """Walking frequency per participant: trend share, oscillation pair, its w-correlation and sine fit.
-
-    ``series`` has (key, values).
-    """
-    parts = settle(ssa_components(series, key))
-    shares = parts.groupBy(key).agg(*[F.max(F.when(F.col("component") == i, F.col("share"))).alias(f"s{i}") for i in range(3)])
-    wide = parts.groupBy(key).agg(*[F.max(F.when(F.col("component") == i, F.col("values"))).alias(f"c{i}") for i in range(3)])
-    long = series.join(wide, key).select(key, F.size("values").alias("n"), F.posexplode(F.arrays_zip("c1", "c2", "values")).alias("pos", "z"))
-    points = settle(long.select(key, "n", "pos", "z.c1", "z.c2", (F.col("z.c1") + F.col("z.c2")).alias("osc"), F.col("z.values").alias("x")))
+def walking_frequency(df: DataFrame, key: str, value: str, spacing: float, threshold: float = 0.5, pos: str = "pos", longest: int = CHUNK_ROWS) -> DataFrame:
+    """Walking frequency per participant: trend share, oscillation pair, its w-correlation and sine fit."""
+    parts = settle(singular_spectrum(df, key, value, pos, 3, longest))
+    at = lambda i, c: F.max(F.when(F.col("component") == i, F.col(c)))
+    shares = parts.filter("pos = 0").groupBy(key).agg(*[at(i, "share").alias(f"s{i}") for i in range(3)])
+    wide = parts.groupBy(key, "pos").agg(F.max("n").alias("n"), at(1, "value").alias("c1"), at(2, "value").alias("c2"))
+    samples = df.select(key, F.col(pos).cast("long").alias("pos"), F.col(value).cast("double").alias("x"))
+    points = settle(wide.join(samples, [key, "pos"]).withColumn("osc", F.col("c1") + F.col("c2")))
     fit = fit_sine(settle(chunked_series(points, key, "osc")), key, spacing, 0.5 / spacing)
     peaks = [periodogram_peak(settle(chunked_series(points, key, c)), key, spacing).select(key, F.col("peak_hz").alias(f"p{c[1]}")) for c in ("c1", "c2")]
     pair = weighted_correlation(points, [key], F.col("c1"), F.col("c2"), F.col("pos"), F.col("n"), F.floor(F.col("n") / 2))

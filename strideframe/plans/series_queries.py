@@ -114,13 +114,12 @@ def _(spark, d):
     return rounded.select("*", r6(F.col("acf_steps") / F.col("fft_steps") - 1, "acf_relative"), r6(F.col("vertical_steps") / F.col("fft_steps") - 1, "vertical_relative"), r6(F.col("peak_hz") / F.col("fft_steps"), "peak_ratio"))
 
 
-def short_series(spark, d):
-    rows = samples(spark, d).select(F.col("recording").alias("who"), "pos", "v")
-    return ser.bounded_series(rows, "who", "pos", "v")
+def series_samples(spark, d):
+    return samples(spark, d).select(F.col("recording").alias("who"), "pos", "v")
 
 
 def series_chunks(spark, d):
-    return settle(ser.chunked_series(samples(spark, d).select(F.col("recording").alias("who"), "pos", "v"), "who", "v"))
+    return settle(ser.chunked_series(series_samples(spark, d), "who", "v"))
 
 
 @query("g7_participant_cadence")
@@ -130,15 +129,15 @@ def _(spark, d):
     lengths = rows.groupBy("recording").agg(F.max("who").alias("who"), F.max("n").alias("n"))
     pooled = ser.pooled_density(ser.welch_density(rows, "recording", "m", RATE, 64, 256), lengths, "who", "recording")
     # every series of a participant counts: the median of their walking frequencies
-    walks = ser.walking_frequency(settle(short_series(spark, d)), "who", 1.28).withColumn("who", F.col("who") % 8)
+    walks = ser.walking_frequency(settle(series_samples(spark, d)), "who", "v", 1.28).withColumn("who", F.col("who") % 8)
     ssa = exact_quantiles(walks, ["who"], "ssa_steps", [0.5], ["ssa_steps"])
     return ser.participant_cadence(table, ser.dominant_peak(pooled, ["who"], LOW, HIGH), "who", ssa)
 
 
 @query("g8_singular_spectrum")
 def _(spark, d):
-    parts = ser.ssa_components(short_series(spark, d), "who")
-    return parts.select("who", "component", r6(F.col("share"), "share"), F.posexplode("values").alias("pos", "value")).withColumn("value", F.round("value", 6))
+    parts = ser.singular_spectrum(settle(series_samples(spark, d)), "who", "v")
+    return parts.select("who", "component", r6(F.col("share"), "share"), F.col("pos").cast("int").alias("pos"), r6(F.col("value"), "value"))
 
 
 @query("g9_w_correlation", "fr", """SELECT recording, round(abs(sum(w * x * y)) / (sqrt(sum(w * x * x)) * sqrt(sum(w * y * y))), 6) AS w_correlation FROM (SELECT *, least(pos + 1, least(n // 2, n - n // 2 + 1), n - pos) AS w FROM fr) GROUP BY 1""")
@@ -179,7 +178,7 @@ def _(spark, d):
 
 @query("g12_walking_frequency")
 def _(spark, d):
-    return ser.walking_frequency(settle(short_series(spark, d)), "who", 1.28)
+    return ser.walking_frequency(settle(series_samples(spark, d)), "who", "v", 1.28)
 
 
 # ---- splits ------------------------------------------------------------------------------------------

@@ -49,3 +49,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strideframe-"))
     return f"{context.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written into the shared folder and read back.
+
+    Unlike a checkpoint it is planned by its real size, which matters in loops:
+    estimates that grow with every join soon have more digits than fit anywhere.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

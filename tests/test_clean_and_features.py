@@ -110,8 +110,8 @@ def test_singular_spectrum_adds_up_and_sine_fit(spark):
     x = np.sin(2 * np.pi * 0.11 * np.arange(60)) + 0.02 * np.arange(60)
     parts, singular = ser.decompose(x, 30, 30)
     assert np.allclose(parts.sum(axis=0), x) and (np.diff(singular) <= 1e-9).all()
-    df = spark.createDataFrame([(1, np.sin(2 * np.pi * 0.11 * np.arange(60) + 0.4).tolist())], "k int, v array<double>")
-    fit = df.select(ser.fit_sine(F.col("v"), 1.0, 0.5).alias("f")).first()["f"]
+    df = spark.range(60).select(F.lit(1).alias("k"), F.col("id").alias("pos"), F.sin(2 * np.pi * 0.11 * F.col("id") + 0.4).alias("v"))
+    fit = ser.fit_sine(ser.chunked_series(df, "k", "v"), "k", 1.0, 0.5).first()
     assert abs(fit["frequency"] - 0.11) < 1e-4 and fit["r_squared"] > 0.9999
     long = spark.range(50).select(F.lit(1).alias("k"), F.col("id").alias("pos"), F.rand(1).alias("v"))
     try:
@@ -121,20 +121,16 @@ def test_singular_spectrum_adds_up_and_sine_fit(spark):
         assert "longer than" in str(error)
 
 
-def test_long_series_are_answered_like_short_ones(spark, monkeypatch):
+def test_long_series_are_answered_like_short_ones(spark):
     rng = np.random.default_rng(3)
     for n in (300, 301):
         x = 5 + np.sin(2 * np.pi * 0.11 * np.arange(n)) + 0.5 * np.sin(2 * np.pi * 0.031 * np.arange(n)) + rng.normal(0, 0.3, n)
         parts, singular = ser.decompose(x, n // 2, 3)
         got, shares = ser.leading_components(x, n // 2, 3)
         assert np.allclose(got, parts, atol=1e-7) and np.allclose(shares, (singular**2 / (singular**2).sum())[:3])
-        dense = ser.periodogram_start(x, 1.28, 16)
-        monkeypatch.setattr(ser, "MAX_SERIES", 100)
-        assert np.isclose(ser.periodogram_start(x, 1.28, 16), dense)
-        monkeypatch.setattr(ser, "MAX_SERIES", 4096)
     rows = spark.range(4600).select(F.expr("if(id < 4500, 1, 2)").alias("k"), F.expr("if(id < 4500, id, id - 4500)").alias("pos"))
     rows = rows.withColumn("v", 3 + F.sin(2 * np.pi * 0.05 * F.col("pos")))
-    found = {r["k"]: r for r in ser.walking_frequency(ser.bounded_series(rows, "k", "pos", "v"), "k", 1.0).collect()}
+    found = {r["k"]: r for r in ser.walking_frequency(rows, "k", "v", 1.0).collect()}
     assert {k: r["windows"] for k, r in found.items()} == {1: 4500, 2: 100}
     assert all(abs(r["ssa_steps"] - 0.05) < 1e-3 for r in found.values())
 
