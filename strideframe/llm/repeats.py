@@ -245,7 +245,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, every: bool = True) -> DataF
             runs = single.groupBy("hash", "w").agg(F.min(place).alias("told"))
             found = single.select("hash", "w", place.alias("p")).join(runs, ["hash", "w"]).where("p <> told").select("p")
         shared = shared.union(found.select("p.k1", "p.k2", "p.lo", F.lit(1)))
-    return copies.union(shared).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
+    return copies.union(shared).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n")).alias("starts"))
 
 
 def cover(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:

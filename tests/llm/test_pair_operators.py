@@ -63,6 +63,16 @@ def test_long_texts_go_in_pieces(spark, monkeypatch):
     assert Counter(map(tuple, repeats.digests(docs).collect())) == plain_removed(rows, 200, True)
 
 
+def test_equal_rows_are_told_once(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdef ") for _ in range(1380))
+    docs = spark.createDataFrame([(1, text)] * 3000 + [(2, text[:300] + "z" * 50)], "doc_id long, text string").repartition(4)
+    starts = repeats.repeated(repeats._keyed(docs)).collect()
+    assert len(starts) == 2 and max(len(r["starts"]) for r in starts) < 50
+    got = Counter(map(tuple, repeats.digests(docs).collect()))
+    assert got[(1, 1380, 1380, 1, hashlib.sha256(b"").hexdigest())] == 3000 and len(got) == 2
+
+
 def test_repeats_bear_hard_rows(spark):
     docs = hard_docs(spark).where("length(coalesce(text, '')) < 30000")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
