@@ -2,12 +2,14 @@
 
 One round is one Spark job: tasks turn their sequences into sums of expected
 counts, values and squares, the sums are added up by Spark, and the driver
-updates the few parameters. Sequences are rows holding a bounded array of
-frames, so long recordings are many rows.
+updates the few parameters. Here sequences are rows holding a bounded array of
+frames; ``cut_sequences`` takes sequences of any length, in parts, and gives its
+own ``expect`` to the fits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -143,9 +145,11 @@ def expectation(df: DataFrame, models: dict[int, StateModel], label: str, frames
     return {r["label"]: np.array(r["flat"]) for r in sums.collect()}
 
 
-def fit_rounds(df: DataFrame, models: dict[int, StateModel], label: str, frames: str, rounds: int, floor: float, tolerance: float | None = None) -> dict[int, StateModel]:
+def fit_rounds(
+    df: DataFrame, models: dict[int, StateModel], label: str, frames: str, rounds: int, floor: float, tolerance: float | None = None, expect: Callable = expectation
+) -> dict[int, StateModel]:
     for _ in range(rounds):
-        sums = expectation(df, models, label, frames)
+        sums = expect(df, models, label, frames)
         models = {k: (m.update(sums[k], floor) if k in sums else m) for k, m in models.items()}
         if tolerance is not None and all(len(m.history) > 1 and m.history[-1] - m.history[-2] < tolerance for m in models.values()):
             break
@@ -153,9 +157,14 @@ def fit_rounds(df: DataFrame, models: dict[int, StateModel], label: str, frames:
 
 
 def thirds(df: DataFrame, label: str, frames: str, states: int) -> DataFrame:
-    """Per label and state: moments of the frames in that part of the sequences' time."""
-    n = F.size(frames)
-    long = df.select(F.col(label).cast("int").alias("label"), n.alias("n"), F.posexplode(frames).alias("t", "x"))
+    """Per label and state: moments of the frames in that part of the sequences' time.
+
+    Parts of sequences say with ``offset`` and ``whole`` where they lie.
+    """
+    cut = {"offset", "whole"} <= set(df.columns)
+    n, first = (F.col("whole"), F.col("offset")) if cut else (F.size(frames), F.lit(0))
+    long = df.select(F.col(label).cast("int").alias("label"), n.alias("n"), first.alias("o"), F.posexplode(frames).alias("t", "x"))
+    long = long.withColumn("t", F.col("o") + F.col("t"))
     # The first (n mod states) parts are one frame longer.
     longer, short = F.col("n") % states, F.floor(F.col("n") / states)
     edge = longer * (short + 1)
@@ -165,7 +174,7 @@ def thirds(df: DataFrame, label: str, frames: str, states: int) -> DataFrame:
     return out.select("label", "state", "s.count", vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"))
 
 
-def fit_left_right(df: DataFrame, label: str, frames: str = "frames", states: int = 3, rounds: int = 10, stay: float = 0.9, floor: float = FLOOR) -> dict[int, StateModel]:
+def fit_left_right(df: DataFrame, label: str, frames: str = "frames", states: int = 3, rounds: int = 10, stay: float = 0.9, floor: float = FLOOR, expect: Callable = expectation) -> dict[int, StateModel]:
     """One left-to-right Gaussian model per class, started from equal parts of time."""
     moves = np.diag(np.full(states, stay)) + np.diag(np.full(states - 1, 1 - stay), k=1)
     moves[-1, -1] = 1.0
@@ -183,7 +192,7 @@ def fit_left_right(df: DataFrame, label: str, frames: str = "frames", states: in
         means = np.stack([parts[i][0] for i in range(states)])[:, None, :]
         variances = np.stack([parts[i][1] for i in range(states)])[:, None, :]
         models[k] = StateModel(np.eye(states)[0], moves, np.ones((states, 1)), means, variances)
-    return fit_rounds(df, models, label, frames, rounds, floor)
+    return fit_rounds(df, models, label, frames, rounds, floor, expect=expect)
 
 
 def classify_sequences(models: dict[int, StateModel], frames: Column) -> Column:
@@ -201,7 +210,7 @@ def classify_sequences(models: dict[int, StateModel], frames: Column) -> Column:
     return best(frames)
 
 
-def fit_ergodic(df: DataFrame, frames: str, states: int = 12, parts: int = 2, rounds: int = 20, seed: int = 42, floor: float = FLOOR, tolerance: float = 1e-2) -> StateModel:
+def fit_ergodic(df: DataFrame, frames: str, states: int = 12, parts: int = 2, rounds: int = 20, seed: int = 42, floor: float = FLOOR, tolerance: float = 1e-2, expect: Callable = expectation) -> StateModel:
     """One model over all sequences with a mixture per state, started from k-means centres."""
     from strideframe.operators.models.ensembles import best_kmeans
     from strideframe.operators.prep import population_moments, to_vector
@@ -215,7 +224,7 @@ def fit_ergodic(df: DataFrame, frames: str, states: int = 12, parts: int = 2, ro
         np.full(states, 1 / states), np.full((states, states), 1 / states), np.full((states, parts), 1 / parts), centres[:, None, :] + nudge,
         np.tile(np.maximum(deviation**2, floor), (states, parts, 1)),
     )
-    return fit_rounds(df.withColumn("__one", F.lit(0)), {0: start}, "__one", frames, rounds, floor, tolerance)[0]
+    return fit_rounds(df.withColumn("__one", F.lit(0)), {0: start}, "__one", frames, rounds, floor, tolerance, expect)[0]
 
 
 def state_paths(model: StateModel, frames: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.scalars import spread_order
 from strideframe.operators import prep
-from strideframe.operators.models import closed_form as closed, ensembles as ens, neighbours as knn, sequences as seq
-from strideframe.plans.inputs import KEYS, frame_windows, load, long_vectors, r6, r9, vectors, windows
+from strideframe.operators.models import cut_sequences as cut, closed_form as closed, ensembles as ens, neighbours as knn, sequences as seq
+from strideframe.plans.inputs import KEYS, frame_windows, frames, load, long_vectors, r6, r9, vectors, windows
 from strideframe.plans.registry import query, table
 from strideframe.session import settle
 
@@ -306,6 +306,28 @@ def _(spark, d):
     return rows.select("recording", "win", F.posexplode(seq.state_paths(model, F.col("frames"))).alias("t", "state"))
 
 
+def recordings(spark, d):
+    """Whole recordings as sequences of three-channel frames with a class of each."""
+    rows = frames(spark, d).select("recording", "pos", F.array("x", "y", "z").alias("features"), (F.col("recording") % 3).alias("code"))
+    return settle(cut.cut_frames(rows, "recording", "features", "code"))
+
+
+@query("m18_whole_recordings")
+def _(spark, d):
+    parts = recordings(spark, d)
+    models = seq.fit_left_right(parts.filter("recording % 4 <> 0"), "label", expect=cut.cut_expectation)
+    test = parts.filter("recording % 4 = 0")
+    found = cut.classify(test, "recording", models)
+    return found.join(test.select("recording", "whole", F.col("label").alias("code")).distinct(), "recording")
+
+
+@query("m19_whole_recordings")
+def _(spark, d):
+    parts = recordings(spark, d).withColumn("label", F.lit(0))
+    model = seq.fit_ergodic(parts, "frames", expect=cut.cut_expectation)
+    return cut.paths(parts, "recording", model)
+
+
 def cluster_table(spark, d):
     return settle(prep.to_vector(vectors(spark, d)))
 
