@@ -13,6 +13,7 @@ AT_ONCE = 1 << 19
 
 def powers(n: int, prime: int = PRIME, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  shared by all calls in a process
     """Powers of an odd number and of its inverse, modulo 2^64."""
+    n = max(1, n)
     if len(held.get(prime, ((), ()))[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         held[prime] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (prime, pow(prime, -1, 1 << 64)))

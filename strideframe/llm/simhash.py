@@ -20,6 +20,14 @@ shingles are alike, intersection over union at least ``ALIKE``. Texts of equal
 sets are one node. A group of candidates meets in one task, a large one in
 pairs of blocks after most of it was linked through equal minima of its sets.
 
+Fingerprints of texts that are alike to 0.8 are mostly farther apart than any
+key of one fingerprint finds. With ``minima`` the same code is laid over bits
+that differ less: ``WIDE`` bits, each the parity of the least of one universal
+hash of the three-word shingles, which differ in half of what the sets differ
+in. They are cut into six segments of 23 bits; a key is a pair of codewords of
+two of them, three disjoint pairs in all. Candidates share a key and differ in
+at most ``WIDE_LINKED`` of the first 64 bits; the verification is the same.
+
 Defined results: a null or blank text has fingerprint zero; fewer words than a
 shingle make one shingle; a null id is a row like any other, but never names
 a component while another id does; extra columns are ignored.
@@ -36,10 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from strideframe.llm.bytewise import AT_ONCE, mix
 from strideframe.llm.common import fresh, keep, whole_text
 from strideframe.llm.components import components, roots
+from strideframe.llm.minhash import minima as least_of, shingle_sets, universal
 
 LINKED, FARTHEST, SEED = 3, 5, 42
+#: Bits made from minima, bits of each of their words (two segments), and in how many of the first 64 candidates may differ.
+WIDE, WORD, WIDE_LINKED = 138, 46, 14
+EXTRA = [f"w{k}" for k in range(WIDE // WORD)]
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a key that meet in one block; a key with more is cut into pairs of blocks.
 BLOCK = 1024
@@ -150,6 +163,37 @@ def fuzzy_keys(fp: np.ndarray, golay: Golay, linked: int = LINKED) -> tuple[np.n
     return np.concatenate([r for r, _ in found]), np.concatenate([(np.int64(kind) << 36) | codes for kind, (_, codes) in enumerate(found)])
 
 
+def minima_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """``WIDE`` bits of every set of shingles, as rows of flags; an empty set has none."""
+    a, b = universal(WIDE, SEED + 1)
+    out = np.zeros((len(sets), WIDE), bool)
+    for k, s in enumerate(sets):
+        if len(s):
+            out[k] = mix(least_of(s, a, b)) & np.uint64(1)
+    return out
+
+
+def as_longs(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bits as rows of signed numbers of ``size`` bits each."""
+    parts = bits.reshape(len(bits), -1, size).astype(np.uint64)
+    return (parts << np.arange(size, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def word_keys(words: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): pairs of codewords of the two segments of every word."""
+    rows, keys = [], []
+    for kind in range(words.shape[1]):
+        near = []
+        for part in (words[:, kind] & ((1 << 23) - 1), words[:, kind] >> 23):
+            at, codes = golay.keys(part, True)
+            order = np.argsort(at, kind="stable")
+            near.append((at[order], codes[order]))
+        at, codes = _times(*near, len(words))
+        rows.append(at)
+        keys.append((np.int64(kind) << 36) | codes)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def close_pairs(cell: np.ndarray, fp: np.ndarray, linked: int):
     """Edges between rows of equal cell (rows in order of cell) at most ``linked`` bits apart; each component as a star."""
     a, b = [], []
@@ -189,10 +233,14 @@ def _thin(fp, a, b):
     return [where(values)], [where(root)]
 
 
-def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
-    """Edges (u, v) that join all distinct fingerprints at most ``linked`` (5 or fewer) bits apart, as few as a forest in each cell."""
-    if linked > FARTHEST:
+def links(fps: DataFrame, linked: int = LINKED, minima: bool = False) -> DataFrame:
+    """Edges (u, v) that join all distinct fingerprints at most ``linked`` (5 or fewer) bits apart, as few as a forest in each cell.
+
+    With ``minima`` the keys come from the words beside the fingerprint.
+    """
+    if linked > FARTHEST and not minima:
         raise ValueError(f"The keys find links of {FARTHEST} bits at most")
+    own = ["fp", *(EXTRA if minima else [])]
 
     def spread(batches):
         golay = Golay()
@@ -200,7 +248,11 @@ def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(0, len(fp), 10_000):
                 part = fp[k : k + 10_000]
-                rows, keys = fuzzy_keys(part, golay, linked)
+                if minima:
+                    words = np.stack([batch.column(c).to_numpy(zero_copy_only=False)[k : k + 10_000] for c in range(1, len(own))], axis=1)
+                    rows, keys = word_keys(words, golay)
+                else:
+                    rows, keys = fuzzy_keys(part, golay, linked)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
     def meet(batches):
@@ -222,7 +274,7 @@ def links(fps: DataFrame, linked: int = LINKED) -> DataFrame:
         on = values != root
         return pa.RecordBatch.from_arrays([pa.array(values[on]), pa.array(root[on])], names=["u", "v"])
 
-    keyed = fps.select("fp").distinct().mapInArrow(spread, "key long, fp long")
+    keyed = fps.select(*own).distinct().mapInArrow(spread, "key long, fp long")
     # choosy keys are mostly alone, and only met ones go on; of the others only the hot ones need their count
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (1 if linked <= LINKED else BLOCK))
     cut = keyed.join(counts, "key", "inner" if linked <= LINKED else "left")
@@ -319,13 +371,38 @@ def verified_links(cells: DataFrame, linked: int, least: float = ALIKE) -> DataF
     return dealt.mapInArrow(meet, "u long, v long").distinct()
 
 
-def near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least: float = ALIKE, words: int = WORDS) -> DataFrame:
+def sets_of(texts: list[str], words: int) -> list[np.ndarray]:
+    """The distinct shingles of lower-cased texts, all at once."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), ends, words)
+
+
+def near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least: float = ALIKE, words: int = WORDS, minima: bool = False) -> DataFrame:
     """doc_id, mark (of the set of shingles) and component (its smallest mark) of every row.
 
     Two sets are linked if fingerprints of theirs are at most ``linked`` bits
-    apart and intersection over union of the sets is at least ``least``.
+    apart and intersection over union of the sets is at least ``least``. With
+    ``minima`` fingerprints are made of minima, and ``linked`` is ``WIDE_LINKED``.
     """
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    extra = EXTRA if minima else []
+    linked = WIDE_LINKED if minima else linked
+
+    def name_minima(batches):
+        for batch in batches:
+            text, at = batch.column(1).to_pylist(), 0
+            while at < len(text):
+                upto, size = at, 0
+                while upto < len(text) and (upto == at or size + len(text[upto]) < AT_ONCE):
+                    size += len(text[upto])
+                    upto += 1
+                sets = sets_of(text[at:upto], words)
+                bits = minima_bits(sets_of(text[at:upto], width))
+                found = [as_longs(bits[:, :64], 64)[:, 0], *as_longs(bits, WORD).T]
+                columns = [pa.array(found[0]), _signed([mark_of(x) for x in sets]), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, found[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), *columns], names=["doc_id", "fp", "mark", "size", *extra])
+                at = upto
 
     def name(batches):
         for batch in batches:
@@ -337,15 +414,17 @@ def near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least:
     def spell(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                sets = [shingle_set(t, words) for t in batch.column(1).slice(k, 1000).to_pylist()]
+                part = batch.column(1).slice(k, 1000).to_pylist()
+                sets = sets_of(part, words) if minima else [shingle_set(t, words) for t in part]
                 least_ones = [[int(x) for x in (x[:, None] * MIXERS).min(0).view(np.int64)] if len(x) else [0] * len(MIXERS) for x in sets]
                 columns = [_signed([mark_of(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(least_ones, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["mark", "shingles", "minima"])
 
-    rows = keep(texts.mapInArrow(name, "doc_id long, fp long, mark long, size long"), "marks")
+    kinds = "doc_id long, fp long, mark long, size long"
+    rows = keep(texts.mapInArrow(name_minima, ", ".join([kinds, *[f"{c} long" for c in extra]])) if minima else texts.mapInArrow(name, kinds), "marks")
     # a set of few shingles is alike to no other set: one shingle more or less is too much
-    nodes = keep(rows.where(F.col("size") >= least * (F.col("size") + 1)).groupBy("mark", "fp").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size")), "nodes")
-    parts = components(links(nodes, linked)).select(F.col("node").alias("fp"), "component")
+    nodes = keep(rows.where(F.col("size") >= least * (F.col("size") + 1)).groupBy("mark", "fp", *extra).agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size")), "nodes")
+    parts = components(links(nodes, linked, minima)).select(F.col("node").alias("fp"), "component")
     placed = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     crowds = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
@@ -374,10 +453,10 @@ def near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least:
     return rows.join(joined, "mark", "left").select("doc_id", "mark", F.coalesce("component", "mark").alias("component"))
 
 
-def one_of_near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least: float = ALIKE, words: int = WORDS) -> DataFrame:
+def one_of_near_copies(docs: DataFrame, width: int = 3, linked: int = FARTHEST, least: float = ALIKE, words: int = WORDS, minima: bool = False) -> DataFrame:
     """One row of ``docs`` for each group of verified near copies: one with its smallest id (null last) and then smallest mark."""
-    found = near_copies(docs, width, linked, least, words).withColumnRenamed("mark", "fp")
-    return _chosen(docs, keep(found, "groups"), lambda t: mark_of(shingle_set(t, words)))
+    found = near_copies(docs, width, linked, least, words, minima).withColumnRenamed("mark", "fp")
+    return _chosen(docs, keep(found, "groups"), lambda t: mark_of(sets_of([t or ""], words)[0] if minima else shingle_set(t, words)))
 
 
 def one_of_each(docs: DataFrame, width: int = 3, linked: int = LINKED) -> DataFrame:

@@ -193,6 +193,37 @@ def test_near_copies_are_verified_links_of_all_pairs(spark, monkeypatch, block):
     assert simhash.one_of_near_copies(no_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_minima_find_near_copies_at_any_distance(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(4)
+    near = []
+    for g in range(3):  # edits of up to 8 of 200 words: few fingerprints of the usual kind are close
+        base = [f"w{rng.randrange(2000)}" for _ in range(200)]
+        for k in range(25):
+            words = list(base)
+            for at in rng.sample(range(200), rng.randrange(0, 9)):
+                words[at] = f"n{rng.randrange(9)}"
+            near.append((500 + 100 * g + k, " ".join(words), "en", "s", None))
+    docs = hard_docs(spark, near)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    members = plain_near_copies(rows, linked=64)  # every pair that is alike
+    home = {k: p for p, m in members.items() for k in m}
+    sets = [plain_shingles(t) for _, t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(docs, minima=True).collect()}
+    unique = [k for k, (d, _) in enumerate(rows) if sum(d == e for e, _ in rows) == 1]
+    whose = defaultdict(set)
+    for k in unique:
+        whose[got[rows[k][0]]].add(home[k])
+    assert all(len(w) == 1 for w in whose.values())  # nothing else is joined
+    met = [got[rows[a][0]] == got[rows[b][0]] for a, b in alike]
+    assert len(alike) > 100 and sum(met) >= 0.95 * len(met)
+    kept = simhash.one_of_near_copies(docs, minima=True)
+    assert kept.columns == docs.columns and len(members) <= kept.count() <= len(members) + 3
+    assert simhash.one_of_near_copies(no_docs(spark), minima=True).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(300, 299), (299, 300), (7, 7)]
     got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
