@@ -14,10 +14,10 @@ from strideframe.llm.common import keep, read
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier can tell; those without a letter go."""
+    """Documents whose language the classifier can tell; those without a letter go, also where nothing is labelled."""
     model = language.train(docs.where(F.coalesce(~language.held_out(), F.lit(True))))
-    if not model.labels:  # nothing is labelled, so nothing can be told apart
-        return docs
+    if not model.labels:  # no language can be told, only whether there is any
+        return docs.where(F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\p{L}"))
     tagged, label, _ = language.tag(docs, model)
     return tagged.where(F.col(label) != "und").drop(*[c for c in tagged.columns if c not in docs.columns])
 
@@ -25,11 +25,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies.
 
-    Fingerprints at most five bits apart, the farthest that the keys find for
-    certain, give candidates; two texts are linked only if their five-word
-    shingles are alike to 0.8.
+    Codewords of fingerprints give candidates; two texts are linked only if their
+    five-word shingles are alike to 0.8.
     """
-    return simhash.one_of_near_copies(docs)
+    return simhash.one_of_near_copies(docs, minima=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
