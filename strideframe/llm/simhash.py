@@ -51,7 +51,7 @@ from strideframe.llm.minhash import minima as least_of, shingle_sets, universal
 
 LINKED, FARTHEST, SEED = 3, 5, 42
 #: Bits made from minima, bits of each of their words (two segments), and in how many of the first 64 candidates may differ.
-WIDE, WORD, WIDE_LINKED = 138, 46, 14
+WIDE, WORD, WIDE_LINKED = 138, 46, 10
 EXTRA = [f"w{k}" for k in range(WIDE // WORD)]
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a key that meet in one block; a key with more is cut into pairs of blocks.
