@@ -196,116 +196,6 @@ def verified(cells: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(meet, "u binary, v binary").distinct()
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """key, node, blocks: members of the cells that have two nodes or more; of cells with the same nodes, one."""
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keep(spread_join(keyed, met.withColumn("many", F.col("n")), "key", "many", nodes.count() * BANDS), "met")
-    sums = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
-    cells = met.groupBy("key", "n").agg(F.sum(8 * F.col("size")).alias("bytes"), *sums)
-    same = Window.partitionBy("n", "x0", "x1")  # a cell for each band at most
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    cells = cells.select("key", "n", blocks, (F.col("key") == F.min("key").over(same)).alias("one"))
-    return spread_join(met.select("key", "node"), cells, "key", "n", met.count()).where("one").drop("one")
-
-
-def links(self) -> list[tuple[bytes, bytes]]:
-        out, clusters = [], len(np.unique(self.root))
-        for k in range(len(self.nodes) - 1):
-            if clusters == 1:
-                break
-            small, large = np.minimum(self.size[k + 1 :], self.size[k]), np.maximum(self.size[k + 1 :], self.size[k])
-            likely = (self.root[k + 1 :] != self.root[k]) & (100 * small >= self.percent * large)
-            among = np.flatnonzero(likely) + k + 1
-            among = among[(self.marks[among] == self.marks[k]).sum(1) >= self.least]
-            if not len(among):
-                continue
-            common = self.common(k, among)
-            for j in among[100 * common >= self.percent * (self.size[k] + self.size[among] - common)]:
-                if self.root[j] != self.root[k]:
-                    out.append((self.nodes[k], self.nodes[j]))
-                    self.root[self.root == self.root[j]] = self.root[k]
-                    clusters -= 1
-        return out
-
-
-def verified(cells: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between nodes of a cell. Takes cell, node, cluster, signature and shingles."""
-
-    def meet(batches):
-        cell, held = None, []
-        for batch in batches:
-            for now, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if now != cell and held:
-                    yield edges(held)
-                    held = []
-                cell = now
-                held.append(row)
-        if held:
-            yield edges(held)
-
-    def edges(rows):
-        found = Cell(rows, percent).links()
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in range(2)], names=["u", "v"])
-
-    dealt = cells.select("cell", "node", "cluster", "signature", "shingles").repartition("cell").sortWithinPartitions("cell", "node")
-    return dealt.mapInArrow(meet, "u binary, v binary").distinct()
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """key, node, blocks: members of the cells that have two nodes or more; of cells with the same nodes, one."""
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    sums = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
-    cells = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"), *sums).where("n > 1")
-    same = Window.partitionBy("n", "x0", "x1")  # a cell for each band at most
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    cells = keep(cells.select("key", "n", blocks, (F.col("key") == F.min("key").over(same)).alias("one")), "cells")
-    return spread_join(keyed.select("key", "node"), cells, "key", "n", nodes.count() * BANDS).where("one").drop("one")
-
-
-def links(self) -> list[tuple[bytes, bytes]]:
-        out, clusters = [], len(np.unique(self.root))
-        for k in range(len(self.nodes) - 1):
-            if clusters == 1:
-                break
-            small, large = np.minimum(self.size[k + 1 :], self.size[k]), np.maximum(self.size[k + 1 :], self.size[k])
-            likely = (self.root[k + 1 :] != self.root[k]) & (100 * small >= self.percent * large)
-            among = np.flatnonzero(likely) + k + 1
-            among = among[(self.marks[among] == self.marks[k]).sum(1) >= self.least]
-            if not len(among):
-                continue
-            common = self.common(k, among)
-            for j in among[100 * common >= self.percent * (self.size[k] + self.size[among] - common)]:
-                if self.root[j] != self.root[k]:
-                    out.append((self.nodes[k], self.nodes[j]))
-                    self.root[self.root == self.root[j]] = self.root[k]
-                    clusters -= 1
-        return out
-
-
-def verified(cells: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between nodes of a cell. Takes cell, node, cluster, signature and shingles."""
-
-    def meet(batches):
-        cell, held = None, []
-        for batch in batches:
-            for now, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if now != cell and held:
-                    yield edges(held)
-                    held = []
-                cell = now
-                held.append(row)
-        if held:
-            yield edges(held)
-
-    def edges(rows):
-        found = Cell(rows, percent).links()
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in range(2)], names=["u", "v"])
-
-    dealt = cells.select("cell", "node", "cluster", "signature", "shingles").repartition("cell").sortWithinPartitions("cell", "node")
-    return dealt.mapInArrow(meet, "u binary, v binary").distinct()
-
-
 def candidates(nodes: DataFrame) -> DataFrame:
     """key, node, blocks: members of the cells that have two nodes or more; of cells with the same nodes, one."""
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
