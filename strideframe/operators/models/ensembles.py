@@ -1,4 +1,4 @@
-"""Trees, forests, boosting, kernel features and votes on MLlib learners.
+"""Trees, forests, stump boosting, kernel features and votes on MLlib learners.
 
 Tables carry ``vector`` (features) and ``label`` (0.. as double). Every fit and
 every prediction is a Spark job; the driver keeps models and scores.
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from strideframe.operators.models.closed_form import lowest
 from strideframe.operators.prep import logistic, to_vector
-from strideframe.session import scratch_path
 
 
 #: The deepest trees that the learners grow; trees that end sooner are not affected.
@@ -43,11 +42,6 @@ def decision_tree(seed: int = 42, depth: int = DEEPEST) -> DecisionTreeClassifie
     return DecisionTreeClassifier(maxDepth=depth, seed=seed, featuresCol="vector", labelCol="label")
 
 
-def boosted_trees(rounds: int = 20, depth: int = 5, seed: int = 42) -> OneVsRest:
-    """Gradient boosting, one class against the rest (the boosting learner is binary)."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="vector"), featuresCol="vector", labelCol="label", parallelism=2)
-
-
 def linear_regression() -> LinearRegression:
     return LinearRegression(solver="normal", featuresCol="vector", labelCol="label")
 
@@ -140,7 +134,7 @@ def stump_expression(tree, values: Column) -> Column:
     return F.when(inside, float(root.leftChild().prediction())).otherwise(float(root.rightChild().prediction()))
 
 
-# ---- tree prefixes, votes, importances -------------------------------------------------------------------------
+# ---- tree prefixes, votes --------------------------------------------------------------------------------------
 
 def tune_trees(model, df: DataFrame, counts: Sequence[int], classes: int) -> DataFrame:
     """Accuracy of growing prefixes of one forest; ``best`` marks the first best count."""
@@ -170,20 +164,6 @@ def hard_vote(models: Sequence, df: DataFrame) -> DataFrame:
     return rows.withColumn("guess", F.array_min(ranked)["v"]).drop(*names)
 
 
-def split_importances(model: OneVsRestModel | object, spark, width: int) -> DataFrame:
-    """Split counts and summed gains per feature, read from the saved nodes of a tree ensemble."""
-    members = model.models if hasattr(model, "models") else [model]
-    nodes = None
-    for member in members:
-        path = scratch_path(spark, "trees")
-        member.write().save(path)
-        part = spark.read.parquet(f"{path}/data").select(F.col("nodeData.split.featureIndex").alias("feature"), F.col("nodeData.gain").alias("gain"))
-        nodes = part if nodes is None else nodes.unionByName(part)
-    sums = nodes.filter("feature >= 0").groupBy("feature").agg(F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain"))
-    every = spark.range(width).select(F.col("id").cast("int").alias("feature"))
-    return every.join(sums, "feature", "left").select("feature", F.coalesce("splits", F.lit(0)).alias("splits"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
-
-
 # ---- clusters --------------------------------------------------------------------------------------------------
 
 def best_kmeans(df: DataFrame, k: int, starts: int = 10, seed: int = 42):

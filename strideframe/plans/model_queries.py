@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.scalars import spread_order
 from strideframe.operators import prep
-from strideframe.operators.models import cut_sequences as cut, closed_form as closed, ensembles as ens, neighbours as knn, sequences as seq
+from strideframe.operators.models import cut_sequences as cut, closed_form as closed, ensembles as ens, neighbours as knn, sequences as seq, softmax_trees as soft
 from strideframe.plans.inputs import KEYS, frame_windows, frames, load, long_vectors, r6, r9, vectors, windows
 from strideframe.plans.registry import query, table
 from strideframe.session import settle
@@ -251,7 +251,7 @@ def _(spark, d):
 
 def boosted(spark, d):
     train, test = model_tables(spark, d)
-    return ens.boosted_trees(3, 3).fit(train), test
+    return soft.SoftmaxBoosting(rounds=20).fit(train), test
 
 
 @query("m14_gradient_boosting")
@@ -263,7 +263,7 @@ def _(spark, d):
 @query("m15_split_importances")
 def _(spark, d):
     model, _ = boosted(spark, d)
-    return ens.split_importances(model, spark, P)
+    return model.importances(spark, P)
 
 
 def regression_tables(spark, d):

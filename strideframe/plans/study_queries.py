@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strideframe.operators import aggregate as agg, budget as bud, clean, features as feat, fold_statistics as stats, folds as fold, metrics as met, prep
-from strideframe.operators.models import ensembles as ens
+from strideframe.operators.models import ensembles as ens, softmax_trees as soft
 from strideframe.operators.ordering import union_tables
 from strideframe.operators.windows import gather
 from strideframe.plans import budget_queries as bq, cleaning_queries as cq, comparison_queries as jq, measure_queries as mq, model_queries as vq, series_queries as sq, studies as st
@@ -199,7 +199,7 @@ def _(spark, d):
 def _(spark, d):
     train, test = vq.model_tables(spark, d)
     rows = train.count()
-    learners = {"logisticRegression": prep.logistic(rows, 20), "decisionTree": ens.decision_tree(depth=5), "randomForest": ens.random_forest(5, depth=5), "bagging": ens.bagged_trees(5, depth=5)}
+    learners = {"logisticRegression": prep.logistic(rows, 20), "decisionTree": ens.decision_tree(depth=5), "randomForest": ens.random_forest(5, depth=5), "bagging": ens.bagged_trees(5, depth=5), "gradientBoosting": soft.SoftmaxBoosting(rounds=10, depth=3)}
     first = st.compare_learners(train, test, learners)
     a, b = vq.regression_tables(spark, d)
     second = st.compare_regressors(a, b, {"linear": ens.linear_regression(), "forest": ens.forest_regression(5, depth=4)})
@@ -217,7 +217,7 @@ def _(spark, d):
         (F.col("recording") % 4).alias("who"), F.col("label").alias("activity"), F.array(*names).alias("features"),
     )
     table = settle(table)
-    return st.union([st.identify_participants(table, a, lambda: ens.random_forest(5, depth=5), folds=2) for a in ("A", "N", "R")])
+    return st.union([st.identify_participants(table, a, lambda: soft.SoftmaxBoosting(rounds=5, depth=3), folds=2) for a in ("A", "N", "R")])
 
 
 @query("q10_descriptive_statistics", "fw lv", """WITH c AS (SELECT label, count(*) FILTER (split = 'Train') AS a, count(*) FILTER (split = 'Test') AS b FROM fw GROUP BY 1),
