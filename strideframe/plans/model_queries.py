@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.scalars import spread_order
 from strideframe.operators import prep
-from strideframe.operators.models import cut_sequences as cut, closed_form as closed, ensembles as ens, neighbours as knn, sequences as seq, softmax_trees as soft
+from strideframe.operators.models import cut_sequences as cut, closed_form as closed, ensembles as ens, kernel_grid, neighbours as knn, sequences as seq, softmax_trees as soft
 from strideframe.plans.inputs import KEYS, frame_windows, frames, load, long_vectors, r6, r9, vectors, windows
 from strideframe.plans.registry import query, table
 from strideframe.session import settle
@@ -221,10 +221,8 @@ query("m12_bagged_trees")(guess_query(lambda train: ens.bagged_trees(20, depth=6
 
 def kernel_query(spark, d):
     train, test = model_tables(spark, d)
-    rows = train.count()
-    a, b = (ens.fourier_features(df.drop("vector"), 0.01, 64, width=P) for df in (train, test))
-    model = ens.kernel_machine(10.0, rows, 10).fit(settle(a))
-    return ens.guesses(model, b).select("vec_id", "label", "guess")
+    machine = kernel_grid.fit_one(train, 10.0, 0.01, P)
+    return kernel_grid.guess_labels(test, machine).select("vec_id", "label", "guess")
 
 
 @query("m7_stump_boosting")

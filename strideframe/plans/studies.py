@@ -8,16 +8,12 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators import aggregate as agg, budget as bud, clean, features as feat, folds as fold, metrics as met, prep
 from strideframe.operators.compare import neighbour_leakage, purge_overlaps
-from strideframe.operators.models import closed_form as closed, ensembles as ens, neighbours as knn, sequences as seq
-from strideframe.operators.models.stages import FourierFeatures, MacroF1
+from strideframe.operators.models import closed_form as closed, ensembles as ens, kernel_grid, neighbours as knn, sequences as seq
 from strideframe.operators.windows import gather, majority_labels, nearest_window, sliding_members
 from strideframe.session import settle
 
@@ -288,23 +284,12 @@ def run_clusters(rows: DataFrame, protocol: str, models: Sequence[str], folds: i
 
 # ---- grid search and workflows ------------------------------------------------------------------------------------
 
-def grid_search(train: DataFrame, test: DataFrame, costs: Sequence[float], gammas: Sequence[float], folds: str, width: int, count: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Kernel machine tuned by group folds: mean, population deviation and rank of macro F1, then a refit."""
+def grid_search(train: DataFrame, test: DataFrame, costs: Sequence[float], gammas: Sequence[float], folds: str, width: int, count: int = 256, iterations: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Kernel machine of all labels tuned by group folds: mean, population deviation and place of macro F1, then a refit of the first best cell."""
     spark = train.sparkSession
-    rows = train.count()
-    kernel = FourierFeatures(inputCol="vector", outputCol="kernel", width=width, count=count)
-    machine = LinearSVC(featuresCol="kernel", labelCol="label", maxIter=20)
-    grid = ParamGridBuilder().addGrid(machine.regParam, [1 / (c * rows) for c in costs]).addGrid(kernel.gamma, list(gammas)).build()
-    numbers = train.select(folds).distinct().count()
-    search = CrossValidator(estimator=Pipeline(stages=[kernel, machine]), estimatorParamMaps=grid, evaluator=MacroF1(), numFolds=numbers, foldCol=folds, parallelism=4)
-    model = search.fit(train)
-    means, deviations = np.array(model.avgMetrics), np.array(model.stdMetrics)
-    ranks = [int((means > m + 1e-12).sum()) + 1 for m in means]
-    table = [
-        (float(1 / (p[machine.regParam] * rows)), float(p[kernel.gamma]), float(m), float(s), r) for p, m, s, r in zip(grid, means, deviations, ranks)
-    ]
-    accuracy, f1 = ens.score(model.transform(test), "label", "prediction")
-    best = table[int(np.argmax(means))]
+    table, machine = kernel_grid.tune(train, costs, gammas, folds, width, count, iterations=iterations)
+    accuracy, f1 = ens.score(kernel_grid.guess_labels(test, machine))
+    best = next(row for row in table if row[4] == 1)
     frame = spark.createDataFrame(table, "cost double, gamma double, macro_f1_mean double, macro_f1_std double, place int")
     return frame, spark.createDataFrame([(*best[:3], accuracy, f1)], "cost double, gamma double, macro_f1_mean double, test_accuracy double, test_macro_f1 double")
 
