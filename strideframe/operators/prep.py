@@ -11,11 +11,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,14 +291,26 @@ def rank_by_redundancy(df: DataFrame, label: Column, count: int, features: str =
     return df.sparkSession.createDataFrame(ranking, "place int, feature int, score double")
 
 
+def principal_axes(df: DataFrame, k: int, features: str = "features") -> np.ndarray:
+    """The k first principal axes as columns, the largest entry of each positive.
+
+    The covariance is a distributed correlation. Its decomposition is taken by
+    numpy on the driver: the solver of the learners' ``PCA`` need not converge.
+    """
+    _, deviation, _ = population_moments(df, features)
+    correlation = Correlation.corr(df.select(array_to_vector(F.col(features)).alias("v")), "v").head()[0].toArray()
+    _, axes = np.linalg.eigh(np.nan_to_num(correlation) * np.outer(deviation, deviation))
+    axes = axes[:, ::-1][:, :k]
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+
+
 def joined_blocks(train: DataFrame, test: DataFrame, label: str, k: int, features: str = "features") -> tuple[DataFrame, DataFrame]:
     """Principal components next to the k best features by ANOVA F, in one vector column ``vector``."""
     columns = best_features(anova_f(train, label, features), k)
-    stages = [PCA(k=k, inputCol="v_all", outputCol="v_pca"), VectorAssembler(inputCols=["v_pca", "v_best"], outputCol="vector")]
+    axes = principal_axes(train, k, features)
 
-    def with_inputs(df: DataFrame) -> DataFrame:
-        best = array_to_vector(F.array(*[F.col(features)[c] for c in columns]))
-        return df.drop("vector").withColumn("v_all", array_to_vector(F.col(features))).withColumn("v_best", best)
+    def score(axis: np.ndarray) -> Column:
+        return F.aggregate(F.zip_with(F.col(features), literal(axis), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
 
-    model = Pipeline(stages=stages).fit(with_inputs(train))
-    return tuple(model.transform(with_inputs(df)).drop("v_all", "v_best", "v_pca") for df in (train, test))
+    joined = F.array(*[score(axis) for axis in axes.T], *[F.col(features)[c] for c in columns])
+    return tuple(df.withColumn("vector", array_to_vector(joined)) for df in (train, test))
