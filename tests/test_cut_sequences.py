@@ -67,3 +67,24 @@ def test_fits_equal_those_of_whole_sequences(spark):
 def test_no_sequences(spark):
     table = parts(spark, {0: np.zeros((2, 2))}, 10).filter("recording < 0")
     assert cut.cut_expectation(table, {0: model()}) == {} and cut.paths(table, "recording", model()).count() == 0
+
+
+def test_sequences_of_all_lengths_are_summed_side_by_side():
+    """Expected counts, likelihoods and paths of a block of mixed lengths are those of each sequence, by products as by logarithms."""
+    rng = np.random.default_rng(3)
+    moves = rng.uniform(0.1, 1, (3, 3))
+    even = seq.StateModel(np.full(3, 1 / 3), moves / moves.sum(axis=1, keepdims=True), np.full((3, 2), 0.5), rng.normal(size=(3, 2, 2)), np.full((3, 2, 2), 0.3))
+    onward = seq.StateModel(np.eye(3)[0], np.array([[0.9, 0.1, 0], [0, 0.9, 0.1], [0, 0, 1.0]]), even.weights, even.means, even.variances)
+    lengths = np.array([5, 0, 40, 1, 40, 17])
+    data = [rng.normal(size=(n, 2)) for n in lengths]
+    data[2][3] += 60.0  # a frame far from every state
+    flat = np.concatenate(data)
+    whole = [d for d in data if len(d)]
+    for model in (even, onward):
+        assert np.allclose(model.expected(flat, lengths), sum(model.statistics(d[None]) for d in whole))
+        assert np.allclose(model.likelihoods(flat, lengths)[lengths > 0], [model.likelihood(d[None])[0] for d in whole])
+        assert model.best_paths(flat, lengths).tolist() == np.concatenate([model.best_path(d) for d in whole]).tolist()
+    n, active = np.array([40]), np.ones(40, dtype=int)
+    density = seq.log_sum(even.emissions(data[2][:, None]), 3)
+    for a, b in zip(even.log_shares(density, n, active), even.scaled_shares(density, n, active)):
+        assert np.allclose(a, b)
