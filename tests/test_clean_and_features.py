@@ -138,3 +138,33 @@ def test_long_series_are_answered_like_short_ones(spark):
 def test_gather_keeps_order(spark):
     out = gather(sliding_members(table(spark, np.arange(10.0)), 4, 4), ["win"], ["v"]).orderBy("win").collect()
     assert [r["v"] for r in out] == [[0.0, 1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0]]
+
+
+def test_window_scores_across_batches(spark):
+    """Scores of windows cut by batches, over null streams and null samples, as plain sums give them."""
+    from strideframe.operators.features import window_scores
+
+    rng = np.random.default_rng(5)
+    rows = [(r, i, *[float(v) for v in rng.normal(size=3)]) for r in (1, 2, None) for i in range(40)]
+    rows[7] = (1, 7, None, 0.5, 0.25)
+    df = spark.createDataFrame(rows, "recording long, pos long, x double, y double, z double").withColumn("n", F.lit(40))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r["recording"], r["win"]): r for r in window_scores(sliding_members(df, 8, 4), ["recording"], [["x", "y", "z"]]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 27
+    for (recording, win), row in got.items():
+        own = [np.array(r[2:], dtype=float) for r in rows if r[0] == recording][win * 4 : win * 4 + 8]
+        norm = np.array([np.sqrt((v**2).sum()) for v in own])
+        assert np.isclose(row["variance"], np.nanvar(norm))
+        if not np.isnan(norm).any():
+            power = np.abs(np.fft.rfft(norm - norm.mean())[1:]) ** 2
+            share = power / power.sum()
+            assert np.isclose(row["entropy"], -(share * np.log(share)).sum() / np.log(4))
+        if win == 0:
+            assert row["change"] is None
+        else:
+            was = [np.array(r[2:], dtype=float) for r in rows if r[0] == recording][win * 4 - 4 : win * 4 + 4]
+            means, spreads = [np.nanmean(v, axis=0) for v in (own, was)], [np.nanstd(v, axis=0) for v in (own, was)]
+            assert np.isclose(row["change"], np.linalg.norm(means[0] - means[1]) + np.linalg.norm(spreads[0] - spreads[1]))
