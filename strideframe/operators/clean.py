@@ -318,40 +318,46 @@ def zero_phase(values: np.ndarray, response: np.ndarray, pad: int, open_left: bo
     x = np.concatenate([left, values, right])
 
     def run(signal: np.ndarray) -> np.ndarray:
-        held = np.concatenate([np.repeat(signal[:1], len(response), axis=0), signal])
-        size = 1 << int(np.ceil(np.log2(len(held) + len(response))))
-        spectrum = np.fft.rfft(held, size, axis=0) * np.fft.rfft(response, size)[:, None]
-        return np.fft.irfft(spectrum, size, axis=0)[len(response) : len(held)]
+        # Before its first value the signal is held: that adds what the response has left by then.
+        own = response[: len(signal)]
+        size = 1 << int(np.ceil(np.log2(len(signal) + len(own))))
+        spectrum = np.fft.rfft(signal, size, axis=0) * np.fft.rfft(own, size)[:, None]
+        out = np.fft.irfft(spectrum, size, axis=0)[: len(signal)]
+        out[: len(own)] += (response.sum() - np.cumsum(own))[:, None] * signal[:1]
+        return out
 
     y = run(run(x)[::-1])[::-1]
     return y[len(left) : len(left) + rows]
 
 
 def decimate(
-    df: DataFrame, keys: Sequence[str], pos: str, channels: Sequence[str], label: str, factor: int = 2, order: int = 8, halo: int = 4096
+    df: DataFrame, keys: Sequence[str], pos: str, channels: Sequence[str], label: str, factor: int = 2, order: int = 8, halo: int = 4096, n: str | None = None
 ) -> DataFrame:
     """Zero-phase low pass and every ``factor``-th sample with its label.
 
     Long recordings are cut into chunks that reach ``halo`` samples into their
     neighbours; the filter forgets its past geometrically (below 1e-13 after
     4096 samples), so the cut does not show. A chunk that reaches the
-    recording's first or last sample extends it there.
+    recording's first or last sample extends it there. ``n`` names the length of
+    the recording if the rows hold it; else it is taken from the positions.
     """
     size = chunk_rows(df)
-    chunk = F.floor(F.col(pos) / size).cast("long")
-    last = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
-    df = attach(df.withColumn("__c", chunk), last, keys, chunk="__c")
+    if n:
+        df = df.withColumn("__last", F.col(n) - 1)
+    else:
+        last = df.groupBy(*keys).agg(F.max(pos).alias("__last"))
+        df = attach(df.withColumn("__c", F.floor(F.col(pos) / size).cast("long")), last, keys, chunk="__c")
     reach = lambda p: F.floor(p / size).cast("long")
     homes = F.sequence(reach(F.greatest(F.col(pos) - halo, F.lit(0))), reach(F.least(F.col(pos) + halo, F.col("__last"))))
     spread = df.select(*keys, pos, label, *channels, "__last", F.explode(homes).alias("__chunk"))
     schema = spread.select(*keys, pos, label, *[F.col(c).cast("double") for c in channels]).schema
     pad = 3 * (order + 1)
+    response = impulse_response(factor, order, halo)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
         number = int(pdf["__chunk"].iloc[0])
         at = pdf[pos].to_numpy()
-        response = impulse_response(factor, order, halo)
         out = zero_phase(
             pdf[list(channels)].to_numpy(dtype=np.float64), response, pad, at[0] == 0, at[-1] == pdf["__last"].iloc[0]
         )

@@ -214,7 +214,7 @@ def decimate_sql() -> str:
 
 @query("t15_decimate", "fr", decimate_sql())
 def _(spark, d):
-    out = clean.decimate(frames(spark, d), KEYS, "pos", ["x", "y", "z"], "label")
+    out = clean.decimate(frames(spark, d), KEYS, "pos", ["x", "y", "z"], "label", n="n")
     return out.select("recording", "pos", "label", *[r6(F.col(c), c) for c in "xyz"])
 
 

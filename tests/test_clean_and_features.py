@@ -168,3 +168,18 @@ def test_window_scores_across_batches(spark):
             was = [np.array(r[2:], dtype=float) for r in rows if r[0] == recording][win * 4 - 4 : win * 4 + 4]
             means, spreads = [np.nanmean(v, axis=0) for v in (own, was)], [np.nanstd(v, axis=0) for v in (own, was)]
             assert np.isclose(row["change"], np.linalg.norm(means[0] - means[1]) + np.linalg.norm(spreads[0] - spreads[1]))
+
+
+def test_decimation_of_numbered_recordings(spark):
+    """A known length gives the same rows, and short filters the same values as the response written out."""
+    rng = np.random.default_rng(6)
+    x = np.cumsum(rng.normal(size=90))
+    df = table(spark, x, label=1).withColumn("n", F.lit(90))
+    a = clean.decimate(df, ["recording"], "pos", ["v"], "label", halo=300).orderBy("pos").toPandas()
+    b = clean.decimate(df, ["recording"], "pos", ["v"], "label", halo=300, n="n").orderBy("pos").toPandas()
+    assert a.equals(b)
+    response = clean.impulse_response(2, 8, 300)
+    left, right = 2 * x[0] - x[27:0:-1], 2 * x[-1] - x[-2:-29:-1]
+    run = lambda s: np.convolve(np.concatenate([np.full(300, s[0]), s]), response)[300 : 300 + len(s)]
+    want = run(run(np.concatenate([left, x, right]))[::-1])[::-1][27:117]
+    assert np.allclose(clean.zero_phase(x[:, None], response, 27, True, True)[:, 0], want)
