@@ -96,14 +96,19 @@ def neighbour_leakage(df: DataFrame, bout: str, row: str, is_train: Column) -> D
     return seen.filter(~F.col("__train") & (left | right)).select(*df.columns)
 
 
+def touched_range(start: Column, end: Column, size: int, step: int) -> tuple[Column, Column]:
+    """First and last number of the windows that overlap a span [start, end); no window where first > last."""
+    first = F.greatest(F.lit(0), F.floor((start - size) / step) + 1).cast("long")
+    return first, F.greatest(F.ceil(end / step) - 1, F.lit(-1)).cast("long")
+
+
 def purge_overlaps(windows: DataFrame, spans: DataFrame, keys: Sequence[str], size: int, step: int, win: str = "win") -> DataFrame:
     """Mark windows that overlap a held-out span [start, end) of their recording.
 
     A span is turned into the window numbers it touches, so the overlap is an
     equi-join on the window number and no pair outside the overlap is formed.
     """
-    first = F.greatest(F.lit(0), F.floor((F.col("span_start") - size) / step) + 1).cast("long")
-    last = F.greatest(F.ceil(F.col("span_end") / step) - 1, F.lit(-1)).cast("long")
+    first, last = touched_range(F.col("span_start"), F.col("span_end"), size, step)
     touched = spans.select(*keys, *[c for c in spans.columns if c not in (*keys, "span_start", "span_end")], first.alias("__a"), last.alias("__b"))
     touched = touched.filter("__a <= __b").withColumn(win, F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
     return windows.join(touched, [*keys, win], "left_semi")

@@ -96,6 +96,8 @@ def channel_block(values: Column, power: Column, kind: str, centre: Column, size
     if kind in ("Simple", "All"):
         parts += [A.crossing_rate(values, centre), A.crossing_rate(values, A.mean(values))]
     block = F.array(*parts) if parts else F.array().cast("array<double>")
+    if parts:  # windows with null or non-finite samples go through the array expressions
+        block = F.coalesce(A.level_block(values, None if kind == "VerySimple" else centre), block)
     if kind in ("FFT", "All"):
         bins = A.without_dc(power, size)
         spectral = F.array(*[A.band_power(power, lo, hi) for lo, hi in A.log_bands(size, bands)])

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators import aggregate as agg, budget as bud, clean, features as feat, folds as fold, metrics as met, prep
-from strideframe.operators.compare import neighbour_leakage, purge_overlaps
+from strideframe.operators.compare import neighbour_leakage, touched_range
 from strideframe.operators.models import closed_form as closed, ensembles as ens, kernel_grid, neighbours as knn, sequences as seq
-from strideframe.operators.windows import gather, majority_labels, nearest_window, sliding_members
-from strideframe.session import settle
+from strideframe.operators.windows import majority_of, nearest_unclipped, sliding_arrays
+from strideframe.session import settle, stored
 
 # ---- registries ---------------------------------------------------------------------------------------
 
@@ -129,15 +129,24 @@ def chain_windows(frames: DataFrame, configuration: Configuration, channels: Seq
     """Windows with features of the chosen channels, majority label and repetition block.
 
     ``frames``: subject, recording, pos, n, code, block and the channels.
+    ``touched`` lists the blocks whose windows, from the first to the last,
+    overlap the window in time.
     """
-    members = sliding_members(frames, configuration.size, configuration.step)
     keys = ["recording", "win"]
-    centre = F.col("pos") == F.col("win") * configuration.step + configuration.size // 2
-    labels = majority_labels(members, keys, "code", centre)
-    home = members.filter(centre).select(*keys, "subject", "block", F.col("code").alias("centre_code"))
-    packed = gather(members, keys, list(channels))
-    vectors, _ = feat.typed_features(packed, keys, list(channels), configuration.features, {c: F.lit(0.0) for c in channels}, configuration.size, cepstral=min(10, configuration.size // 2 - 1))
-    table = vectors.join(labels, keys).join(home, keys)
+    size, step = configuration.size, configuration.step
+    centre = size // 2
+    # the windows of a block are those whose centre frame lies in it
+    home = F.floor((F.col("pos") - centre) / step).cast("long")
+    centres = frames.filter((F.col("pos") >= centre) & ((F.col("pos") - centre) % step == 0) & (home * step + size <= F.col("n")))
+    spans = centres.groupBy("recording", "block").agg(F.min(home * step).alias("a"), F.max(home * step + size).alias("b"))
+    first, last = touched_range(F.col("a"), F.col("b"), size, step)
+    spans = spans.groupBy("recording").agg(F.collect_list(F.struct("block", first.alias("first"), last.alias("last"))).alias("spans"))
+    packed = sliding_arrays(frames, ["recording"], [*channels, "code", "subject", "block"], size, step, extra=spans)
+    over = F.filter("spans", lambda s: F.col("win").between(s["first"], s["last"]))
+    own = {c: F.get(c, F.lit(centre)) for c in ("subject", "block")}
+    packed = packed.withColumns({**own, "centre_code": F.get("code", F.lit(centre)), "code": majority_of(F.col("code"), centre), "touched": F.transform(over, lambda s: s["block"])})
+    kept = [*keys, "code", "subject", "block", "centre_code", "touched"]
+    table, _ = feat.typed_features(packed, kept, list(channels), configuration.features, {c: F.lit(0.0) for c in channels}, size, cepstral=min(10, size // 2 - 1))
     return table.withColumn("key", F.col("recording") * 1_000_000 + F.col("win"))
 
 
@@ -149,22 +158,19 @@ def rounds_of(table: DataFrame) -> list[dict]:
     return out + [{"scheme": "personIndependent", "test": a, "train": b, "block": None} for a in people for b in people if a != b]
 
 
-def split_round(table: DataFrame, plan: dict, size: int, step: int) -> tuple[DataFrame, DataFrame]:
+def split_round(table: DataFrame, plan: dict) -> tuple[DataFrame, DataFrame]:
     """Training and test windows of a round; windows that overlap the held-out block do not train."""
     if plan["block"] is None:
         return table.filter(F.col("subject") == plan["train"]), table.filter(F.col("subject") == plan["test"])
     mine = table.filter(F.col("subject") == plan["test"])
-    test = mine.filter(F.col("block") == plan["block"])
-    near = test.groupBy("recording").agg((F.min("win") * step).alias("span_start"), (F.max("win") * step + size).alias("span_end"))
-    other = mine.filter(F.col("block") != plan["block"])
-    purged = purge_overlaps(other.select("recording", "win"), near, ["recording"], size, step)
-    return other.join(purged, ["recording", "win"], "left_anti"), test
+    other = mine.filter((F.col("block") != plan["block"]) & ~F.array_contains("touched", F.lit(plan["block"])))
+    return other, mine.filter(F.col("block") == plan["block"])
 
 
 def predict_round(table: DataFrame, plan: dict, configuration: Configuration) -> DataFrame:
     """Scale on the training windows, select features if asked, predict the test windows."""
-    train, test = split_round(table, plan, configuration.size, configuration.step)
-    (train, test), constant = prep.fit_standardise(settle(train), test)
+    train, test = split_round(table, plan)
+    (train, test), constant = prep.fit_standardise(train, test)
     if configuration.feature_count:
         ranking = prep.rank_by_redundancy(train, F.col("code"), configuration.feature_count)
         chosen = [r["feature"] for r in ranking.orderBy("place").collect()]
@@ -174,33 +180,61 @@ def predict_round(table: DataFrame, plan: dict, configuration: Configuration) ->
     return guessed.select("subject", "recording", "win", "code", "centre_code", F.col("guess").cast("long").alias("guess"), *marks, F.lit(constant).alias("constant_features"))
 
 
-def evaluate_configuration(frames: DataFrame, configuration: Configuration, labels: Sequence[int], null_label: int) -> DataFrame:
-    """Frame and event scores of every round of one configuration, under both schemes."""
-    table = settle(chain_windows(frames, configuration, configuration.channels))
-    windows = settle(union(in_parallel(lambda plan: predict_round(table, plan, configuration), rounds_of(table))))
+def frame_counts(frames: DataFrame, size: int, step: int, labels: Sequence[int]) -> DataFrame:
+    """Frames of every block counted by nearest window (unclipped) and label: columns ``__t0``.. and, for labels not listed, ``__rest``."""
+    counts = [F.count_if(F.col("code") == v).alias(f"__t{i}") for i, v in enumerate(labels)]
+    rest = F.count_if(~F.coalesce(F.col("code").isin(list(labels)), F.lit(False))).alias("__rest")
+    return frames.groupBy("recording", "block", nearest_unclipped(F.col("pos"), size, step).alias("near")).agg(*counts, rest)
+
+
+def evaluate_configuration(table: DataFrame, counted: DataFrame, configuration: Configuration, labels: Sequence[int], null_label: int) -> DataFrame:
+    """Frame and event scores of every round of one configuration, under both schemes.
+
+    ``table``: chain windows; ``counted``: frames by their nearest window.
+    """
+    rounds = rounds_of(table)
+
+    def one(number: int) -> DataFrame:
+        guessed = predict_round(table, rounds[number], configuration)
+        return guessed.select(F.lit(number).alias("round"), "recording", "win", "centre_code", "guess", "constant_features")
+
+    flat = settle(union(in_parallel(one, range(len(rounds)))))
+    marks = [(i, p["scheme"], p["test"], p["train"], -1 if p["block"] is None else p["block"]) for i, p in enumerate(rounds)]
+    marks = table.sparkSession.createDataFrame(marks, "round int, scheme string, subject long, train_subject int, held long")
     keys = ["scheme", "subject", "train_subject", "held"]
     size, step = configuration.size, configuration.step
-    flat = windows.fillna(-1, ["held"])
-    ends = flat.groupBy(*keys, "recording").agg(F.min("win").alias("first"), F.max("win").alias("last"))
+    ends = flat.groupBy("round", "recording").agg(F.min("win").alias("first"), F.max("win").alias("last"))
+    ends = ends.join(F.broadcast(marks.select("round", "held")), "round")
     # Frames of a round: those of its held-out block, or all of the test subject's.
-    rows = frames.select("subject", "recording", "pos", "code", "block").join(ends, ["subject", "recording"])
-    rows = rows.filter((F.col("held") == -1) | (F.col("block") == F.col("held")))
-    rows = rows.withColumn("win", nearest_window(F.col("pos"), size, step, F.col("first"), F.col("last")))
-    guesses = flat.select(*keys, "recording", "win", "guess")
-    scored = rows.join(guesses, [*keys, "recording", "win"]).select(*keys, F.col("code").alias("truth"), "guess")
-    by_frame = met.score_frames(met.pair_counts(scored, keys), labels, null_label, keys)
-    events = flat.select(*keys, F.col("centre_code").alias("truth"), "guess")
-    by_event = met.score_frames(met.pair_counts(events, keys), labels, null_label, keys)
-    by_event = by_event.select(*keys, F.col("precision_all").alias("event_precision_all"), F.col("recall_all").alias("event_recall_all"))
-    sizes = flat.groupBy(*keys).agg(F.count(F.lit(1)).alias("test_windows"), F.max("constant_features").alias("constant_features"))
-    out = by_frame.join(by_event, keys).join(sizes, keys)
+    rows = counted.join(ends, "recording").filter((F.col("held") == -1) | (F.col("block") == F.col("held")))
+    near = F.greatest("first", F.least("last", "near"))
+    columns = [*[f"__t{i}" for i in range(len(labels))], "__rest"]
+    scored = rows.select("round", "recording", near.alias("win"), *columns).join(flat.select("round", "recording", "win", "guess"), ["round", "recording", "win"])
+    sums = scored.groupBy("round", "guess").agg(*[F.sum(c).alias(c) for c in columns])
+    cells = [F.struct(F.lit(v).cast("long").alias("truth"), F.col(c).alias("n")) for v, c in zip([*labels, None], columns)]
+    counts = sums.select("round", "guess", F.inline(F.array(*cells))).filter("n > 0")
+    by_frame = met.score_frames(met.pool(counts, ["round"]), labels, null_label, ["round"])
+    events = met.pair_counts(flat, ["round"], "centre_code", "guess")
+    by_event = met.score_frames(events, labels, null_label, ["round"])
+    by_event = by_event.select("round", F.col("precision_all").alias("event_precision_all"), F.col("recall_all").alias("event_recall_all"))
+    sizes = flat.groupBy("round").agg(F.count(F.lit(1)).alias("test_windows"), F.max("constant_features").alias("constant_features"))
+    out = by_frame.join(by_event, "round").join(sizes, "round").join(marks, "round")
     setting = {"configuration": configuration.name, "channels": "+".join(configuration.channels), "features": configuration.features, "classifier": configuration.classifier}
-    return out.select(*[F.lit(v).alias(k) for k, v in setting.items()], F.lit(size).alias("size"), F.lit(step).alias("step"), "*")
+    return out.select(*[F.lit(v).alias(k) for k, v in setting.items()], F.lit(size).alias("size"), F.lit(step).alias("step"), *keys, *[c for c in out.columns if c not in (*keys, "round")])
 
 
 def sweep_configurations(frames: DataFrame, configurations: Sequence[Configuration], labels: Sequence[int], null_label: int) -> DataFrame:
-    """Round tables of several configurations under one another."""
-    return union([evaluate_configuration(frames, c, labels, null_label) for c in configurations])
+    """Round tables of several configurations under one another; windows and frame counts that configurations share are built once."""
+    tables, counted, out = {}, {}, []
+    for c in configurations:
+        grid = (c.size, c.step)
+        if grid not in counted:
+            counted[grid] = stored(frame_counts(frames, *grid, labels), "frame-counts")
+        if (*grid, c.channels, c.features) not in tables:
+            # a round reads the parts of its subjects and blocks
+            tables[(*grid, c.channels, c.features)] = stored(chain_windows(frames, c, c.channels), "chain-windows", ["subject", "block"])
+        out.append(evaluate_configuration(tables[(*grid, c.channels, c.features)], counted[grid], c, labels, null_label))
+    return union(out)
 
 
 def sweep_of(base: Configuration, field: str, values: Sequence) -> list[Configuration]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +52,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{context.getCheckpointDir()}/{name}-{uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The table written into the shared folder and read back.
+def stored(df: DataFrame, name: str = "table", by: Sequence[str] = ()) -> DataFrame:
+    """The table written into the shared folder (a part for each value of ``by``) and read back.
 
     Unlike a checkpoint it is planned by its real size, which matters in loops:
     estimates that grow with every join soon have more digits than fit anywhere.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
