@@ -53,8 +53,8 @@ def windows(spark: SparkSession, d: str, size: int = WINDOW, step: int = STEP) -
     return sliding_members(samples(spark, d), size, step)
 
 
-def frames(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as three-channel frames of a recording per supplier."""
+def frames(spark: SparkSession, d: str, **totals: Column) -> DataFrame:
+    """lineitem as three-channel frames of a recording per supplier; ``totals`` are sums over a recording, on its frames."""
     rows = load(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("recording"),
         F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t"),
@@ -68,7 +68,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_partkey") % 5 == 0).alias("filled"),
     )
     rows = add_chunk(rows, KEYS, "t")
-    return sweep(rows, KEYS, FRAME_ORDER, number="pos", totals={"n": ("sum", F.lit(1))})
+    return sweep(rows, KEYS, FRAME_ORDER, number="pos", totals={"n": ("sum", F.lit(1)), **{name: ("sum", value) for name, value in totals.items()}})
 
 
 def frame_windows(spark: SparkSession, d: str, size: int = WINDOW, step: int = STEP) -> DataFrame:

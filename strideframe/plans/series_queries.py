@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.scalars import magnitude
 from strideframe.operators import fold_statistics as stats, folds as fold, series as ser
-from strideframe.operators.ordered import exact_quantiles, sweep
+from strideframe.operators.ordered import exact_quantiles
 from strideframe.plans import cleaning_queries as clean_q
 from strideframe.plans.inputs import KEYS, STEP, WINDOW, frames, load, members_sql, r6, r9, raw_samples, samples, vectors, windows
 from strideframe.plans.registry import query, table
@@ -23,9 +23,9 @@ table("den", f"""SELECT who, bin, bin * {RATE / FFT}::DOUBLE AS f, sum(density *
 
 
 def magnitudes(spark, d):
-    rows = frames(spark, d).withColumn("m", magnitude(F.col("x"), F.col("y"), F.col("z")))
-    rows = sweep(rows, KEYS, ["pos"], totals={"__s": ("sum", F.col("m"))})
-    return rows.select("recording", (F.col("recording") % 8).alias("who"), "pos", "n", (F.col("m") - F.col("__s") / F.col("n")).alias("m"), "x", "y")
+    size = magnitude(F.col("x"), F.col("y"), F.col("z"))
+    rows = frames(spark, d, __s=size)
+    return rows.select("recording", (F.col("recording") % 8).alias("who"), "pos", "n", (size - F.col("__s") / F.col("n")).alias("m"), "x", "y")
 
 
 def density(spark, d):
@@ -61,8 +61,7 @@ def _(spark, d):
 
 
 def bouts(spark, d):
-    rows = settle(magnitudes(spark, d))
-    return ser.bout_cadence(rows, "recording", "m", "y", RATE, LOW, HIGH, 64, 256).withColumn("who", F.col("recording") % 8)
+    return ser.bout_cadence(magnitudes(spark, d), "recording", "m", "y", RATE, LOW, HIGH, 64, 256).withColumn("who", F.col("recording") % 8)
 
 
 def long_density(channel: str) -> str:
@@ -124,9 +123,9 @@ def series_chunks(spark, d):
 
 @query("g7_participant_cadence")
 def _(spark, d):
-    rows = settle(magnitudes(spark, d))
+    rows = ser.bout_stretches(magnitudes(spark, d), "recording", ["m", "y"], RATE, LOW, 64)
     table = settle(ser.bout_cadence(rows, "recording", "m", "y", RATE, LOW, HIGH, 64, 256).withColumn("who", F.col("recording") % 8))
-    lengths = rows.groupBy("recording").agg(F.max("who").alias("who"), F.max("n").alias("n"))
+    lengths = rows.table.groupBy("recording").agg(F.max("n").alias("n")).withColumn("who", F.col("recording") % 8)
     pooled = ser.pooled_density(ser.welch_density(rows, "recording", "m", RATE, 64, 256), lengths, "who", "recording")
     # every series of a participant counts: the median of their walking frequencies
     walks = ser.walking_frequency(settle(series_samples(spark, d)), "who", "v", 1.28).withColumn("who", F.col("who") % 8)
