@@ -4,7 +4,9 @@ Rows are put into cells around pivots. The triangle inequality tells which
 cells can hold one of the k nearest rows of a test row; only those cells meet
 it. Cells are cut into blocks of bounded size on both sides, so a cell with a
 third of all rows is spread over many tasks, and each pair of blocks returns
-only k rows per test row.
+only k rows per test row. Some training rows that every task knows (landmarks)
+bound how far the k nearest can be: a pair of blocks only looks at pairs below
+that bound.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from strideframe.functions.scalars import spread_order
 
 PIVOTS = 64
-BLOCK_ROWS = 2048
+#: Training rows whose distances bound those of the k nearest; the first ones are the pivots.
+LANDMARKS = 2048
+BLOCK_ROWS = 8192
 #: Test rows that meet a block at once, and their near pairs whose distances are taken at once.
 TILE_ROWS = 256
 TILE_PAIRS = 1 << 14
@@ -37,30 +41,57 @@ def matrix(values: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(values), -1 if len(values) else 0)
 
 
-def reachable_cells(to_pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Mask (test rows, cells) of the cells that may hold one of the k nearest training rows."""
+def upper_bounds(test: np.ndarray, landmarks: np.ndarray, k: int) -> np.ndarray:
+    """Squared distance of every test row to its k-th nearest landmark or farther, infinite without k of them."""
+    bounds = np.full(len(test), np.inf)
+    if k <= len(landmarks):
+        for first in range(0, len(test), TILE_ROWS):
+            a = test[first : first + TILE_ROWS]
+            some = np.argpartition(distances(a, landmarks), k - 1, axis=1)[:, :k]
+            exact = ((landmarks[some] - a[:, None, :]) ** 2).sum(axis=2).max(axis=1)
+            bounds[first : first + TILE_ROWS] = np.where(np.isnan(exact), np.inf, exact)
+    return bounds
+
+
+def reachable_cells(to_pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray, k: int, known: np.ndarray | float = np.inf, scale: np.ndarray | float = 0.0) -> np.ndarray:
+    """Mask (test rows, cells) of the cells that may hold one of the k nearest training rows.
+
+    ``known`` bounds their distance as well; ``scale`` is the length of the rows, for rounding.
+    """
     far = to_pivots + radius
     order = np.argsort(far, axis=1)
     enough = np.argmax(np.cumsum(sizes[order], axis=1) >= min(k, sizes.sum()), axis=1)
-    bound = far[np.arange(len(far)), order[np.arange(len(far)), enough]]
-    slack = 1e-7 * (1 + bound)
+    bound = np.minimum(far[np.arange(len(far)), order[np.arange(len(far)), enough]], known)
+    slack = 1e-7 * (1 + bound + scale)
     return (to_pivots - radius <= (bound + slack)[:, None]) & (sizes > 0)
 
 
-def nearest_in_block(train: np.ndarray, keys: np.ndarray, test: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Test row, training row and distance of the k nearest training rows of every test row, by (distance, key)."""
+def nearest_in_block(train: np.ndarray, keys: np.ndarray, test: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Test row, training row and distance of the k nearest training rows of every test row, by (distance, key).
+
+    ``bounds`` are squared distances beyond which no training row is asked for.
+    """
     k = min(k, len(train))
-    found = []
+    bounds = np.full(len(test), np.inf) if bounds is None else bounds
+    squares = (train**2).sum(axis=1)
+    most = squares[np.isfinite(squares)].max(initial=0.0)
+    # (a, 1) times (-2 b, b b) is the squared distance of a and b but for a a
+    turned = np.vstack([-2 * train.T, squares])
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
     for first in range(0, len(test), TILE_ROWS):
         a = test[first : first + TILE_ROWS]
-        rough = distances(a, train)
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        near = rough <= (limit + 1e-6 * (1 + limit))[:, None]
-        upto = np.cumsum(near.sum(axis=1)) // TILE_PAIRS  # many ties: fewer rows at once
+        own = (a**2).sum(axis=1)
+        slack = 1e-12 * (own + most)
+        rough = np.column_stack([a, np.ones(len(a))]) @ turned
+        near = rough <= (bounds[first : first + TILE_ROWS] * (1 + 1e-12) + slack - own)[:, None]
+        if np.count_nonzero(near) > TILE_PAIRS:  # bounds that say little: the k nearest of this block say more
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            near &= rough <= (limit + 2 * slack)[:, None]
+        places = np.flatnonzero(near)
+        all_i, all_j = np.divmod(places, len(train))
+        upto = (np.cumsum(np.bincount(all_i, minlength=len(a))) // TILE_PAIRS)[all_i]  # many ties: fewer rows at once
         for piece in np.unique(upto):
-            rows = np.flatnonzero(upto == piece)
-            i, j = np.nonzero(near[rows])
-            i = rows[i]
+            i, j = all_i[upto == piece], all_j[upto == piece]
             exact = ((train[j] - a[i]) ** 2).sum(axis=1)
             best = np.lexsort((keys[j], exact, i))
             i, j, exact = i[best], j[best], exact[best]
@@ -77,9 +108,10 @@ def nearest(train: DataFrame, test: DataFrame, key: str, label: str, k: int, fea
     spark = train.sparkSession
     left = train.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(features).alias("features"))
     right = test.select(F.col(key).alias("key"), F.col(features).alias("features"))
-    points = np.array([r[0] for r in left.orderBy(spread_order(F.col("key")), "key").limit(pivots).select("features").collect()], dtype=np.float64)
-    if len(points) == 0:
+    landmarks = np.array([r[0] for r in left.orderBy(spread_order(F.col("key")), "key").limit(max(pivots, LANDMARKS)).select("features").collect()], dtype=np.float64)
+    if len(landmarks) == 0:
         raise ValueError("no training rows")
+    points = landmarks[:pivots]
 
     @F.arrow_udf("cell int, reach double")
     def home(values: pa.Array) -> pa.Array:
@@ -93,13 +125,16 @@ def nearest(train: DataFrame, test: DataFrame, key: str, label: str, k: int, fea
     for row in stats:
         sizes[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("cells array<int>, bound double")
     def cells(values: pa.Array) -> pa.Array:
-        mask = reachable_cells(distances(matrix(values), points), radius, sizes, k)
+        rows = matrix(values)
+        bounds = upper_bounds(rows, landmarks, k)
+        mask = reachable_cells(distances(rows, points), radius, sizes, k, np.sqrt(bounds), np.sqrt((rows**2).sum(axis=1)))
         offsets = np.concatenate([[0], np.cumsum(mask.sum(axis=1))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(mask)[1].astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(mask)[1].astype(np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(bounds)], ["cells", "bound"])
 
-    asked = right.withColumn("cell", F.explode(cells("features")))
+    asked = right.withColumn("c", cells("features")).select("key", "features", "c.bound", F.explode("c.cells").alias("cell"))
     demand = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     train_blocks = np.maximum(1, -(-sizes // block))
     test_blocks = np.array([max(1, -(-demand.get(c, 0) // block)) for c in range(len(points))])
@@ -110,7 +145,7 @@ def nearest(train: DataFrame, test: DataFrame, key: str, label: str, k: int, fea
         "key", "label", "features", "cell", (salt % F.col("tb")).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s")
     )
     spread_test = asked.join(plan, "cell").select(
-        "key", "features", "cell", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("t"), (salt % F.col("sb")).cast("int").alias("s")
+        "key", "features", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("t"), (salt % F.col("sb")).cast("int").alias("s")
     )
     kinds = {f.name: f.dataType for f in left.schema.fields}
     schema = T.StructType([
@@ -123,7 +158,7 @@ def nearest(train: DataFrame, test: DataFrame, key: str, label: str, k: int, fea
         if len(a) == 0 or len(b) == 0:
             return fields.empty_table()
         keys = a["key"].to_numpy()
-        i, j, distance = nearest_in_block(matrix(a["features"].combine_chunks()), keys, matrix(b["features"].combine_chunks()), k)
+        i, j, distance = nearest_in_block(matrix(a["features"].combine_chunks()), keys, matrix(b["features"].combine_chunks()), k, b["bound"].to_numpy())
         return pa.Table.from_arrays([b["key"].take(pa.array(i)), a["key"].take(pa.array(j)), a["label"].take(pa.array(j)), pa.array(distance)], schema=fields)
 
     by = ["cell", "t", "s"]
