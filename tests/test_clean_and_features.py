@@ -183,3 +183,18 @@ def test_decimation_of_numbered_recordings(spark):
     run = lambda s: np.convolve(np.concatenate([np.full(300, s[0]), s]), response)[300 : 300 + len(s)]
     want = run(run(np.concatenate([left, x, right]))[::-1])[::-1][27:117]
     assert np.allclose(clean.zero_phase(x[:, None], response, 27, True, True)[:, 0], want)
+
+
+def test_scores_after_a_spectrum_was_taken(spark):
+    """A spectrum taken before leaves nothing in the module that cannot travel to a task."""
+    from pyspark import cloudpickle
+
+    from strideframe.functions import arrays
+    from strideframe.operators.features import window_scores, with_spectrum
+
+    packed = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 1.0])], "k long, x array<double>")
+    assert with_spectrum(packed, "x").first()["power"] == [0.0, 0.0, 4.0]
+    assert cloudpickle.dumps(arrays)
+    rows = [(1, i, float(i % 3), 0.5 * i, 1.0) for i in range(16)]
+    df = spark.createDataFrame(rows, "recording long, pos long, x double, y double, z double").withColumn("n", F.lit(16))
+    assert window_scores(sliding_members(df, 8, 4), ["recording"], [["x", "y", "z"]]).count() == 3
