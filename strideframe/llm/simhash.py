@@ -277,7 +277,8 @@ def links(fps: DataFrame, linked: int = LINKED, minima: bool = False) -> DataFra
     keyed = fps.select(*own).distinct().mapInArrow(spread, "key long, fp long")
     # choosy keys are mostly alone, and only met ones go on; of the others only the hot ones need their count
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (1 if linked <= LINKED else BLOCK))
-    cut = keyed.join(counts, "key", "inner" if linked <= LINKED else "left")
+    # a fingerprint makes tens of keys, which Spark cannot foresee: by its size it would send the keys to every task
+    cut = keyed.join(counts.hint("merge"), "key", "inner" if linked <= LINKED else "left")
     cut = cut.withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

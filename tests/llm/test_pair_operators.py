@@ -144,6 +144,16 @@ def test_classes_equal_all_pairs(spark, monkeypatch, block):
     assert simhash.classes(no_docs(spark)).count() == 0 and simhash.one_of_each(no_docs(spark)).count() == 0
 
 
+def test_keys_are_never_sent_to_every_task(spark):
+    """A fingerprint makes tens of keys: Spark's estimate of their size is far too low."""
+    rng = np.random.default_rng(2)
+    prints = spark.createDataFrame([(int(x),) for x in rng.integers(0, 2**62, 300)] + [(1,), (3,)], "fp long")
+    found = simhash.links(prints)
+    assert [tuple(r) for r in found.collect()] == [(3, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [key" not in plan and "SortMergeJoin [key" in plan
+
+
 def plain_shingles(text):
     words = (text or "").lower().split()
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
