@@ -10,8 +10,10 @@ ahead while they are no more than wanted. Rows left level at the end are equal
 in all slices, and the smallest ids among them are taken, so the result is
 exact. Bitmap arithmetic has no width limit.
 
-Blocks of vectors meet blocks of queries, each pair once; every pair of blocks
-yields k rows a query, and the best k of those are kept. Defined results:
+Sets of queries meet blocks of vectors, each pair once. A task holds a slice of
+the queries with the best k rows so far and reads its blocks one after another,
+so its memory depends neither on the number of blocks nor on that of queries.
+The best k of all tasks are kept. Defined results:
 vectors that are null or hold null or non-finite components take no part;
 missing components of shorter vectors count as 0; components saturate at
 +-2^52; a null id is neither query nor candidate; a query's own row is no
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from strideframe.llm.common import keep
 
 ROWS, QUERIES = 1 << 16, 256
+#: Sets of queries that a task holds at most, and cells of queries and blocks wanted at least.
+SETS, TASKS = 128, 24
 K, SCALE, EVERY = 20, 64, 20
 
 
@@ -132,59 +136,109 @@ class Sliced:
         return (words[at] * 64 + bit).tolist()
 
 
-def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """One row for each block: its ids, row numbers and integers, in order of id."""
+def _packed(rows: DataFrame, blocks: int, tasks: int) -> DataFrame:
+    """One row for each block, ``part``: its ids, row numbers and integers in the narrowest type, in order of id. A task holds one block at a time."""
+
+    def packed(block: int, pieces: list) -> pa.RecordBatch:
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        q = matrix(table["q"].combine_chunks() if isinstance(table["q"], pa.ChunkedArray) else table["q"])
+        low, high = q.min(initial=0), q.max(initial=0)
+        kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        ids, own = table["vec_id"].to_numpy(), table["row"].to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([ids.tobytes()]), pa.array([own.tobytes()]), pa.array([q.astype(kind).tobytes()]), pa.array([q.shape[1]], pa.int32()), pa.array([kind])],
+            names=["part", "ids", "rows", "q", "size", "kind"],
+        )
 
     def run(batches):
-        held: dict[int, list] = {}
+        now, pieces = None, []
         for batch in batches:
             block = batch.column(0).to_numpy(zero_copy_only=False)
-            for b in np.unique(block):
-                held.setdefault(int(b), []).append(batch.filter(pa.array(block == b)))
-        for b, parts in held.items():
-            table = pa.Table.from_batches(parts).combine_chunks().sort_by([("vec_id", "ascending"), ("row", "ascending")])
-            q = matrix(table["q"].combine_chunks() if isinstance(table["q"], pa.ChunkedArray) else table["q"])
-            ids, own = table["vec_id"].to_numpy(), table["row"].to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([ids.tobytes()]), pa.array([own.tobytes()]), pa.array([q.tobytes()]), pa.array([q.shape[1]], pa.int32())],
-                names=[name, f"{name}_ids", f"{name}_rows", f"{name}_q", f"{name}_size"],
-            )
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if pieces and block[start] != now:
+                    yield packed(now, pieces)
+                    pieces = []
+                now = int(block[start])
+                pieces.append(batch.slice(start, end - start))
+        if pieces:
+            yield packed(now, pieces)
 
     spot = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    placed = rows.select(spot.alias("block"), "vec_id", "row", "q").repartition(blocks, "block")
-    return placed.mapInArrow(run, f"{name} int, {name}_ids binary, {name}_rows binary, {name}_q binary, {name}_size int")
+    placed = rows.select(spot.alias("block"), "vec_id", "row", "q").repartition(tasks, "block").sortWithinPartitions("block", "vec_id", "row")
+    return placed.mapInArrow(run, "part int, ids binary, rows binary, q binary, size int, kind string")
+
+
+def _unpacked(r: dict):
+    ids = np.frombuffer(r["ids"], np.int64)
+    return ids, np.frombuffer(r["rows"], np.int64), np.frombuffer(r["q"], r["kind"]).reshape(len(ids), r["size"])
+
 
+class Asked:
+    """A set of queries and the k best rows of each among the blocks met so far."""
 
-def _unpacked(ids: bytes, rows: bytes, q: bytes, size: int):
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(rows, np.int64), np.frombuffer(q, np.int64).reshape(len(ids), size)
+    def __init__(self, ids: np.ndarray, own: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.own, self.q, self.k = ids, own, q, k
+        self.count = np.zeros(len(ids), np.int64)
+        self.best = np.zeros((3, len(ids), k), np.int64)  # score, id and row, best first
+
+    def meet(self, block: Sliced, ids: np.ndarray, own: np.ndarray, place: dict[int, int]) -> None:
+        for i, (mine, query) in enumerate(zip(self.own.tolist(), self.q.astype(np.int64), strict=True)):
+            found = block.top(query, self.k, place.get(mine, -1))
+            if not found:
+                continue
+            at = [r for r, _ in found]
+            score = np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for _, s in found], np.int64)
+            all_ = np.concatenate([self.best[:, i, : self.count[i]], np.stack([score, ids[at], own[at]])], axis=1)
+            first = np.lexsort((all_[2], all_[1], ~all_[0]))[: self.k]  # ~x falls as x grows, without an overflow
+            self.count[i] = len(first)
+            self.best[:, i, : len(first)] = all_[:, first]
+
+    def rows(self) -> pa.RecordBatch:
+        on = np.arange(self.k)[None, :] < self.count[:, None]
+        score, ids, own = (x[on] for x in self.best)
+        columns = [np.repeat(self.ids, self.count), np.repeat(self.own, self.count), ids, own, score]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_row", "vec_id", "row", "score"])
 
 
 def search(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) -> DataFrame:
-    """The k best rows for each row whose id is divisible by ``every``."""
+    """The k best rows for each row whose id is divisible by ``every``.
+
+    A task takes a slice of the queries and a group of the blocks: it holds the
+    queries and one block at a time, and tells k rows a query for all its blocks.
+    """
     spark = vectors.sparkSession
     rows = keep(quantised(vectors, scale), "quantised")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     blocks, sets = -(-rows.count() // ROWS) or 1, -(-asked.count() // QUERIES) or 1
-    pairs = spark.range(blocks * sets).select((F.col("id") % blocks).cast("int").alias("v"), F.floor(F.col("id") / blocks).cast("int").alias("s"))
+    slices = min(sets, max(-(-sets // SETS), -(-TASKS // blocks)))
+    groups = min(blocks, -(-TASKS // slices))
 
     def run(batches):
-        held: tuple = (None, None)
+        cell, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, own, q = _unpacked(r["v_ids"], r["v_rows"], r["v_q"], r["v_size"])
-                if held[0] != r["v"]:
-                    held = (r["v"], Sliced(q))
-                place = {int(x): k for k, x in enumerate(own)}
-                out = []
-                for who, mine, query in zip(*_unpacked(r["s_ids"], r["s_rows"], r["s_q"], r["s_size"]), strict=True):
-                    for at, score in held[1].top(query, k, place.get(int(mine), -1)):
-                        out.append((int(who), int(mine), int(ids[at]), int(own[at]), max(-(1 << 63), min((1 << 63) - 1, score))))
-                columns = list(zip(*out, strict=True)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_row", "vec_id", "row", "score"])
-
-    met = pairs.join(_packed(rows, blocks, "v"), "v").join(_packed(asked, sets, "s"), "s").repartition(blocks * sets, "v", "s")
-    found = met.mapInArrow(run, "query_id long, query_row long, vec_id long, row long, score long")
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                if r["cell"] != cell:
+                    yield from (a.rows() for a in held)
+                    cell, held = r["cell"], []
+                ids, own, q = _unpacked(r)
+                if r["turn"] == 0:
+                    held.append(Asked(ids, own, q, k))
+                elif held:
+                    block, place = Sliced(q.astype(np.int64)), {int(x): i for i, x in enumerate(own)}
+                    for a in held:
+                        a.meet(block, ids, own, place)
+        yield from (a.rows() for a in held)
+
+    every_group, every_slice = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (groups, slices))
+    queries = _packed(asked, sets, max(1, -(-sets * QUERIES // ROWS))).withColumns({"turn": F.lit(0), "group": every_group})
+    queries = queries.withColumn("cell", F.pmod("part", F.lit(slices)) * groups + F.col("group"))
+    met = _packed(rows, blocks, blocks).withColumns({"turn": F.lit(1), "slice": every_slice})
+    met = met.withColumn("cell", F.col("slice") * groups + F.pmod("part", F.lit(groups)))
+    columns = ["cell", "turn", "part", "ids", "rows", "q", "size", "kind"]
+    dealt = queries.select(*columns).unionByName(met.select(*columns)).repartition(slices * groups, "cell").sortWithinPartitions("cell", "turn", "part")
+    found = dealt.mapInArrow(run, "query_id long, query_row long, vec_id long, row long, score long")
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -315,3 +315,21 @@ def test_top_rows_equal_all_scores(spark, monkeypatch, rows):
 def test_fewer_rows_than_wanted(spark):
     frame = spark.createDataFrame([(20, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(frame).collect()] == [(20, 1, 3, 64 * 128)]
+
+
+def test_a_task_holds_one_block_and_its_queries(spark, monkeypatch):
+    """Blocks of one task are packed and met one after another, and each query leaves a task with k rows."""
+    monkeypatch.setattr(topk, "ROWS", 20)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "SETS", 2)
+    monkeypatch.setattr(topk, "TASKS", 2)
+    frame = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.search(frame).collect())) == plain_top(vectors())
+    rows = topk.quantised(frame)
+    packed = topk._packed(rows, 16, 1).collect()  # all blocks in one task
+    assert len(packed) == 16 and {r["kind"] for r in packed} == {"<i1", "<i8"}
+    assert sum(len(r["ids"]) for r in packed) == 8 * rows.count()
+    big = topk.Asked(np.array([5]), np.array([0]), np.array([[1]]), 2)
+    for value, row in ((-(2**63), 1), (3, 2), (9, 3)):
+        big.meet(topk.Sliced(np.array([[value]], np.int64)), np.array([row]), np.array([row]), {})
+    assert big.rows().to_pydict() == {"query_id": [5, 5], "query_row": [0, 0], "vec_id": [3, 2], "row": [3, 2], "score": [9, 3]}
