@@ -103,3 +103,37 @@ def test_more_rounds_learn_the_training_rows(table):
     model = soft.SoftmaxBoosting(rounds=12, depth=4, rate=0.3, least_rows=1).fit(df)
     accuracy, _ = ens.score(ens.guesses(model, df))
     assert accuracy > 0.95
+
+
+def test_groups_get_the_models_they_get_alone(spark, table, monkeypatch):
+    df, _, _ = table
+    monkeypatch.setattr(soft, "ROWS", 7)  # many blocks
+    learner = soft.SoftmaxBoosting(rounds=3, depth=3, least_rows=3, settle_every=2)
+    parts = df.withColumn("part", F.when(F.col("key") % 3 == 0, 4).when(F.col("label") < 3, 9))  # other classes, rows of none
+    together = learner.fit_groups(parts.repartition(5), "part")
+    assert sorted(together) == [4, 9]
+    for part, model in together.items():
+        alone = learner.fit(parts.filter(F.col("part") == part))
+        assert (alone.features == model.features).all() and (alone.cuts == model.cuts).all() and (alone.leaves == model.leaves).all() and (alone.prior == model.prior).all()
+    assert [m.leaves.shape[1] for m in together.values()] == [4, 3]
+
+
+def test_deep_and_shallow_trees_route_alike(monkeypatch):
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(50, 2))
+    values[::9] = np.nan
+    features, cuts = draw.integers(-1, 2, (4, 15)), draw.normal(size=(4, 15))
+    shallow = soft.route(values, features, cuts, 4)
+    monkeypatch.setattr(soft, "SHALLOW", 0)
+    assert (soft.route(values, features, cuts, 4) == shallow).all() and len(np.unique(shallow)) > 8
+
+
+def test_participants_are_identified_with_all_rounds(spark, monkeypatch, tmp_path):
+    """The query fits the operator's default boosting in the default folds, as the study does."""
+    import __spark_entry__ as entry
+    from strideframe.plans import studies
+
+    asked = {}
+    monkeypatch.setattr(studies, "identify_participants", lambda table, activities, learner, **more: asked.update(a=list(activities), learner=learner, more=more))
+    entry.queries()["q7_participant_identification"](spark, "/root/testdata/sf0.001")
+    assert asked == {"a": ["A", "N", "R"], "learner": soft.SoftmaxBoosting(), "more": {}} and soft.SoftmaxBoosting().rounds == 100
