@@ -198,3 +198,25 @@ def test_scores_after_a_spectrum_was_taken(spark):
     rows = [(1, i, float(i % 3), 0.5 * i, 1.0) for i in range(16)]
     df = spark.createDataFrame(rows, "recording long, pos long, x double, y double, z double").withColumn("n", F.lit(16))
     assert window_scores(sliding_members(df, 8, 4), ["recording"], [["x", "y", "z"]]).count() == 3
+
+
+def test_signals_of_many_windows_equal_the_array_expressions(spark, monkeypatch):
+    """Finite windows are worked out together, others by the expressions; both give the same features."""
+    from strideframe.operators import features as feat
+
+    rng = np.random.default_rng(8)
+    rows = [(i, *[[float(v) for v in rng.normal(size=n)] for _ in range(3)]) for i, n in enumerate([8] * 30 + [7, 5, 3])]
+    rows += [(50, [1.0] * 8, [0.0] * 8, [-0.0, 0.0] * 4), (51, [1.0, None, 2.0], [1.0] * 3, [2.0] * 3), (52, [1.0, float("inf"), 2.0], [1.0] * 3, [2.0] * 3), (53, None, [1.0], [2.0])]
+    df = spark.createDataFrame(rows, "k long, x array<double>, y array<double>, z array<double>")
+    placements = {"p": ["x", "y", "z"]}
+    found, names = feat.signal_features(df, ["k"], placements, 8)
+    together = {r["k"]: r["__sound"] for r in df.withColumn("__sound", feat.sound_signals(["x", "y", "z"], [["x", "y", "z"]], 8)).collect()}
+    assert all((together[r[0]] is None) == (r[0] > 50) for r in rows)
+    monkeypatch.setattr(feat, "sound_signals", lambda *a: F.lit(None).cast("array<double>"))
+    want = {r["k"]: r["features"] for r in feat.signal_features(df, ["k"], placements, 8)[0].collect()}
+    got = {r["k"]: r["features"] for r in found.collect()}
+    assert len(names) == 56 and set(got) == set(want)
+    for k, values in got.items():
+        assert (values is None) == (want[k] is None)
+        if values is not None:
+            np.testing.assert_allclose(np.array(values, float), np.array(want[k], float), rtol=1e-12, atol=1e-13)
