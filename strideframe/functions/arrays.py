@@ -236,6 +236,28 @@ def flat_entropy(bins: Column) -> Column:
     return entropy(bins, F.ln) / F.ln(F.size(bins))
 
 
+def flat_entropies(power: pa.Array) -> pa.Array:
+    """``flat_entropy`` of the bins after the zero bin of many spectra, in the same order of sums; null for fewer than two of them."""
+
+    def kernel(m: np.ndarray) -> np.ndarray:
+        bins, out = np.asfortranarray(m[:, 1:]).T, np.zeros(len(m))
+        if len(bins) < 2:
+            return np.full((len(m), 1), np.nan)
+        total = np.zeros(len(m))
+        for p in bins:
+            total = total + p
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for p in bins:
+                share = p / total
+                out = out - np.where(share > 0, share * np.log(np.where(share > 0, share, 1.0)), 0.0)
+        # no power has no entropy, a spectrum of a missing sample none that is known
+        out = np.where(np.isnan(total), np.nan, np.where(total > 0, out, 0.0))
+        return out[:, None] / np.log(len(bins))
+
+    few = pc.list_value_length(power).to_numpy(zero_copy_only=False) < 3
+    return pa.array(by_length(power, kernel).flatten().to_numpy(zero_copy_only=False), mask=few)
+
+
 def haar_details(values: str | Column, levels: int = 3) -> Column:
     """Detail coefficients of the Haar levels, finest first; a level of odd size repeats its last value.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions import arrays as A
-from strideframe.functions.arrays import spectra
+from strideframe.functions.arrays import flat_entropies, spectra
 from strideframe.functions.scalars import magnitude
 from strideframe.operators.ordered import chunk_by_position, chunk_rows, sweep
 from strideframe.operators.windows import gather
@@ -388,7 +388,7 @@ def moments_of(values: pa.Array, starts: np.ndarray, sizes: np.ndarray) -> tuple
 
 
 def sample_statistics(members: DataFrame, stream: Sequence[str], win: str, pos: str, axes: Sequence[str], mags: Sequence[str]) -> DataFrame:
-    """Per window: variance (``__v``) and power spectrum (``__p``) of every magnitude, mean (``__a``) and deviation (``__s``) of every axis.
+    """Per window: variance (``__v``) and flat entropy of the spectrum (``__e``) of every magnitude, mean (``__a``) and deviation (``__s``) of every axis.
 
     Samples are dealt by stream and a range of windows, sorted, and added up
     batch by batch; a window that a batch cuts waits for the next one.
@@ -396,8 +396,8 @@ def sample_statistics(members: DataFrame, stream: Sequence[str], win: str, pos:
     keys, values = [*stream, win], [*axes, *mags]
     rows = members.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in values])
     dealt = rows.repartition(*stream, F.floor(F.col(win) / chunk_rows(members))).sortWithinPartitions(*keys, pos)
-    names = [*keys, *[f"__v{m}" for m in mags], *[f"__a{a}" for a in axes], *[f"__s{a}" for a in axes], *[f"__p{m}" for m in mags]]
-    kinds = [*[members.schema[k].dataType.simpleString() for k in keys], *["double"] * (len(mags) + 2 * len(axes)), *["array<double>"] * len(mags)]
+    names = [*keys, *[f"__v{m}" for m in mags], *[f"__a{a}" for a in axes], *[f"__s{a}" for a in axes], *[f"__e{m}" for m in mags]]
+    kinds = [*[members.schema[k].dataType.simpleString() for k in keys], *["double"] * (2 * len(mags) + 2 * len(axes))]
 
     def added(held: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         sizes = np.diff(np.append(starts, len(held)))
@@ -406,7 +406,7 @@ def sample_statistics(members: DataFrame, stream: Sequence[str], win: str, pos:
         offsets = pa.array(np.append(starts, len(held)).astype(np.int32))
         out = [column[k].take(pa.array(starts)) for k in keys]
         out += [of[m][1] for m in mags] + [of[a][0] for a in axes] + [pc.sqrt(of[a][1]) for a in axes]
-        out += [spectra(pa.ListArray.from_arrays(offsets, column[m])) for m in mags]
+        out += [flat_entropies(spectra(pa.ListArray.from_arrays(offsets, column[m]))) for m in mags]
         return pa.RecordBatch.from_arrays(out, names=names)
 
     def work(batches):
@@ -442,7 +442,7 @@ def window_scores(
     mags = [f"__m{i}" for i in range(len(sensors))]
     axes_all = [a for axes in sensors for a in axes]
     stats = sample_statistics(rows, stream, win, pos, axes_all, mags)
-    entropy = average([A.flat_entropy(A.without_dc(F.col(f"__p{m}"))) for m in mags])
+    entropy = average([F.col(f"__e{m}") for m in mags])
     variance = average([F.col(f"__v{m}") for m in mags])
     # Settled because the sweep reads its input twice.
     kept = settle(stats.select(*keys, variance.alias("variance"), entropy.alias("entropy"), *[f"__a{a}" for a in axes_all], *[f"__s{a}" for a in axes_all]))

@@ -220,3 +220,17 @@ def test_signals_of_many_windows_equal_the_array_expressions(spark, monkeypatch)
         assert (values is None) == (want[k] is None)
         if values is not None:
             np.testing.assert_allclose(np.array(values, float), np.array(want[k], float), rtol=1e-12, atol=1e-13)
+
+
+def test_entropies_of_many_windows_equal_the_array_expression(spark):
+    import pyarrow as pa
+
+    from strideframe.functions import arrays as A
+
+    rng = np.random.default_rng(4)
+    power = [(rng.normal(size=n) ** 2).tolist() for n in (5, 5, 9, 3)] + [[1.0, 0.0, 0.0, 0.0], [3.0, 2.0, 0.0, 1.0], [1.0, float("nan"), 2.0], [1.0, 2.0], [1.0]]
+    found = A.flat_entropies(pa.array(power, pa.list_(pa.float64()))).to_pylist()
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(power[:7])], "k long, p array<double>")
+    want = {r["k"]: r["e"] for r in df.select("k", A.flat_entropy(A.without_dc(F.col("p"))).alias("e")).collect()}
+    np.testing.assert_allclose(found[:7], [want[i] for i in range(7)], rtol=1e-14, atol=0)
+    assert found[7:] == [None, None]
