@@ -75,3 +75,31 @@ def test_runs_are_marked_in_place_and_alike_for_short_and_long_streams(spark, se
     mine, theirs = (t[t["stream"] < 10].fillna({"seed": -1}).sort_values(keys)[[*keys, "kept", "final"]].reset_index(drop=True) for t in (long, out))
     same = mine["method"] != "changeTrigger"  # its levels hold the copies as well
     assert len(mine) == len(theirs) and (mine[same].to_numpy() == theirs[same].to_numpy()).all()
+
+
+def test_places_and_fills_of_ties_nulls_and_nans(spark):
+    """Streams that fit a chunk are ranked together: the same places as windows of SQL give, in few plans."""
+    from pyspark.sql import Window, functions as F
+
+    values = [None, float("nan"), 0.0, -0.0, 1.0, 1.0, 2.0, float("inf"), None, 0.5]
+    rows = [(s, p, *[values[(p * k + (s or 0)) % 10] for k in (1, 3, 7)], p % 5, "ABC"[p % 3] if p % 4 else None) for s in (1, 2, None) for p in range(23)]
+    df = spark.createDataFrame(rows, "stream long, pos long, accelerationVariance double, windowChange double, spectralEntropy double, fold int, full string")
+    got = bud.places_inside(df, ["accelerationVariance", "meanRank", "spectralEntropy", "windowChange"], [(20, 42)])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    whole, later = Window.partitionBy("stream"), df.filter("pos > 0")
+    order = {s: (-F.col(s)).asc_nulls_last() for s in bud.SCORES}
+    want = later.select("stream", "pos", *[(F.row_number().over(whole.orderBy(o, "pos")) - 1).alias(s) for s, o in order.items()],
+                        sum((F.rank().over(whole.orderBy(o)) + F.count(F.lit(1)).over(whole.orderBy(o)) for o in order.values()), F.lit(0)).alias("ranks"),
+                        (F.row_number().over(whole.orderBy(bud.drawn(F.col("stream"), F.col("pos"), F.lit(20), F.lit(42)), "pos")) - 1).alias("draw"))
+    want = want.withColumn("mean", F.row_number().over(whole.orderBy("ranks", "pos")) - 1)
+    theirs = {(r["stream"], r["pos"]): (*[r[s] for s in bud.SCORES], r["mean"], r["draw"], 23) for r in want.collect()}
+    ours = {(r["stream"], r["pos"]): (*[r[f"place_{s}"] for s in bud.SCORES], r["place_meanRank"], r["place_20_42"], r["n"]) for r in got.collect()}
+    assert {k: v for k, v in ours.items() if k[1] > 0} == theirs and ours[1, 0] == (*[None] * 5, 23)
+
+    marked = got.select("stream", "pos", "full", F.array(F.col("pos") % 3 == 0, F.lit(False)).alias("kept"))
+    final = {(r["stream"], r["pos"]): r["final"] for r in bud.filled_inside(marked, "full", 2).collect()}
+    for s in (1, 2, None):
+        last = None
+        for p in range(23):
+            last = "ABC"[p % 3] if p % 4 and p % 3 == 0 else last
+            assert final[s, p] == [last, None]
